@@ -1,4 +1,4 @@
-"""Row-count windows over a security's own timeline.
+"""Row-count windows over a security's own timeline, as SQL expression text.
 
 Spark re-evaluates a moving frame from scratch for every row, so ``max(x) over 252 rows`` costs 252
 updates per row. ``rolling`` reaches the same numbers in a logarithmic number of steps: from the
@@ -13,30 +13,31 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-_COMBINE = {"max": F.greatest, "min": F.least, "sum": lambda a, b: a + b}
+BY_SECURITY = "PARTITION BY security_id ORDER BY date"
 
+_COMBINE = {"max": "greatest", "min": "least"}
 
-def by_security(*order: str) -> WindowSpec:
-    """A security's rows in time order."""
-    return Window.partitionBy("security_id").orderBy(*(order or ("date",)))
 
+def over(spec: str = BY_SECURITY) -> str:
+    """The plain window."""
+    return f"OVER ({spec})"
 
-def running(over: WindowSpec) -> WindowSpec:
+
+def running(spec: str = BY_SECURITY) -> str:
     """From the first row up to the current one."""
-    return over.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return f"OVER ({spec} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-def before(over: WindowSpec) -> WindowSpec:
+def before(spec: str = BY_SECURITY) -> str:
     """From the first row up to the one before the current one."""
-    return over.rowsBetween(Window.unboundedPreceding, -1)
+    return f"OVER ({spec} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
-def whole(over: WindowSpec) -> WindowSpec:
+def whole(spec: str = BY_SECURITY) -> str:
     """The whole partition."""
-    return over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return f"OVER ({spec} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 
 
 @dataclass(frozen=True)
@@ -57,116 +58,109 @@ class Roll:
     need: int | None = None
 
     @property
-    def parts(self) -> list[tuple[str, str]]:
-        if self.op in _COMBINE:
-            return [(self.op, self.column)]
-        if self.op == "mean":
-            return [("sum", self.column)]
-        if self.op == "std":
-            return [("sum", self.column), ("sumsq", self.column)]
-        if self.op == "count":
-            return []
-        raise ValueError(f"unknown rolling operation {self.op!r}")
+    def parts(self) -> list[str]:
+        """What has to be aggregated for it."""
+        return {"mean": ["sum"], "std": ["sum", "sumsq"], "count": []}.get(self.op, [self.op])
+
+
+class _Steps:
+    """Expression text of the doubling steps under one window."""
+
+    def __init__(self, spec: str):
+        self.spec = spec
+
+    def shift(self, c: str, rows: int, ahead: bool) -> str:
+        return c if rows == 0 else f"{'lead' if ahead else 'lag'}({c}, {rows}) {over(self.spec)}"
+
+    @staticmethod
+    def key(part: str, column: str, ahead: bool, width: int) -> str:
+        return f"__{part}_{column.strip('_')}_{'f' if ahead else 'b'}{width}"
+
+    @staticmethod
+    def join(part: str, a: str, b: str) -> str:
+        return f"{_COMBINE[part]}({a}, {b})" if part in _COMBINE else f"{a} + coalesce({b}, 0D)"
+
+    def span(self, part: str, r: Roll) -> str:
+        """One part over the frame of ``r``, put together from blocks whose width is a power of two."""
+        top = _top(r.size)
+        if part in _COMBINE:  # two overlapping blocks
+            block = self.key(part, r.column, r.ahead, top)
+            near = self.shift(block, r.skip, r.ahead)
+            return near if r.size == top else self.join(part, near, self.shift(block, r.skip + r.size - top, r.ahead))
+        total, at, left = "0D", r.skip, r.size
+        while left:  # adjacent blocks
+            top = _top(left)
+            total = self.join(part, total, self.shift(self.key(part, r.column, r.ahead, top), at, r.ahead))
+            at, left = at + top, left - top
+        return f"({total})"
+
+    def present(self, r: Roll) -> str:
+        """How many values the frame of ``r`` holds; a frame ends with the timeline at the latest."""
+        n, everything = _count(r.column), _total(r.column)
+        if not r.ahead:
+            return (
+                f"(coalesce({self.shift(n, r.skip, False)}, 0) - coalesce({self.shift(n, r.skip + r.size, False)}, 0))"
+            )
+        end = f"coalesce({self.shift(n, r.skip + r.size - 1, True)}, {everything})"
+        if r.skip:
+            return f"({end} - coalesce({self.shift(n, r.skip - 1, True)}, {everything}))"
+        return f"({end} - coalesce({self.shift(n, 1, False)}, 0))"
+
+    def result(self, r: Roll) -> str:
+        if r.op == "count":
+            return self.present(r)
+        if r.op in ("mean", "std"):
+            n = f"{r.size}D" if r.need is None else f"double({self.present(r)})"
+            s = self.span("sum", r)
+            value = f"try_divide({s}, {n})"
+            if r.op == "std":
+                spread = f"{self.span('sumsq', r)} - try_divide({s} * {s}, {n})"
+                value = f"sqrt(greatest(try_divide({spread}, {n} - 1D), 0D))"
+        else:
+            value = self.span(r.op, r)
+        if r.need == 0:
+            return value
+        return f"CASE WHEN {self.present(r)} >= {r.size if r.need is None else r.need} THEN {value} END"
 
 
-def _key(part: str, column: str, ahead: bool, width: int) -> str:
-    return f"__{part}_{column}_{'f' if ahead else 'b'}{width}"
+def _top(size: int) -> int:
+    """The largest power of two that fits."""
+    return 1 << (size.bit_length() - 1)
 
 
-def _shift(c: Column, rows: int, ahead: bool, over: WindowSpec) -> Column:
-    if rows == 0:
-        return c
-    return (F.lead(c, rows) if ahead else F.lag(c, rows)).over(over)
+def _count(column: str) -> str:
+    return f"__count_{column.strip('_')}"
 
 
-def _combine(part: str, a: Column, b: Column) -> Column:
-    if part in ("sum", "sumsq"):
-        return a + F.coalesce(b, F.lit(0.0))
-    return _COMBINE[part](a, b)
+def _total(column: str) -> str:
+    return f"__total_{column.strip('_')}"
 
 
-def rolling(df: DataFrame, over: WindowSpec, rolls: list[Roll]) -> DataFrame:
+def rolling(df: DataFrame, rolls: list[Roll], spec: str = BY_SECURITY) -> DataFrame:
     """``df`` plus one column per roll."""
-    kept = df.columns
+    steps = _Steps(spec)
     tops: dict[tuple[str, str, bool], int] = {}
     for r in rolls:
-        for part, column in r.parts:
-            k = (part, column, r.ahead)
-            tops[k] = max(tops.get(k, 0), 1 << (r.size.bit_length() - 1))
-
-    first: dict[str, Column] = {}
-    for part, column, ahead in tops:
-        c = F.col(column)
-        if part == "sum":
-            c = F.coalesce(c, F.lit(0.0))
-        elif part == "sumsq":
-            c = F.coalesce(c * c, F.lit(0.0))
-        first[_key(part, column, ahead, 1)] = c
-    counted = sorted({r.column for r in rolls if r.op == "count" or r.need != 0})
-    for column in counted:
-        first[f"__n_{column}"] = F.count(column).over(running(over))
+        for part in r.parts:
+            k = (part, r.column, r.ahead)
+            tops[k] = max(tops.get(k, 0), _top(r.size))
+
+    base = {"sum": "coalesce({0}, 0D)", "sumsq": "coalesce({0} * {0}, 0D)"}
+    first = [f"{base.get(p, '{0}').format(c)} AS {steps.key(p, c, a, 1)}" for p, c, a in tops]
+    for column in sorted({r.column for r in rolls if r.op == "count" or r.need != 0}):
+        first.append(f"count({column}) {running(spec)} AS {_count(column)}")
         if any(r.ahead and r.column == column for r in rolls):
-            first[f"__all_{column}"] = F.count(column).over(whole(over))
-    out = df.select("*", *[c.alias(n) for n, c in first.items()])
+            first.append(f"count({column}) {whole(spec)} AS {_total(column)}")
+    out = df.selectExpr("*", *first)
 
     width = 1
     while any(top > width for top in tops.values()):
         grown = []
         for (part, column, ahead), top in tops.items():
             if top > width:
-                c = F.col(_key(part, column, ahead, width))
-                grown.append(
-                    _combine(part, c, _shift(c, width, ahead, over)).alias(
-                        _key(part, column, ahead, 2 * width)
-                    )
-                )
-        out = out.select("*", *grown)
+                c = steps.key(part, column, ahead, width)
+                wider = steps.join(part, c, steps.shift(c, width, ahead))
+                grown.append(f"{wider} AS {steps.key(part, column, ahead, 2 * width)}")
+        out = out.selectExpr("*", *grown)
         width *= 2
-
-    def span(part: str, r: Roll) -> Column:
-        """The aggregate of one part over the frame of ``r``, from the two-power blocks."""
-        top = 1 << (r.size.bit_length() - 1)
-        if part in ("max", "min"):
-            c = F.col(_key(part, r.column, r.ahead, top))
-            near = _shift(c, r.skip, r.ahead, over)
-            return near if r.size == top else _combine(part, near, _shift(c, r.skip + r.size - top, r.ahead, over))
-        total, at, left = F.lit(0.0), r.skip, r.size
-        while left:
-            top = 1 << (left.bit_length() - 1)
-            total = _combine(part, total, _shift(F.col(_key(part, r.column, r.ahead, top)), at, r.ahead, over))
-            at, left = at + top, left - top
-        return total
-
-    def present(r: Roll) -> Column:
-        """How many values the frame of ``r`` holds."""
-        n = F.col(f"__n_{r.column}")
-        if r.ahead:
-            # rows from skip to skip + size - 1; a frame that leaves the timeline ends at its last row
-            end = F.coalesce(_shift(n, r.skip + r.size - 1, True, over), F.col(f"__all_{r.column}"))
-            start = (
-                F.coalesce(_shift(n, r.skip - 1, True, over), F.col(f"__all_{r.column}"))
-                if r.skip
-                else F.coalesce(F.lag(n, 1).over(over), F.lit(0))
-            )
-            return end - start
-        return F.coalesce(_shift(n, r.skip, False, over), F.lit(0)) - F.coalesce(
-            _shift(n, r.skip + r.size, False, over), F.lit(0)
-        )
-
-    results = []
-    for r in rolls:
-        if r.op == "count":
-            value = present(r)
-        elif r.op == "mean":
-            value = span("sum", r) / F.lit(float(r.size)) if r.need is None else F.try_divide(span("sum", r), present(r))
-        elif r.op == "std":
-            n = F.lit(float(r.size)) if r.need is None else present(r).cast("double")
-            s = span("sum", r)
-            spread = span("sumsq", r) - F.try_divide(s * s, n)
-            value = F.sqrt(F.greatest(F.try_divide(spread, n - 1.0), F.lit(0.0)))
-        else:
-            value = span(r.op, r)
-        if r.op != "count" and r.need != 0:
-            value = F.when(present(r) >= (r.size if r.need is None else r.need), value)
-        results.append(value.alias(r.name))
-    return out.select(*kept, *results)
+    return out.selectExpr(*df.columns, *[f"{steps.result(r)} AS {r.name}" for r in rolls])

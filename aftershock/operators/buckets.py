@@ -6,10 +6,10 @@ recent set (used from a start date on, and for one-week returns).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from .stats import explode_keys, return_stats
+from ..functions.arith import number
+from .stats import return_stats
 
 INF = float("inf")
 
@@ -115,53 +115,63 @@ MARKET_CAP_RANGES = [
 ]
 
 
-def _within(c: Column, low: float, high: float, low_in: bool, high_in: bool) -> Column:
-    above = (c >= low) if low_in else (c > low)
-    return above & ((c <= high) if high_in else (c < high))
+def _within(column: str, low: float, high: float, low_in: bool, high_in: bool) -> str:
+    above = f"{column} {'>=' if low_in else '>'} {number(low)}"
+    return f"{above} AND {column} {'<=' if high_in else '<'} {number(high)}"
 
 
-def _shared() -> dict[str, Column]:
-    cap, pe = F.col("market_cap"), F.col("pe")
-    out = {key: (cap > 0) & _within(cap, low, high, True, False) for key, low, high in MARKET_CAP_RANGES}
-    out["pe_unprofitable"] = pe < 0
-    out.update({key: _within(pe, low, high, False, True) for key, low, high in PE_RANGES})
+def _shared() -> dict[str, str]:
+    out = {
+        key: f"market_cap > 0 AND {_within('market_cap', low, high, True, False)}"
+        for key, low, high in MARKET_CAP_RANGES
+    }
+    out["pe_unprofitable"] = "pe < 0"
+    out.update({key: _within("pe", low, high, False, True) for key, low, high in PE_RANGES})
     return out
 
 
-def _prior(n: Column) -> dict[str, Column]:
-    return {"prior_0": n == 0, "prior_1": n == 1, "prior_2plus": n >= 2}
+def _prior(n: str) -> dict[str, str]:
+    return {"prior_0": f"{n} = 0", "prior_1": f"{n} = 1", "prior_2plus": f"{n} >= 2"}
 
 
-def full_buckets() -> dict[str, Column]:
+def full_buckets() -> dict[str, str]:
     """The full-history set; a missing prior-crash count counts as none."""
     out = {
-        key: _within(F.col(column), low, high, False, True)
+        key: _within(column, low, high, False, True)
         for column, ranges in FULL_OPEN_LOW.items()
         for key, low, high in ranges
     }
-    out.update(_prior(F.coalesce("prior_crash_count_20d", F.lit(0))))
+    out.update(_prior("coalesce(prior_crash_count_20d, 0)"))
     out.update(_shared())
     return out
 
 
-def recent_buckets() -> dict[str, Column]:
+def recent_buckets() -> dict[str, str]:
     """The recent set; mega caps are unbounded and missing values belong to no bucket."""
     out = {
-        key: _within(F.col(column), low, high, low_in, high_in)
+        key: _within(column, low, high, low_in, high_in)
         for column, ranges in RECENT_RANGES.items()
         for key, low, high, low_in, high_in in ranges
     }
-    out.update(_prior(F.col("prior_crash_count_20d")))
+    out.update(_prior("prior_crash_count_20d"))
     out.update(_shared())
-    out["mcap_mega"] = F.col("market_cap") >= 10_000
+    out["mcap_mega"] = "market_cap >= 10000"
     return out
 
 
-def severity_buckets(buckets: dict[str, Column], suffix: str) -> dict[str, Column]:
+def severity_buckets(buckets: dict[str, str], suffix: str) -> dict[str, str]:
     """Only the crash-size buckets of a set, under suffixed keys."""
     return {key + suffix: test for key, test in buckets.items() if key.startswith("sev_")}
 
 
-def bucket_outcomes(df: DataFrame, buckets: dict[str, Column], value: str = "ret") -> DataFrame:
-    """Return statistics per bucket: one scan, however many buckets."""
-    return return_stats(explode_keys(df, buckets, "bucket", [value]), ["bucket"], value)
+def bucket_outcomes(df: DataFrame, buckets: dict[str, dict[str, str]]) -> DataFrame:
+    """Return statistics per bucket, for bucket sets by the return column they apply to.
+
+    One scan serves all buckets: an event yields a row for each bucket it belongs to.
+    """
+    rows = ", ".join(
+        f"CASE WHEN {value} IS NOT NULL AND {test} THEN struct('{key}' AS bucket, {value} AS ret) END"
+        for value, tests in buckets.items()
+        for key, test in tests.items()
+    )
+    return return_stats(df.selectExpr(f"inline(array_compact(array({rows})))"), ["bucket"])

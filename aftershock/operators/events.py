@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.windows import by_security
+from ..functions.arith import number
 from ..sources.schemas import CRASH_EVENT, conform
 from .pit import interval_join
 
 THRESHOLD = -0.10
+CLEAN = "in_universe_at_event AND passes_min_price"
 
 
-def event_id(security_id: Column, day: Column) -> Column:
+def event_id(security_id: str = "security_id", day: str = "crash_date") -> str:
     """``<security>_<yyyymmdd>``."""
-    return F.concat_ws("_", security_id.cast("string"), F.date_format(day, "yyyyMMdd"))
+    return f"concat_ws('_', cast({security_id} AS string), date_format({day}, 'yyyyMMdd'))"
 
 
 def detect_crashes(prices: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Days with ``daily_return <= threshold``. There is no cooldown; a missing return is no event."""
-    return prices.filter(F.col("daily_return") <= threshold).select(
-        F.col("security_id").cast("long").alias("security_id"),
-        F.col("date").cast("date").alias("crash_date"),
-        F.col("daily_return").cast("double").alias("crash_return"),
-        F.col("close").cast("double").alias("crash_close"),
-        F.col("volume").cast("double").alias("crash_volume"),
+    return prices.filter(f"daily_return <= {number(threshold)}").selectExpr(
+        "cast(security_id AS bigint) AS security_id",
+        "cast(date AS date) AS crash_date",
+        "cast(daily_return AS double) AS crash_return",
+        "cast(close AS double) AS crash_close",
+        "cast(volume AS double) AS crash_volume",
     )
 
 
@@ -34,55 +34,49 @@ def attach_identifiers(crashes: DataFrame, master: DataFrame) -> DataFrame:
     An uncovered event stays, with null identifiers and ``in_universe_at_event`` false. Of several
     covering periods the latest one wins.
     """
-    periods = master.select("security_id", "company_id", "ticker", "ticker_start", "ticker_end")
-    return interval_join(
+    joined = interval_join(
         crashes,
-        periods,
+        master.select("security_id", "company_id", "ticker", "ticker_start", "ticker_end"),
         key="security_id",
         at="crash_date",
         start="ticker_start",
         end="ticker_end",
-        prefer=[F.col("__r_ticker_start").desc_nulls_last(), F.col("__r_ticker")],
+        prefer="r_ticker_start DESC NULLS LAST, r_ticker",
         unique=["crash_date"],
         take={"company_id": "company_id", "ticker": "ticker_as_of_event", "security_id": "__covered"},
-    ).withColumn("in_universe_at_event", F.col("__covered").isNotNull()).drop("__covered")
+    )
+    return joined.selectExpr("*", "__covered IS NOT NULL AS in_universe_at_event").drop("__covered")
 
 
 def build_crash_events(
     prices: DataFrame, master: DataFrame, *, threshold: float = THRESHOLD, min_price: float | None = None
 ) -> DataFrame:
     """The event table. ``passes_min_price`` is null on a day without a close."""
-    liquid = F.lit(True) if min_price is None else F.col("crash_close") >= min_price
+    liquid = "true" if min_price is None else f"crash_close >= {number(min_price)}"
     events = attach_identifiers(detect_crashes(prices, threshold), master)
-    return conform(
-        events.withColumn("event_id", event_id(F.col("security_id"), F.col("crash_date"))).withColumn(
-            "passes_min_price", liquid
-        ),
-        CRASH_EVENT,
-    )
+    return conform(events.selectExpr("*", f"{event_id()} AS event_id", f"{liquid} AS passes_min_price"), CRASH_EVENT)
 
 
 def clean_pool(events: DataFrame) -> DataFrame:
     """Events inside the universe and above the minimum price."""
-    return events.filter(F.col("in_universe_at_event") & F.col("passes_min_price"))
+    return events.filter(CLEAN)
 
 
 def consecutive_events(events: DataFrame) -> DataFrame:
     """Events one calendar day after the previous event of the same security."""
-    gap = F.datediff("crash_date", F.lag("crash_date").over(by_security("crash_date")))
-    return events.withColumn("gap", gap).filter(F.col("gap") == 1)
+    previous = "lag(crash_date) OVER (PARTITION BY security_id ORDER BY crash_date)"
+    return events.selectExpr("*", f"datediff(crash_date, {previous}) AS gap").filter("gap = 1")
 
 
 def event_summary(events: DataFrame) -> DataFrame:
     """One row of counts over an event table."""
-    clean = F.col("in_universe_at_event") & F.col("passes_min_price")
-    return events.agg(
-        F.count(F.lit(1)).alias("events"),
-        F.count_distinct("security_id").alias("securities"),
-        F.min("crash_date").alias("date_min"),
-        F.max("crash_date").alias("date_max"),
-        F.count_if("in_universe_at_event").alias("in_universe"),
-        F.count_if("passes_min_price").alias("pass_min_price"),
-        F.count_if(clean).alias("clean"),
-        F.count_if(F.col("crash_close").isNull()).alias("null_crash_close"),
+    return events.selectExpr(
+        "count(*) AS events",
+        "count(DISTINCT security_id) AS securities",
+        "min(crash_date) AS date_min",
+        "max(crash_date) AS date_max",
+        "count_if(in_universe_at_event) AS in_universe",
+        "count_if(passes_min_price) AS pass_min_price",
+        f"count_if({CLEAN}) AS clean",
+        "count_if(crash_close IS NULL) AS null_crash_close",
     )

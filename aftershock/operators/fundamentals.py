@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.arith import change, finite, ratio
+from ..functions.arith import change, finite, named, ratio
+from .events import CLEAN
 from .pit import asof_join, link_companies
 
 STALE_DAYS = 200
@@ -56,18 +56,15 @@ def enrich_fundamentals(fundamentals: DataFrame) -> DataFrame:
 
     A window holds one company's quarters, at most a few hundred rows.
     """
-    w = Window.partitionBy("company_id").orderBy("period_end")
-    year = w.rowsBetween(-3, 0)
-    sums = [
-        F.when(F.count(c).over(year) == 4, F.sum(c).over(year)).alias(name) for name, c in _TRAILING.items()
-    ]
-    return fundamentals.select(
-        "*",
-        *sums,
-        change(F.col("revenue"), F.lag("revenue", 4).over(w)).alias("revenue_growth_yoy"),
-        change(F.col("revenue"), F.lag("revenue", 1).over(w)).alias("revenue_growth_qoq"),
-        change(F.col("eps"), F.lag("eps", 4).over(w)).alias("eps_growth_yoy"),
-    )
+    spec = "PARTITION BY company_id ORDER BY period_end"
+    year = f"OVER ({spec} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
+    columns = {
+        name: f"CASE WHEN count({c}) {year} = 4 THEN sum({c}) {year} END" for name, c in _TRAILING.items()
+    }
+    columns["revenue_growth_yoy"] = change("revenue", f"lag(revenue, 4) OVER ({spec})")
+    columns["revenue_growth_qoq"] = change("revenue", f"lag(revenue, 1) OVER ({spec})")
+    columns["eps_growth_yoy"] = change("eps", f"lag(eps, 4) OVER ({spec})")
+    return fundamentals.selectExpr("*", *named(columns))
 
 
 def build_fundamental_features(events: DataFrame, fundamentals: DataFrame, link: DataFrame) -> DataFrame:
@@ -95,52 +92,51 @@ def build_fundamental_features(events: DataFrame, fundamentals: DataFrame, link:
             "stockholders_equity",
             "shares_outstanding",
         ),
-    )
-    c = F.col
-    known = known.select(
+    ).selectExpr(
         "*",
-        (c("crash_close") * c("shares_outstanding")).alias("__cap"),
-        (c("total_debt") - c("cash")).alias("__debt"),
-        F.datediff("crash_date", "period_end").cast("long").alias("days_since_fundamental"),
+        "crash_close * shares_outstanding AS cap",
+        "total_debt - cash AS debt",
+        "cast(datediff(crash_date, period_end) AS bigint) AS age",
     )
-    value = c("__cap") + c("__debt")
     ratios = {
-        "gross_margin": ratio(c("gross_profit_ttm"), c("revenue_ttm")),
-        "operating_margin": ratio(c("operating_income_ttm"), c("revenue_ttm")),
-        "net_margin": ratio(c("ni_ttm"), c("revenue_ttm")),
-        "roa": ratio(c("ni_ttm"), c("total_assets")),
-        "roe": ratio(c("ni_ttm"), c("stockholders_equity")),
-        "net_debt": c("__debt"),
-        "current_ratio": ratio(c("current_assets"), c("current_liabilities")),
-        "debt_to_assets": ratio(c("total_debt"), c("total_assets")),
-        "net_debt_to_ebitda": ratio(c("__debt"), c("ebitda_ttm")),
-        "interest_coverage": ratio(c("operating_income_ttm"), c("interest_ttm")),
-        "market_cap": c("__cap"),
-        "pe": ratio(c("__cap"), c("ni_ttm")),
-        "price_to_sales": ratio(c("__cap"), c("revenue_ttm")),
-        "ev_to_sales": ratio(value, c("revenue_ttm")),
-        "ev_to_ebitda": ratio(value, c("ebitda_ttm")),
+        "gross_margin": ratio("gross_profit_ttm", "revenue_ttm"),
+        "operating_margin": ratio("operating_income_ttm", "revenue_ttm"),
+        "net_margin": ratio("ni_ttm", "revenue_ttm"),
+        "roa": ratio("ni_ttm", "total_assets"),
+        "roe": ratio("ni_ttm", "stockholders_equity"),
+        "net_debt": "debt",
+        "current_ratio": ratio("current_assets", "current_liabilities"),
+        "debt_to_assets": ratio("total_debt", "total_assets"),
+        "net_debt_to_ebitda": ratio("debt", "ebitda_ttm"),
+        "interest_coverage": ratio("operating_income_ttm", "interest_ttm"),
+        "market_cap": "cap",
+        "pe": ratio("cap", "ni_ttm"),
+        "price_to_sales": ratio("cap", "revenue_ttm"),
+        "ev_to_sales": ratio("cap + debt", "revenue_ttm"),
+        "ev_to_ebitda": ratio("cap + debt", "ebitda_ttm"),
     }
-    return known.select(
+    provenance = {
+        "fundamentals_available": "period_end IS NOT NULL",
+        "fundamentals_period_end": "period_end",
+        "fundamentals_public_date": "public_date",
+        "days_since_fundamental": "age",
+        "fundamentals_stale": f"age > {STALE_DAYS}",
+        "fundamentals_rdq_available": "coalesce(rdq_available, false)",
+    }
+    return known.selectExpr(
         "event_id",
         "revenue_growth_yoy",
         "revenue_growth_qoq",
         "eps_growth_yoy",
-        *[finite(expr).alias(name) for name, expr in ratios.items()],
-        c("period_end").isNotNull().alias("fundamentals_available"),
-        c("period_end").alias("fundamentals_period_end"),
-        c("public_date").alias("fundamentals_public_date"),
-        "days_since_fundamental",
-        (c("days_since_fundamental") > STALE_DAYS).alias("fundamentals_stale"),
-        F.coalesce("rdq_available", F.lit(False)).alias("fundamentals_rdq_available"),
+        *named({name: finite(r) for name, r in ratios.items()}),
+        *named(provenance),
     )
 
 
 def event_ebitda_margin(events: DataFrame, fundamentals: DataFrame, link: DataFrame) -> DataFrame:
     """Trailing EBITDA margin of each event that has a linked company."""
-    linked = link_companies(events, link).filter(F.col("company_id").isNotNull())
     known = asof_join(
-        linked,
+        link_companies(events, link).filter("company_id IS NOT NULL"),
         enrich_fundamentals(fundamentals),
         key="company_id",
         at="crash_date",
@@ -148,32 +144,34 @@ def event_ebitda_margin(events: DataFrame, fundamentals: DataFrame, link: DataFr
         newest="period_end",
         take=("ebitda_ttm", "revenue_ttm"),
     )
-    return known.select("event_id", finite(ratio(F.col("ebitda_ttm"), F.col("revenue_ttm"))).alias("ebitda_margin"))
+    return known.selectExpr("event_id", f"{finite(ratio('ebitda_ttm', 'revenue_ttm'))} AS ebitda_margin")
+
+
+def _present(column: str) -> str:
+    return f"cast({column} IS NOT NULL AS int)"
 
 
 def fundamentals_coverage(fundamentals: DataFrame) -> DataFrame:
     """One row: size, period range, share with a report date and share present of the key fields."""
     fields = ("revenue", "net_income", "total_assets", "total_debt", "eps", "stockholders_equity", "ebitda")
-    return fundamentals.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("company_id").alias("companies"),
-        F.min("period_end").alias("period_min"),
-        F.max("period_end").alias("period_max"),
-        F.avg(F.col("rdq_available").cast("int")).alias("rdq_available"),
-        *[F.avg(F.col(c).isNotNull().cast("int")).alias(f"{c}_present") for c in fields],
+    return fundamentals.selectExpr(
+        "count(*) AS rows",
+        "count(DISTINCT company_id) AS companies",
+        "min(period_end) AS period_min",
+        "max(period_end) AS period_max",
+        "avg(cast(rdq_available AS int)) AS rdq_available",
+        *[f"avg({_present(c)}) AS {c}_present" for c in fields],
     )
 
 
 def fundamental_summary(features: DataFrame, events: DataFrame) -> DataFrame:
     """One row: availability (all and clean), staleness, and clean coverage of the key ratios."""
-    flags = events.select("event_id", "in_universe_at_event", "passes_min_price")
-    clean = F.col("in_universe_at_event") & F.col("passes_min_price")
-    have = F.col("fundamentals_available")
+    flags = events.selectExpr("event_id", f"{CLEAN} AS __clean")
     fields = ("net_margin", "roe", "debt_to_assets", "revenue_growth_yoy", "pe", "ev_to_ebitda")
-    return features.join(flags, "event_id").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.avg(have.cast("int")).alias("available"),
-        F.avg(F.when(clean, have.cast("int"))).alias("available_clean"),
-        F.avg(F.when(have, F.col("fundamentals_stale").cast("int"))).alias("stale"),
-        *[F.avg(F.when(clean, F.col(c).isNotNull().cast("int"))).alias(f"{c}_present") for c in fields],
+    return features.join(flags, "event_id").selectExpr(
+        "count(*) AS rows",
+        "avg(cast(fundamentals_available AS int)) AS available",
+        "avg(CASE WHEN __clean THEN cast(fundamentals_available AS int) END) AS available_clean",
+        "avg(CASE WHEN fundamentals_available THEN cast(fundamentals_stale AS int) END) AS stale",
+        *[f"avg(CASE WHEN __clean THEN {_present(c)} END) AS {c}_present" for c in fields],
     )

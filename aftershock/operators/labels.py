@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arith import change
-from ..functions.windows import Roll, by_security, rolling, running, whole
+from ..functions.arith import change, number
+from ..functions.windows import Roll, over, rolling, running, whole
+from .events import CLEAN
 from .features import at_events
 from .universe import earliest
 
@@ -31,12 +32,10 @@ def outcome_columns(horizon: int) -> tuple[str, str, str]:
 def delisting_flags(master: DataFrame) -> DataFrame:
     """One row per security: delisted or not, its delisting return, and whether that is missing."""
     per_security = master.groupBy("security_id").agg(
-        F.max("delisting_date").isNotNull().alias("is_delisted"),
-        earliest(master, "delisting_return").alias("delisting_return"),
-    )
-    return per_security.withColumn(
-        "delisting_return_missing", F.col("is_delisted") & F.col("delisting_return").isNull()
+        F.expr("max(delisting_date) IS NOT NULL AS is_delisted"),
+        F.expr(f"{earliest(master, 'delisting_return')} AS delisting_return"),
     )
+    return per_security.selectExpr("*", "is_delisted AND delisting_return IS NULL AS delisting_return_missing")
 
 
 def with_terminal_rows(prices: DataFrame, master: DataFrame) -> DataFrame:
@@ -46,24 +45,16 @@ def with_terminal_rows(prices: DataFrame, master: DataFrame) -> DataFrame:
     that date. It is made in place by splitting the row of the last valid close, so the panel is
     read and moved once.
     """
-    gone = delisting_flags(master).filter("is_delisted").select(
-        F.col("security_id").alias("__sid"), F.coalesce("delisting_return", F.lit(0.0)).alias("__loss")
-    )
-    panel = prices.select("security_id", "date", "close", "high").join(
-        gone, F.col("security_id") == F.col("__sid"), "left"
+    gone = delisting_flags(master).filter("is_delisted").selectExpr(
+        "security_id AS __sid", "1D + coalesce(delisting_return, 0D) AS __kept"
     )
-    last_valid = F.max(F.when(F.col("close").isNotNull(), F.col("date"))).over(whole(by_security()))
-    panel = panel.withColumn("__last", last_valid)
-
-    def row(date, close, high, terminal: bool):
-        return F.struct(date.alias("date"), close.alias("close"), high.alias("high"), F.lit(terminal).alias("is_terminal"))
-
-    own = row(F.col("date"), F.col("close"), F.col("high"), False)
-    final_value = F.col("close") * (1.0 + F.col("__loss"))
-    final = row(F.date_add("date", 1), final_value, final_value, True)
-    ends_here = F.col("__loss").isNotNull() & (F.col("date") == F.col("__last")) & F.col("close").isNotNull()
-    return panel.select(
-        "security_id", F.inline(F.when(ends_here, F.array(own, final)).otherwise(F.array(own)))
+    panel = prices.select("security_id", "date", "close", "high").join(gone, F.expr("security_id = __sid"), "left")
+    panel = panel.selectExpr("*", f"max(CASE WHEN close IS NOT NULL THEN date END) {whole()} AS __last")
+    own = "struct(date, close, high, false AS is_terminal)"
+    final = "struct(date_add(date, 1) AS date, close * __kept AS close, close * __kept AS high, true AS is_terminal)"
+    ends_here = "__kept IS NOT NULL AND close IS NOT NULL AND date = __last"
+    return panel.selectExpr(
+        "security_id", f"inline(CASE WHEN {ends_here} THEN array({own}, {final}) ELSE array({own}) END)"
     )
 
 
@@ -76,14 +67,13 @@ def build_labels(
     thresholds: Sequence[tuple[int, float]] = THRESHOLDS,
 ) -> DataFrame:
     """Hit grid (close-based and intraday), forward returns and censoring flags per event."""
-    w = by_security("date", "is_terminal")
-    panel = with_terminal_rows(prices, master)
-    panel = panel.select(
+    path = "PARTITION BY security_id ORDER BY date, is_terminal"
+    panel = with_terminal_rows(prices, master).selectExpr(
         "*",
-        F.count("close").over(running(w)).alias("__closes"),
-        F.count("close").over(whole(w)).alias("__all_closes"),
-        F.last("close", True).over(running(w)).alias("__filled"),
-        F.last("close", True).over(whole(w)).alias("__final"),
+        f"count(close) {running(path)} AS __closes",
+        f"count(close) {whole(path)} AS __all_closes",
+        f"last(close, true) {running(path)} AS __filled",
+        f"last(close, true) {whole(path)} AS __final",
     )
     rolls = []
     for h in horizons:
@@ -92,57 +82,56 @@ def build_labels(
             Roll("min", "close", h, f"__min_close_{h}", skip=1, ahead=True, need=0),
             Roll("max", "high", h, f"__max_high_{h}", skip=1, ahead=True, need=0),
         ]
-    panel = rolling(panel, w, rolls)
     ahead = []
     for h in horizons:
-        reached = F.lead("__closes", h).over(w)
-        n_forward = F.coalesce(reached, F.col("__all_closes")) - F.col("__closes")
+        reached = f"lead(__closes, {h}) {over(path)}"
+        n_forward = f"coalesce({reached}, __all_closes) - __closes"
+        end = f"coalesce(lead(__filled, {h}) {over(path)}, __final)"
         ahead += [
-            reached.isNotNull().alias(f"__full_{h}"),
-            n_forward.alias(f"n_forward_{h}d"),
-            F.when(n_forward > 0, F.coalesce(F.lead("__filled", h).over(w), F.col("__final"))).alias(f"__end_{h}"),
+            f"{reached} IS NOT NULL AS __full_{h}",
+            f"{n_forward} AS __n_{h}",
+            f"CASE WHEN {n_forward} > 0 THEN {end} END AS __end_{h}",
         ]
-    panel = panel.select("*", *ahead).filter(~F.col("is_terminal"))
+    panel = rolling(panel, rolls, path).selectExpr("*", *ahead).filter("NOT is_terminal")
 
-    wanted = [f"__{m}_{h}" for h in horizons for m in ("max_close", "min_close", "max_high", "full", "end")]
-    wanted += [f"n_forward_{h}d" for h in horizons]
+    measures = ("max_close", "min_close", "max_high", "full", "end", "n")
     spine = at_events(
-        events.select("event_id", "security_id", "crash_date", "crash_close"), panel, tuple(wanted)
+        events.select("event_id", "security_id", "crash_date", "crash_close"),
+        panel,
+        [f"__{m}_{h}" for h in horizons for m in measures],
     )
     flags = delisting_flags(master).select("security_id", "is_delisted", "delisting_return_missing")
-    spine = spine.join(flags, "security_id", "left")
+    spine = spine.join(flags, "security_id", "left").selectExpr("*", "coalesce(is_delisted, false) AS __gone")
 
-    p0, delisted = F.col("crash_close"), F.coalesce("is_delisted", F.lit(False))
-    out = [F.col(c) for c in ("event_id", "security_id", "crash_date", "crash_close")]
-    out += [p0.isNull().alias("no_close_data"), F.col("delisting_return_missing")]
+    out = ["event_id", "security_id", "crash_date", "crash_close"]
+    out += ["crash_close IS NULL AS no_close_data", "delisting_return_missing"]
     for h in horizons:
-        full = F.coalesce(f"__full_{h}", F.lit(False))
-        known = p0.isNotNull() & (delisted | full)
-        values = dict(zip(outcome_columns(h), ("end", "max_close", "min_close")))
+        full = f"coalesce(__full_{h}, false)"
+        known = f"crash_close IS NOT NULL AND (__gone OR {full})"
         out += [
-            F.coalesce(f"n_forward_{h}d", F.lit(0)).cast("long").alias(f"n_forward_{h}d"),
-            (p0.isNotNull() & ~delisted & ~full).alias(f"censored_{h}d"),
-            *[F.when(known, change(F.col(f"__{m}_{h}"), p0)).alias(name) for name, m in values.items()],
+            f"coalesce(__n_{h}, 0) AS n_forward_{h}d",
+            f"crash_close IS NOT NULL AND NOT __gone AND NOT {full} AS censored_{h}d",
         ]
+        for name, m in zip(outcome_columns(h), ("end", "max_close", "min_close")):
+            out.append(f"CASE WHEN {known} THEN {change(f'__{m}_{h}', 'crash_close')} END AS {name}")
         for percent, fraction in thresholds:
-            target = p0 * (1.0 + fraction)
+            target = f"crash_close * {number(1.0 + fraction)}"
             for best, intraday in (("max_close", False), ("max_high", True)):
-                hit = (F.col(f"__{best}_{h}") >= target).cast("byte")
-                out.append(F.when(known, hit).alias(hit_column(percent, h, intraday)))
-    return spine.select(*out)
+                hit = f"cast(__{best}_{h} >= {target} AS tinyint)"
+                out.append(f"CASE WHEN {known} THEN {hit} END AS {hit_column(percent, h, intraday)}")
+    return spine.selectExpr(*out)
 
 
 def label_summary(labels: DataFrame, events: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """One row: size of the pools, censored events per horizon and the primary base rate, all and clean."""
-    flags = events.select("event_id", "in_universe_at_event", "passes_min_price")
-    clean = F.coalesce(F.col("in_universe_at_event") & F.col("passes_min_price"), F.lit(False))
-    hit = F.when(~F.col("censored_20d"), F.col("hit_10pct_20d"))
-    return labels.join(flags, "event_id", "left").agg(
-        F.count(F.lit(1)).alias("events"),
-        F.count_if(clean).alias("clean_events"),
-        *[F.count_if(f"censored_{h}d").alias(f"censored_{h}d") for h in horizons],
-        F.count(hit).alias("determined"),
-        F.avg(hit).alias("base_rate"),
-        F.count(F.when(clean, hit)).alias("clean_determined"),
-        F.avg(F.when(clean, hit)).alias("clean_base_rate"),
+    flags = events.selectExpr("event_id", f"coalesce({CLEAN}, false) AS __clean")
+    hit = "CASE WHEN NOT censored_20d THEN hit_10pct_20d END"
+    return labels.join(flags, "event_id", "left").selectExpr(
+        "count(*) AS events",
+        "count_if(__clean) AS clean_events",
+        *[f"count_if(censored_{h}d) AS censored_{h}d" for h in horizons],
+        f"count({hit}) AS determined",
+        f"avg({hit}) AS base_rate",
+        f"count(CASE WHEN __clean THEN {hit} END) AS clean_determined",
+        f"avg(CASE WHEN __clean THEN {hit} END) AS clean_base_rate",
     )

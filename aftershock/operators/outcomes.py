@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arith import compounded, log_growth
-from ..functions.windows import by_security, running, whole
+from ..functions.windows import over, running, whole
 from .events import clean_pool
 from .features import at_events
 
@@ -23,45 +23,41 @@ EDGE_DAYS = 17  # a last row this close to the end of the data counts as still t
 def data_edge(events: DataFrame, prices: DataFrame) -> DataFrame:
     """One row: the last date among securities that have an event, minus the tolerance."""
     ends = prices.groupBy("security_id").agg(F.max("date").alias("last"))
-    return ends.join(events.select("security_id"), "security_id", "left_semi").agg(
-        F.date_sub(F.max("last"), EDGE_DAYS).alias("edge")
+    return ends.join(events.select("security_id"), "security_id", "left_semi").selectExpr(
+        f"date_sub(max(last), {EDGE_DAYS}) AS edge"
     )
 
 
 def outcome_table(events: DataFrame, prices: DataFrame, horizons: Sequence[int]) -> DataFrame:
     """Per clean event that is in the panel: ``ret_<h>`` (null where not observed) and ``censored_<h>``."""
     events = clean_pool(events).select("event_id", "security_id", "crash_date")
-    w = by_security()
-    panel = prices.select("security_id", "date", F.coalesce("daily_return", F.lit(0.0)).alias("__r"))
-    panel = panel.select(
+    panel = prices.selectExpr("security_id", "date", "coalesce(daily_return, 0D) AS r").selectExpr(
         "security_id",
         "date",
-        F.sum(log_growth(F.col("__r"))).over(running(w)).alias("__log"),
-        F.max("date").over(whole(w)).alias("__last_date"),
+        f"sum({log_growth('r')}) {running()} AS __log",
+        f"max(date) {whole()} AS __last_date",
     )
-    panel = panel.select(
+    panel = panel.selectExpr(
         "*",
-        F.last("__log").over(whole(w)).alias("__log_end"),
-        *[F.lead("__log", h).over(w).alias(f"__log_{h}") for h in horizons],
+        f"last(__log) {whole()} AS __log_end",
+        *[f"lead(__log, {h}) {over()} AS __log_{h}" for h in horizons],
     )
-    wanted = ("__log", "__log_end", "__last_date", *[f"__log_{h}" for h in horizons])
+    wanted = ["__log", "__log_end", "__last_date", *[f"__log_{h}" for h in horizons]]
     # the edge is a single row
     found = at_events(events, panel, wanted, how="inner").crossJoin(F.broadcast(data_edge(events, prices)))
     out = []
     for h in horizons:
-        later = F.col(f"__log_{h}")
-        censored = later.isNull() & (F.col("__last_date") >= F.col("edge"))
-        value = compounded(F.coalesce(later, F.col("__log_end")) - F.col("__log"))
+        censored = f"__log_{h} IS NULL AND __last_date >= edge"
+        value = compounded(f"coalesce(__log_{h}, __log_end) - __log")
         # a day of total loss leaves -inf minus -inf, which is no return
-        out += [F.when(~censored & ~F.isnan(value), value).alias(f"ret_{h}"), censored.alias(f"censored_{h}")]
-    return found.select("event_id", "security_id", "crash_date", *out)
+        out += [
+            f"CASE WHEN NOT ({censored}) AND NOT isnan({value}) THEN {value} END AS ret_{h}",
+            f"{censored} AS censored_{h}",
+        ]
+    return found.selectExpr("event_id", "security_id", "crash_date", *out)
 
 
 def forward_returns(events: DataFrame, prices: DataFrame, horizon: int = 252) -> DataFrame:
     """Observed clean events with their return over ``horizon`` rows."""
-    name = f"ret_{horizon}"
-    return (
-        outcome_table(events, prices, [horizon])
-        .filter(F.col(name).isNotNull())
-        .select("event_id", "security_id", "crash_date", F.col(name).alias("ret"))
-    )
+    table = outcome_table(events, prices, [horizon]).filter(f"ret_{horizon} IS NOT NULL")
+    return table.selectExpr("event_id", "security_id", "crash_date", f"ret_{horizon} AS ret")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arith import spread_null_key
@@ -23,7 +23,7 @@ def interval_join(
     at: str,
     start: str,
     end: str,
-    prefer: Sequence[Column],
+    prefer: str,
     unique: Sequence[str],
     take: dict[str, str],
     open_end: bool = False,
@@ -31,21 +31,18 @@ def interval_join(
     """``left`` with the best ``right`` row whose closed interval contains ``at``.
 
     Every left row appears once. ``take`` maps right columns to output names; they are null where no
-    interval fits. ``prefer`` orders competing intervals, ``unique`` identifies a left row.
+    interval fits. ``prefer`` is the ORDER BY text among competing intervals, over right columns
+    prefixed with ``r_``; ``unique`` identifies a left row.
     """
-    r = right.select(*[F.col(c).alias(f"__r_{c}") for c in right.columns])
-    ends_later = F.col(at) <= F.col(f"__r_{end}")
-    if open_end:
-        ends_later = F.col(f"__r_{end}").isNull() | ends_later
-    matched = left.join(
-        r, (F.col(key) == F.col(f"__r_{key}")) & (F.col(at) >= F.col(f"__r_{start}")) & ends_later, "left"
-    )
+    r = right.selectExpr(*[f"{c} AS r_{c}" for c in right.columns])
+    not_over = f"({at} <= r_{end}" + (f" OR r_{end} IS NULL)" if open_end else ")")
+    matched = left.join(r, F.expr(f"{key} = r_{key} AND {at} >= r_{start} AND {not_over}"), "left")
     # the join leaves the rows placed by ``key``, so ranking them needs no exchange
-    best = Window.partitionBy(key, *[u for u in unique if u != key]).orderBy(*prefer)
+    place = ", ".join([key, *[u for u in unique if u != key]])
     return (
-        matched.withColumn("__rank", F.row_number().over(best))
-        .filter(F.col("__rank") == 1)
-        .select(*left.columns, *[F.col(f"__r_{c}").alias(name) for c, name in take.items()])
+        matched.selectExpr("*", f"row_number() OVER (PARTITION BY {place} ORDER BY {prefer}) AS __rank")
+        .filter("__rank = 1")
+        .selectExpr(*left.columns, *[f"r_{c} AS {name}" for c, name in take.items()])
     )
 
 
@@ -58,33 +55,27 @@ def asof_join(
     search into an interval lookup with at most one match. Rows that became known on the same day
     rank by ``newest``. Left rows without a match, or without a key, keep nulls.
     """
-    timeline = Window.partitionBy(key).orderBy(known, newest)
-    spans = right.filter(F.col(known).isNotNull() & F.col(key).isNotNull()).select(
-        F.col(key).alias("__key"),
-        F.col(known).alias("__from"),
-        F.lead(known).over(timeline).alias("__until"),
-        *[F.col(c).alias(f"__r_{c}") for c in take],
-    )
-    spread = left.withColumn("__left_key", spread_null_key(F.col(key), F.col(at)))
-    fits = (
-        (F.col("__left_key") == F.col("__key"))
-        & F.col(key).isNotNull()
-        & (F.col(at) >= F.col("__from"))
-        & (F.col("__until").isNull() | (F.col(at) < F.col("__until")))
+    spans = right.filter(f"{known} IS NOT NULL AND {key} IS NOT NULL").selectExpr(
+        f"{key} AS __key",
+        f"{known} AS __from",
+        f"lead({known}) OVER (PARTITION BY {key} ORDER BY {known}, {newest}) AS __until",
+        *[f"{c} AS __r_{c}" for c in take],
     )
-    return spread.join(spans, fits, "left").select(
-        *left.columns, *[F.col(f"__r_{c}").alias(c) for c in take]
+    spread = left.selectExpr("*", f"{spread_null_key(key, at)} AS __left_key")
+    fits = F.expr(
+        f"__left_key = __key AND {key} IS NOT NULL AND {at} >= __from AND (__until IS NULL OR {at} < __until)"
     )
+    return spread.join(spans, fits, "left").selectExpr(*left.columns, *[f"__r_{c} AS {c}" for c in take])
 
 
 def link_companies(events: DataFrame, link: DataFrame) -> DataFrame:
     """Events with the company whose link was valid on the event date, primary links first."""
-    links = good_links(link).select(
-        F.col("lpermno").cast("long").alias("security_id"),
-        F.col("gvkey").cast("long").alias("company_id"),
+    links = good_links(link).selectExpr(
+        "cast(lpermno AS bigint) AS security_id",
+        "cast(gvkey AS bigint) AS company_id",
         "linkprim",
-        F.col("linkdt").cast("date").alias("linkdt"),
-        F.col("linkenddt").cast("date").alias("linkenddt"),
+        "cast(linkdt AS date) AS linkdt",
+        "cast(linkenddt AS date) AS linkenddt",
     )
     return interval_join(
         events.select("event_id", "security_id", "crash_date", "crash_close"),
@@ -94,11 +85,7 @@ def link_companies(events: DataFrame, link: DataFrame) -> DataFrame:
         start="linkdt",
         end="linkenddt",
         open_end=True,
-        prefer=[
-            F.when(F.col("__r_linkprim") == "P", 0).otherwise(1),
-            F.col("__r_linkdt").desc_nulls_last(),
-            F.col("__r_company_id"),
-        ],
+        prefer="CASE WHEN r_linkprim = 'P' THEN 0 ELSE 1 END, r_linkdt DESC NULLS LAST, r_company_id",
         unique=["event_id"],
         take={"company_id": "company_id"},
     )

@@ -9,86 +9,69 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _bin(value: Column) -> Column:
-    """A coarse bin number that never decreases with the value: fine near zero, logarithmic far out."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value) * 1000.0) * 200.0)
+# A coarse bin number that never decreases with the value: fine near zero, logarithmic far out.
+_BIN = "floor(signum(v) * log1p(abs(v) * 1000D) * 200D)"
+_UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
 def distribution(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float] = (0.5,)
 ) -> DataFrame:
-    """Per key: n, mean, n_positive and ``q<i>``, the exact interpolated quantiles, of finite values.
+    """Per key: n, mean, n_positive and ``q<i>``, the exact interpolated quantiles, of the values.
 
-    Without ``keys`` the result is one row for the whole table, absent when it has no values.
+    Null and NaN values and null keys are left out. Without ``keys`` the result is one row for the
+    whole table, absent when it has no values.
     """
     keys = list(keys)
-    v = F.col(value).cast("double")
-    usable = df.filter(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("__v"))
-    counts = usable.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    counts = counts.withColumn("__b", _bin(F.col("__v")))
-    bins = counts.groupBy(*keys, "__b").agg(
-        F.sum("__c").alias("__n"),
-        F.sum(F.col("__v") * F.col("__c")).alias("__total"),
-        F.sum(F.when(F.col("__v") > 0, F.col("__c")).otherwise(0)).alias("__positive"),
+    usable = " AND ".join([f"{value} IS NOT NULL", f"NOT isnan({value})", *[f"{k} IS NOT NULL" for k in keys]])
+    counts = (
+        df.filter(usable)
+        .selectExpr(*keys, f"cast({value} AS double) AS v")
+        .groupBy(*keys, "v")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .selectExpr("*", f"{_BIN} AS bin")
+    )
+    bins = counts.groupBy(*keys, "bin").agg(
+        F.expr("sum(c) AS size"), F.expr("sum(v * c) AS total"), F.expr("sum(CASE WHEN v > 0 THEN c ELSE 0 END) AS up")
     )
     # at most a few ten thousand bins per key, however many rows it has
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = bins.select(
+    group = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    bins = bins.selectExpr(
         *keys,
-        "__b",
-        (F.sum("__n").over(upto) - F.col("__n")).alias("__below"),
-        F.sum("__n").over(upto).alias("__upto"),
-        F.sum("__n").over(group).alias("n"),
-        F.sum("__total").over(group).alias("__total"),
-        F.sum("__positive").over(group).alias("n_positive"),
-    )
-
-    def rank(p: float) -> Column:
-        return (F.col("n") - 1).cast("double") * F.lit(float(p))
-
-    wanted = [f(rank(p)) for p in probabilities for f in (F.floor, F.ceil)]
-
-    def holds(low: Column, high: Column) -> Column:
-        hit = F.lit(False)
-        for r in wanted:
-            hit = hit | ((r >= low) & (r < high))
-        return hit
-
-    opened = bins.filter(holds(F.col("__below"), F.col("__upto")))
-    members = counts.join(opened, [*keys, "__b"])
-    inside = (
-        Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    members = members.withColumn("__high", F.col("__below") + F.sum("__c").over(inside)).withColumn(
-        "__low", F.col("__high") - F.col("__c")
+        "bin",
+        f"sum(size) OVER ({group} ORDER BY bin {_UPTO}) - size AS low",
+        f"sum(size) OVER ({group} ORDER BY bin {_UPTO}) AS high",
+        f"sum(size) OVER ({group}) AS n",
+        f"sum(total) OVER ({group}) AS total",
+        f"sum(up) OVER ({group}) AS n_positive",
     )
-    picked = []
-    for i, p in enumerate(probabilities):
-        for side, f in (("lo", F.floor), ("hi", F.ceil)):
-            r = f(rank(p))
-            picked.append(
-                F.max(F.when((r >= F.col("__low")) & (r < F.col("__high")), F.col("__v"))).alias(f"__{side}{i}")
-            )
-    sizes = [F.max(c).alias(c) for c in ("n", "__total", "n_positive")]
-    found = members.groupBy(*keys).agg(*sizes, *picked)
-    if not keys:
-        found = found.filter(F.col("n").isNotNull())
 
-    def between(i: int, p: float) -> Column:
-        low, high, r = F.col(f"__lo{i}"), F.col(f"__hi{i}"), rank(p)
-        part = r - F.floor(r).cast("double")
-        # equal ends stay exact, also when they are infinite
-        return F.when(low == high, low).otherwise(low + (high - low) * part)
+    def rank(p: float, side: str) -> str:
+        return f"{side}((n - 1) * {float(p)!r}D)"
 
-    return found.select(
+    sides = {f"{name}{i}": rank(p, f) for i, p in enumerate(probabilities) for name, f in (("a", "floor"), ("b", "ceil"))}
+    opened = bins.filter(" OR ".join(f"({r} >= low AND {r} < high)" for r in dict.fromkeys(sides.values())))
+    members = counts.join(opened, [*keys, "bin"]).selectExpr(
         *keys,
+        "v",
         "n",
-        (F.col("__total") / F.col("n")).alias("mean"),
+        "total",
         "n_positive",
-        *[between(i, p).alias(f"q{i}") for i, p in enumerate(probabilities)],
+        "c",
+        f"low + sum(c) OVER (PARTITION BY {', '.join([*keys, 'bin'])} ORDER BY v {_UPTO}) AS high",
     )
+    picked = [
+        F.expr(f"max(CASE WHEN {r} >= high - c AND {r} < high THEN v END) AS {name}") for name, r in sides.items()
+    ]
+    found = members.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("n", "total", "n_positive")], *picked)
+    if not keys:
+        found = found.filter("n IS NOT NULL")
+    quantiles = [
+        # equal ends stay exact, also when they are infinite
+        f"CASE WHEN a{i} = b{i} THEN a{i} ELSE a{i} + (b{i} - a{i}) * ((n - 1) * {float(p)!r}D - {rank(p, 'floor')}) END AS q{i}"
+        for i, p in enumerate(probabilities)
+    ]
+    return found.selectExpr(*keys, "n", "total / n AS mean", "n_positive", *quantiles)

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arith import wilson
+from ..functions.arith import named, number, wilson
 from .quantiles import distribution
 
 SMALL_SAMPLE = 50
@@ -17,26 +17,21 @@ SMALL_SAMPLE = 50
 
 def with_wilson(df: DataFrame, hits: str = "hits", n: str = "n") -> DataFrame:
     """Add rate, ci_low and ci_high."""
-    rate, low, high = wilson(F.col(hits), F.col(n))
-    return df.select("*", rate.alias("rate"), low.alias("ci_low"), high.alias("ci_high"))
+    return df.selectExpr("*", *named(wilson(hits, n)))
+
+
+def _hits_and_n(target: str) -> list[Column]:
+    return [F.expr(f"coalesce(sum(cast({target} AS bigint)), 0) AS hits"), F.expr(f"count({target}) AS n")]
 
 
 def overall_rate(df: DataFrame, target: str) -> DataFrame:
     """One row with the recovery rate over determined events; nulls when there are none."""
-    counted = df.agg(
-        F.coalesce(F.sum(F.col(target).cast("long")), F.lit(0)).alias("hits"), F.count(target).alias("n")
-    )
-    return with_wilson(counted)
+    return with_wilson(df.agg(*_hits_and_n(target)))
 
 
 def grouped_rate(df: DataFrame, by: str, target: str) -> DataFrame:
     """Recovery rate per group over determined events."""
-    counted = (
-        df.filter(F.col(target).isNotNull())
-        .groupBy(by)
-        .agg(F.sum(F.col(target).cast("long")).alias("hits"), F.count(F.lit(1)).alias("n"))
-    )
-    return with_wilson(counted)
+    return with_wilson(df.filter(f"{target} IS NOT NULL").groupBy(by).agg(*_hits_and_n(target)))
 
 
 def top_groups(rates: DataFrame, by: str, top: int = 12) -> DataFrame:
@@ -49,49 +44,27 @@ def recovery_grid(
 ) -> DataFrame:
     """Recovery rate per threshold and horizon, in one pass over the events."""
     cells = [
-        F.struct(
-            F.lit(p).alias("threshold_pct"), F.lit(h).alias("horizon"), F.col(f"hit_{p}pct_{h}d").alias("hit")
-        )
-        for p in percents
-        for h in horizons
+        f"struct({p} AS threshold_pct, {h} AS horizon, hit_{p}pct_{h}d AS hit)" for p in percents for h in horizons
     ]
-    long = df.select(F.inline(F.array(*cells)))
-    counted = long.groupBy("threshold_pct", "horizon").agg(
-        F.coalesce(F.sum(F.col("hit").cast("long")), F.lit(0)).alias("hits"), F.count("hit").alias("n")
-    )
-    return with_wilson(counted)
-
-
-def _code(*steps: tuple[Column, int], default: int, unless: Column | None = None) -> Column:
-    chain = F.when(unless, F.lit(None)) if unless is not None else None
-    for test, code in steps:
-        chain = F.when(test, code) if chain is None else chain.when(test, code)
-    return chain.otherwise(default)
-
-
-def slice_code(name: str) -> Column:
-    """Code of one descriptive slice. Null features are left out, except where a slice has no rule for them."""
-    c = F.col
-    if name == "magnitude":
-        r = c("crash_return")
-        return _code((r > -0.15, 0), (r > -0.20, 1), (r > -0.30, 2), default=3)
-    if name == "prior_count":
-        n = c("prior_crash_count_20d")
-        return _code((n == 0, 0), (n == 1, 1), (n == 2, 2), default=3)
-    if name == "size":
-        m = c("market_cap")
-        return _code((m < 300, 0), (m < 2000, 1), (m < 10000, 2), default=3, unless=m.isNull())
-    if name == "profitability":
-        m = c("net_margin")
-        return _code((m < 0, 0), default=1, unless=m.isNull())
-    if name == "leverage":
-        d = c("debt_to_assets")
-        return _code((d < 0.1, 0), (d < 0.3, 1), (d < 0.5, 2), default=3, unless=d.isNull())
-    if name == "market_day":
-        m = c("market_return_1d")
-        return _code((m <= -0.05, 0), (m <= -0.02, 1), (m < 0, 2), default=3)
-    raise ValueError(f"unknown slice {name!r}")
-
+    long = df.selectExpr(f"inline(array({', '.join(cells)}))")
+    return with_wilson(long.groupBy("threshold_pct", "horizon").agg(*_hits_and_n("hit")))
+
+
+# Code of each descriptive slice. A null feature gets no code, except in the slices by
+# crash size, prior crashes and market day, where it falls into the last group.
+SLICE_CODES = {
+    "magnitude": """CASE WHEN crash_return > -0.15D THEN 0 WHEN crash_return > -0.20D THEN 1
+        WHEN crash_return > -0.30D THEN 2 ELSE 3 END""",
+    "prior_count": """CASE WHEN prior_crash_count_20d = 0 THEN 0 WHEN prior_crash_count_20d = 1 THEN 1
+        WHEN prior_crash_count_20d = 2 THEN 2 ELSE 3 END""",
+    "size": """CASE WHEN market_cap IS NULL THEN NULL WHEN market_cap < 300 THEN 0 WHEN market_cap < 2000 THEN 1
+        WHEN market_cap < 10000 THEN 2 ELSE 3 END""",
+    "profitability": "CASE WHEN net_margin IS NULL THEN NULL WHEN net_margin < 0 THEN 0 ELSE 1 END",
+    "leverage": """CASE WHEN debt_to_assets IS NULL THEN NULL WHEN debt_to_assets < 0.1D THEN 0
+        WHEN debt_to_assets < 0.3D THEN 1 WHEN debt_to_assets < 0.5D THEN 2 ELSE 3 END""",
+    "market_day": """CASE WHEN market_return_1d <= -0.05D THEN 0 WHEN market_return_1d <= -0.02D THEN 1
+        WHEN market_return_1d < 0 THEN 2 ELSE 3 END""",
+}
 
 # Labels of the slice codes.
 SLICE_LABELS = {
@@ -104,33 +77,35 @@ SLICE_LABELS = {
 }
 
 
+# Conditions of the headline rates.
+HEADLINES = {
+    "fresh": "prior_crash_count_20d = 0",
+    "three_or_more_prior": "prior_crash_count_20d >= 3",
+    "market_crash": "market_return_1d <= -0.05D",
+    "market_up": "market_return_1d >= 0",
+    "micro_cap": "market_cap < 300",
+    "large_cap": "market_cap >= 10000",
+    "unprofitable": "net_margin < 0",
+    "profitable": "net_margin >= 0",
+}
+
+
 def slice_rates(df: DataFrame, name: str, target: str) -> DataFrame:
     """Recovery rate per code of a slice, with its label."""
-    coded = df.select(slice_code(name).alias("code"), target).filter(F.col("code").isNotNull())
-    labels = F.array(*[F.lit(x) for x in SLICE_LABELS[name]])
-    return grouped_rate(coded, "code", target).withColumn("label", F.element_at(labels, F.col("code") + 1))
+    coded = df.selectExpr(f"{SLICE_CODES[name]} AS code", target).filter("code IS NOT NULL")
+    labels = ", ".join(f"'{x}'" for x in SLICE_LABELS[name])
+    return grouped_rate(coded, "code", target).selectExpr("*", f"element_at(array({labels}), code + 1) AS label")
 
 
 def headline_rates(df: DataFrame, target: str) -> DataFrame:
     """Recovery rate of eight named conditions, in one pass; an event may meet several."""
-    c = F.col
-    conditions = {
-        "fresh": c("prior_crash_count_20d") == 0,
-        "three_or_more_prior": c("prior_crash_count_20d") >= 3,
-        "market_crash": c("market_return_1d") <= -0.05,
-        "market_up": c("market_return_1d") >= 0,
-        "micro_cap": c("market_cap") < 300,
-        "large_cap": c("market_cap") >= 10000,
-        "unprofitable": c("net_margin") < 0,
-        "profitable": c("net_margin") >= 0,
-    }
-    return grouped_rate(explode_keys(df, conditions, "headline", [target]), "headline", target)
-
-
-def explode_keys(df: DataFrame, conditions: dict[str, Column], name: str, keep: Sequence[str]) -> DataFrame:
+    return grouped_rate(explode_keys(df, HEADLINES, "headline", [target]), "headline", target)
+
+
+def explode_keys(df: DataFrame, conditions: dict[str, str], name: str, keep: Sequence[str]) -> DataFrame:
     """One row per event and condition it meets: a single scan serves all conditions."""
-    met = F.array_compact(F.array(*[F.when(test, F.lit(key)) for key, test in conditions.items()]))
-    return df.select(F.explode(met).alias(name), *keep)
+    met = ", ".join(f"CASE WHEN {test} THEN '{key}' END" for key, test in conditions.items())
+    return df.selectExpr(f"explode(array_compact(array({met}))) AS {name}", *keep)
 
 
 def quantile_buckets(df: DataFrame, column: str, q: int, prefix: str, name: str = "bucket") -> DataFrame:
@@ -140,36 +115,30 @@ def quantile_buckets(df: DataFrame, column: str, q: int, prefix: str, name: str
     """
     inner = [i / q for i in range(1, q)]
     # one row with q - 1 breaks, so broadcasting it is bounded; without values there is no row
-    breaks = distribution(df, [], column, inner).select(*[F.col(f"q{i}").alias(f"__q{i}") for i in range(len(inner))])
-    joined = df.join(F.broadcast(breaks), F.lit(True), "left")
-    above = sum([(F.col(column) > F.col(f"__q{i}")).cast("int") for i in range(len(inner))], F.lit(0))
-    label = F.when(F.col(column).isNotNull(), F.concat(F.lit(prefix), (above + 1).cast("string")))
-    return joined.withColumn(name, label).select(*df.columns, name)
+    breaks = distribution(df, [], column, inner).selectExpr(*[f"q{i} AS __q{i}" for i in range(len(inner))])
+    above = " + ".join(["1", *[f"cast({column} > __q{i} AS int)" for i in range(len(inner))]])
+    label = f"CASE WHEN {column} IS NOT NULL THEN concat('{prefix}', {above}) END AS {name}"
+    return df.join(F.broadcast(breaks), F.lit(True), "left").selectExpr(*df.columns, label)
 
 
 def return_stats(df: DataFrame, keys: Sequence[str], value: str = "ret") -> DataFrame:
     """n, median, mean and share of positive returns per key, flagged when the sample is small."""
-    return distribution(df, keys, value).select(
-        *keys,
-        "n",
-        F.col("q0").alias("median"),
-        "mean",
-        (F.col("n_positive") / F.col("n")).alias("p_positive"),
-        (F.col("n") < SMALL_SAMPLE).alias("small_n"),
+    return distribution(df, keys, value).selectExpr(
+        *keys, "n", "q0 AS median", "mean", "n_positive / n AS p_positive", f"n < {SMALL_SAMPLE} AS small_n"
     )
 
 
 def tail_stats(outcomes: DataFrame, horizon: int) -> DataFrame:
     """One row over an outcome table: pool, censored, observed and the tails of the return."""
-    r = F.col(f"ret_{horizon}")
-    return outcomes.agg(
-        F.count(F.lit(1)).alias("events"),
-        F.count_if(f"censored_{horizon}").alias("censored"),
-        F.count(r).alias("observed"),
-        F.avg((r > 0).cast("int")).alias("p_positive"),
-        F.avg((r >= 0.10).cast("int")).alias("p_up_10"),
-        F.avg((r <= -0.50).cast("int")).alias("p_down_50"),
-        F.avg(r).alias("mean"),
+    r = f"ret_{horizon}"
+    return outcomes.selectExpr(
+        "count(*) AS events",
+        f"count_if(censored_{horizon}) AS censored",
+        f"count({r}) AS observed",
+        f"avg(cast({r} > 0 AS int)) AS p_positive",
+        f"avg(cast({r} >= 0.10D AS int)) AS p_up_10",
+        f"avg(cast({r} <= -0.50D AS int)) AS p_down_50",
+        f"avg({r}) AS mean",
     )
 
 
@@ -196,24 +165,29 @@ ONE_WEEK = HistogramSpec(-0.5, 0.5, 0.025)
 
 def return_histogram(df: DataFrame, spec: HistogramSpec, value: str = "ret") -> DataFrame:
     """Occupied bins with count and share in percent. Bins are closed on the left, the last on both sides."""
-    v = F.col(value)
-    clipped = F.least(F.greatest(v, F.lit(spec.low)), F.lit(spec.high))
+    edges = [number(e) for e in spec.edges]
+    clipped = f"least(greatest({value}, {number(spec.low)}), {number(spec.high)})"
     # comparing with the edges themselves, not dividing, settles values that lie on an edge
-    edges = spec.edges
-    index = sum([(clipped >= e).cast("int") for e in edges[1:-1]], F.lit(0))
-    counted = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    index = " + ".join(["0", *[f"cast(clipped >= {e} AS int)" for e in edges[1:-1]]])
+    counted = (
+        df.filter(f"{value} IS NOT NULL AND NOT isnan({value})")
+        .selectExpr(f"{clipped} AS clipped")
+        .selectExpr(f"{index} AS bin")
+        .groupBy("bin")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     # one row per bin remains
-    return counted.select(
+    return counted.selectExpr(
         "bin",
-        F.element_at(F.array(*[F.lit(e) for e in edges]), F.col("bin") + 1).alias("bin_low"),
+        f"element_at(array({', '.join(edges)}), bin + 1) AS bin_low",
         "n",
-        (100.0 * F.col("n") / F.sum("n").over(Window.partitionBy())).alias("percent"),
+        "100D * n / sum(n) OVER () AS percent",
     )
 
 
 def missing_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of nulls per column, one pass."""
-    measured = df.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in columns])
+    measured = df.selectExpr(*[f"avg(cast({c} IS NULL AS int)) AS {c}" for c in columns])
     return measured.unpivot([], list(columns), "feature", "missing")
 
 
@@ -225,18 +199,17 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
 
 def recent_summary(recent: DataFrame) -> DataFrame:
     """One row: events and how many had no crash in the 60 rows before."""
-    fresh = F.col("prior_crash_count_60d") == 0
-    return recent.agg(
-        F.count(F.lit(1)).alias("events"), F.count_if(fresh).alias("fresh"), F.avg(fresh.cast("int")).alias("fresh_share")
+    return recent.selectExpr(
+        "count(*) AS events",
+        "count_if(prior_crash_count_60d = 0) AS fresh",
+        "avg(cast(prior_crash_count_60d = 0 AS int)) AS fresh_share",
     )
 
 
 def regime_stats(outcomes: DataFrame, regimes: Sequence[tuple[str, int, date | str | None]]) -> DataFrame:
     """Unconditional return statistics per regime (name, horizon, first event date)."""
     rows = []
-    for name, horizon, since in regimes:
-        r = F.col(f"ret_{horizon}")
-        if since is not None:
-            r = F.when(F.col("crash_date") >= F.lit(str(since)).cast("date"), r)
-        rows.append(F.struct(F.lit(name).alias("regime"), r.alias("ret")))
-    return return_stats(outcomes.select(F.inline(F.array(*rows))), ["regime"])
+    for name, h, since in regimes:
+        ret = f"ret_{h}" if since is None else f"CASE WHEN crash_date >= DATE '{since}' THEN ret_{h} END"
+        rows.append(f"struct('{name}' AS regime, {ret} AS ret)")
+    return return_stats(outcomes.selectExpr(f"inline(array({', '.join(rows)}))"), ["regime"])

@@ -2,56 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def earliest(df: DataFrame, column: str) -> Column:
-    """Aggregate: the non-null ``column`` of the earliest name period (ties: the smallest value)."""
-    c = F.col(column)
+def earliest(df: DataFrame, column: str) -> str:
+    """Aggregate text: the non-null ``column`` of the earliest name period (ties: the smallest value)."""
     if "ticker_start" not in df.columns:
-        return F.min(c)
-    return F.min(F.when(c.isNotNull(), F.struct(F.col("ticker_start").alias("t"), c.alias("v"))))["v"]
+        return f"min({column})"
+    return f"min(CASE WHEN {column} IS NOT NULL THEN struct(ticker_start AS t, {column} AS v) END).v"
 
 
 def master_summary(master: DataFrame) -> DataFrame:
     """One row: sizes, active and delisted securities, covered dates and exchanges."""
-    gone = F.when(F.col("delisting_date").isNotNull(), F.col("security_id"))
-    counted = master.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("security_id").alias("securities"),
-        F.count_distinct("company_id").alias("companies"),
-        F.count_distinct(gone).alias("with_delisting"),
-        F.min("ticker_start").alias("date_min"),
-        F.max("ticker_end").alias("date_max"),
+    counted = master.selectExpr(
+        "count(*) AS rows",
+        "count(DISTINCT security_id) AS securities",
+        "count(DISTINCT company_id) AS companies",
+        "count(DISTINCT CASE WHEN delisting_date IS NOT NULL THEN security_id END) AS with_delisting",
+        "min(ticker_start) AS date_min",
+        "max(ticker_end) AS date_max",
     )
     # the labels are a short code list, so the distinct ones fit in one row
-    exchanges = master.select("exchange").distinct().agg(
-        F.array_join(F.array_sort(F.collect_list("exchange")), ",").alias("exchanges")
-    )
-    return counted.crossJoin(F.broadcast(exchanges)).withColumn(
-        "active", F.col("securities") - F.col("with_delisting")
+    exchanges = master.select("exchange").distinct().selectExpr(
+        "array_join(array_sort(collect_list(exchange)), ',') AS exchanges"
     )
+    return counted.crossJoin(F.broadcast(exchanges)).selectExpr("*", "securities - with_delisting AS active")
 
 
-def delisting_class(code: Column) -> Column:
+def delisting_class(code: str) -> str:
     """active, acquired (200-399) or dropped (400 and up)."""
-    return F.when(code.isNull(), "active").when(code.between(200, 399), "acquired").when(code >= 400, "dropped")
+    return (
+        f"CASE WHEN {code} IS NULL THEN 'active' WHEN {code} BETWEEN 200 AND 399 THEN 'acquired' "
+        f"WHEN {code} >= 400 THEN 'dropped' END"
+    )
 
 
 def delisting_classes(master: DataFrame) -> DataFrame:
     """Securities per delisting class."""
     per_security = master.groupBy("security_id").agg(F.max("delisting_code").alias("code"))
-    return per_security.groupBy(delisting_class(F.col("code")).alias("delisting_class")).agg(
-        F.count(F.lit(1)).alias("securities")
-    )
+    classed = per_security.selectExpr(f"{delisting_class('code')} AS delisting_class")
+    return classed.groupBy("delisting_class").agg(F.count(F.lit(1)).alias("securities"))
 
 
 def renamed_securities(master: DataFrame, top: int | None = None) -> DataFrame:
     """Securities that had more than one ticker; with ``top``, those with the most."""
     found = (
-        master.groupBy("security_id")
-        .agg(F.count_distinct("ticker").alias("n_tickers"))
-        .filter(F.col("n_tickers") > 1)
+        master.groupBy("security_id").agg(F.count_distinct("ticker").alias("n_tickers")).filter("n_tickers > 1")
     )
     return found if top is None else found.orderBy(F.desc("n_tickers"), "security_id").limit(top)

@@ -6,7 +6,7 @@ values are rounded by ``floor``, so both engines arrive at the same numbers in a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,226 +15,196 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def rounded(c: Column, digits: int) -> Column:
+def rounded(c: str, digits: int) -> str:
     """Half-up rounding by plain arithmetic."""
-    scale = float(10**digits)
-    return F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    scale = f"1e{digits}D"
+    return f"floor(({c}) * {scale} + 0.5D) / {scale}"
 
 
-def _whole(c: Column) -> Column:
+def _whole(c: str) -> str:
     """Hundredths as a whole number."""
-    return F.floor(c * F.lit(100.0) + F.lit(0.5))
+    return f"floor({c} * 100D + 0.5D)"
 
 
 def raw_bars(spark: SparkSession, folder: str) -> DataFrame:
     """Daily bars under raw column names."""
-    sid, day = F.col("sid"), F.col("day")
-    items = table(spark, folder, "lineitem").select(
-        F.col("l_suppkey").cast("long").alias("sid"),
-        F.to_date("l_shipdate").alias("day"),
-        "l_quantity",
-        "l_tax",
-        "l_discount",
+    items = table(spark, folder, "lineitem").selectExpr(
+        "cast(l_suppkey AS bigint) AS sid", "to_date(l_shipdate) AS day", "l_quantity", "l_tax", "l_discount"
     )
-    items = items.filter(~((sid % 7 == 0) & (day >= F.lit("2000-01-01").cast("date"))))
-    daily = items.groupBy("sid", "day").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(_whole(F.col("l_tax"))).alias("tax"),
-        F.sum(_whole(F.col("l_discount"))).alias("discount"),
-        F.sum("l_quantity").alias("volume"),
-        F.max("l_tax").alias("mt"),
-        F.max("l_discount").alias("md"),
-    )
-    base = rounded(
-        (F.col("tax") - 2 * F.col("discount")).cast("double") / (F.col("n") * 100).cast("double") + F.lit(0.06), 6
+    daily = (
+        items.filter("NOT (sid % 7 = 0 AND day >= DATE '2000-01-01')")
+        .groupBy("sid", "day")
+        .agg(
+            F.expr("count(*) AS n"),
+            F.expr(f"sum({_whole('l_tax')}) AS tax"),
+            F.expr(f"sum({_whole('l_discount')}) AS discount"),
+            F.expr("sum(l_quantity) AS volume"),
+            F.expr("max(l_tax) AS mt"),
+            F.expr("max(l_discount) AS md"),
+        )
+        .selectExpr("*", f"{rounded('(tax - 2 * discount) / (n * 100) + 0.06D', 6)} AS b")
+        .selectExpr("*", f"{rounded('CASE WHEN b <= -0.135D THEN 2.5D * b ELSE 100D * b * b * b END', 6)} AS r")
     )
-    daily = daily.withColumn("b", base)
-    b = F.col("b")
-    daily = daily.withColumn("r", rounded(F.when(b <= -0.135, 2.5 * b).otherwise(100.0 * b * b * b), 6))
-    w = Window.partitionBy("sid").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    nano = F.floor(F.ln(F.lit(1.0) + F.col("r")) * F.lit(1e9) + F.lit(0.5))
-    daily = daily.withColumn("level", rounded(100.0 * F.exp(F.sum(nano).over(w) / F.lit(1e9)), 4))
-    level, mt, md = F.col("level"), F.col("mt"), F.col("md")
-    factor = F.when((sid % 2 == 0) & (day >= F.lit("1998-07-01").cast("date")), 2.0).otherwise(1.0)
-    ret = F.when(~((sid % 5 == 3) & (F.dayofmonth("day") == 28)), F.col("r"))
-    return daily.select(
-        sid.alias("permno"),
-        day.alias("dlycaldt"),
-        rounded(level * (1.0 + (mt - md) / 2.0), 4).alias("dlyopen"),
-        rounded(level * (1.0 + mt / 2.0), 4).alias("dlyhigh"),
-        rounded(level * (1.0 - md / 2.0), 4).alias("dlylow"),
-        F.when(~((sid % 5 == 2) & (F.dayofmonth("day") == 13)), level).alias("dlyclose"),
-        F.col("volume").alias("dlyvol"),
-        ret.alias("dlyret"),
-        ret.alias("dlyretx"),
-        factor.alias("dlycumfacpr"),
-        factor.alias("dlycumfacshr"),
-        (1000 + sid).cast("double").alias("shrout"),
+    logs = "sum(floor(ln(1D + r) * 1e9D + 0.5D)) OVER (PARTITION BY sid ORDER BY day ROWS UNBOUNDED PRECEDING)"
+    return daily.selectExpr("*", f"{rounded(f'100D * exp({logs} / 1e9D)', 4)} AS level").selectExpr(
+        "sid AS permno",
+        "day AS dlycaldt",
+        f"{rounded('level * (1D + (mt - md) / 2D)', 4)} AS dlyopen",
+        f"{rounded('level * (1D + mt / 2D)', 4)} AS dlyhigh",
+        f"{rounded('level * (1D - md / 2D)', 4)} AS dlylow",
+        "CASE WHEN NOT (sid % 5 = 2 AND dayofmonth(day) = 13) THEN level END AS dlyclose",
+        "volume AS dlyvol",
+        "CASE WHEN NOT (sid % 5 = 3 AND dayofmonth(day) = 28) THEN r END AS dlyret",
+        "CASE WHEN NOT (sid % 5 = 3 AND dayofmonth(day) = 28) THEN r END AS dlyretx",
+        "CASE WHEN sid % 2 = 0 AND day >= DATE '1998-07-01' THEN 2D ELSE 1D END AS dlycumfacpr",
+        "CASE WHEN sid % 2 = 0 AND day >= DATE '1998-07-01' THEN 2D ELSE 1D END AS dlycumfacshr",
+        "cast(1000 + sid AS double) AS shrout",
     )
 
 
 def raw_names(spark: SparkSession, folder: str) -> DataFrame:
     """Name periods: one ticker until mid-1998 and, for most, another from August 1998 on."""
     nation = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
-    supplier = table(spark, folder, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    sid = F.col("sid")
-    base = supplier.select(F.col("s_suppkey").cast("long").alias("sid"), "s_name", "n_regionkey")
-
-    def day(text: str) -> Column:
-        return F.lit(text).cast("date")
-
-    first = F.struct(F.lit("A").alias("letter"), day("1990-01-01").alias("start"), day("1998-06-30").alias("stop"))
-    second = F.struct(F.lit("B").alias("letter"), day("1998-08-01").alias("start"), day("2099-12-31").alias("stop"))
-    periods = F.when(sid % 9 == 4, F.array(first)).otherwise(F.array(first, second))
-    base = base.select("*", F.inline(periods))
-    exchange = F.element_at(F.array(*[F.lit(x) for x in "NAQX"]), (sid % 4 + 1).cast("int"))
-    sic = 1000 + 1500 * F.col("n_regionkey").cast("long") + 10 * (sid % 3)
-    return base.select(
-        sid.alias("permno"),
-        (100000 + sid).alias("permco"),
-        F.col("start").alias("namedt"),
-        F.col("stop").alias("nameenddt"),
-        F.concat(F.lit("S"), sid.cast("string"), F.col("letter")).alias("ticker"),
-        F.col("s_name").alias("issuernm"),
-        exchange.alias("primaryexch"),
-        F.lit("EQTY").alias("securitytype"),
-        F.lit("COM").alias("securitysubtype"),
-        F.when(sid % 23 == 0, "AD").otherwise("NS").alias("sharetype"),
-        F.when(sid % 37 == 0, "N").otherwise("Y").alias("usincflg"),
-        F.when(sid % 31 != 0, sic).alias("siccd"),
-        day("1990-01-01").alias("securitybegdt"),
-        F.col("stop").alias("securityenddt"),
+    supplier = table(spark, folder, "supplier").join(nation, F.expr("s_nationkey = n_nationkey"))
+    first = "struct('A' AS letter, DATE '1990-01-01' AS start, DATE '1998-06-30' AS stop)"
+    second = "struct('B' AS letter, DATE '1998-08-01' AS start, DATE '2099-12-31' AS stop)"
+    base = supplier.selectExpr("cast(s_suppkey AS bigint) AS sid", "s_name", "n_regionkey").selectExpr(
+        "*", f"inline(CASE WHEN sid % 9 = 4 THEN array({first}) ELSE array({first}, {second}) END)"
+    )
+    return base.selectExpr(
+        "sid AS permno",
+        "100000 + sid AS permco",
+        "start AS namedt",
+        "stop AS nameenddt",
+        "concat('S', sid, letter) AS ticker",
+        "s_name AS issuernm",
+        "element_at(array('N', 'A', 'Q', 'X'), cast(sid % 4 + 1 AS int)) AS primaryexch",
+        "'EQTY' AS securitytype",
+        "'COM' AS securitysubtype",
+        "CASE WHEN sid % 23 = 0 THEN 'AD' ELSE 'NS' END AS sharetype",
+        "CASE WHEN sid % 37 = 0 THEN 'N' ELSE 'Y' END AS usincflg",
+        "CASE WHEN sid % 31 <> 0 THEN 1000 + 1500 * cast(n_regionkey AS bigint) + 10 * (sid % 3) END AS siccd",
+        "DATE '1990-01-01' AS securitybegdt",
+        "stop AS securityenddt",
     )
 
 
 def raw_delistings(spark: SparkSession, folder: str) -> DataFrame:
     """Delisting records, some of them the "still trading" code 100."""
-    sid = F.col("s_suppkey").cast("long")
-    gone = sid % 7 == 0
-    return table(spark, folder, "supplier").filter(sid % 7 <= 1).select(
-        sid.alias("permno"),
-        F.when(gone, F.lit("2000-01-01")).otherwise(F.lit("2001-12-31")).cast("date").alias("dlstdt"),
-        F.when(~gone, 100).when(sid % 35 == 0, 233).otherwise(574).cast("long").alias("dlstcd"),
-        F.when(gone & (sid % 35 == 0), 0.05).when(gone & (sid % 14 != 0), -0.5).alias("dlret"),
+    base = table(spark, folder, "supplier").selectExpr("cast(s_suppkey AS bigint) AS sid").filter("sid % 7 <= 1")
+    return base.selectExpr(
+        "sid AS permno",
+        "CASE WHEN sid % 7 = 0 THEN DATE '2000-01-01' ELSE DATE '2001-12-31' END AS dlstdt",
+        "cast(CASE WHEN sid % 7 <> 0 THEN 100 WHEN sid % 35 = 0 THEN 233 ELSE 574 END AS bigint) AS dlstcd",
+        "CASE WHEN sid % 35 = 0 THEN 0.05D WHEN sid % 7 = 0 AND sid % 14 <> 0 THEN -0.5D END AS dlret",
     )
 
 
-def _statement_sums(spark: SparkSession, folder: str, period: Column) -> DataFrame:
+def _statement_sums(spark: SparkSession, folder: str, unit: str) -> DataFrame:
     """Whole-cent sums per supplier and period."""
-    cents = _whole(F.col("l_extendedprice"))
+    items = table(spark, folder, "lineitem").selectExpr(
+        "cast(l_suppkey AS bigint) AS sid",
+        f"to_date(date_trunc('{unit}', l_shipdate)) AS period",
+        f"{_whole('l_extendedprice')} AS cents",
+        f"{_whole('l_discount')} AS d",
+        f"{_whole('l_tax')} AS t",
+    )
+    sums = items.groupBy("sid", "period").agg(
+        F.expr("sum(cents) AS cents"), F.expr("sum(cents * (100 - d)) AS net"), F.expr("sum(cents * t) AS taxed")
+    )
     return (
-        table(spark, folder, "lineitem")
-        .select(
-            F.col("l_suppkey").cast("long").alias("sid"),
-            period.alias("period"),
-            cents.alias("cents"),
-            (cents * (100 - _whole(F.col("l_discount")))).alias("net"),
-            (cents * _whole(F.col("l_tax"))).alias("taxed"),
+        sums.selectExpr(
+            "sid", "period", "net / 1e7D AS sales", "0.6D * (cents / 1e5D) AS cogs", "taxed / 1e7D AS charge"
         )
-        .groupBy("sid", "period")
-        .agg(F.sum("cents").alias("cents"), F.sum("net").alias("net"), F.sum("taxed").alias("taxed"))
-        .select(
-            "sid",
-            "period",
-            (F.col("net") / F.lit(1e7)).alias("sales"),
-            (F.lit(0.6) * (F.col("cents") / F.lit(1e5))).alias("cogs"),
-            (F.col("taxed") / F.lit(1e7)).alias("charge"),
-        )
-        .withColumn("ebitda", F.col("sales") - F.col("cogs") - F.col("charge"))
-        .withColumn(
-            "income",
-            (0.5 * F.col("ebitda") - 0.02 * F.col("sales")) * F.when(F.col("sid") % 6 == 5, -0.3).otherwise(1.0),
+        .selectExpr("*", "sales - cogs - charge AS ebitda")
+        .selectExpr(
+            "*",
+            "(0.5D * ebitda - 0.02D * sales) * CASE WHEN sid % 6 = 5 THEN -0.3D ELSE 1D END AS income",
+            "4D * sales + 50D AS assets",
+            "2D * sales AS owed",
+            "cast(100000 + sid AS string) AS gvkey",
         )
     )
 
 
-def _format_columns(sid: Column) -> list[Column]:
-    return [
-        F.when(sid % 29 == 0, "FS").otherwise("INDL").alias("indfmt"),
-        F.lit("STD").alias("datafmt"),
-        F.lit("C").alias("consol"),
-        F.lit("D").alias("popsrc"),
-    ]
-
-
-def _company_key(sid: Column) -> Column:
-    return (100000 + sid).cast("string")
+_FORMAT = ["CASE WHEN sid % 29 = 0 THEN 'FS' ELSE 'INDL' END AS indfmt", "'STD' AS datafmt", "'C' AS consol", "'D' AS popsrc"]
 
 
 def raw_quarters(spark: SparkSession, folder: str) -> DataFrame:
     """Quarterly statements under raw column names."""
-    sums = _statement_sums(spark, folder, F.to_date(F.date_trunc("quarter", "l_shipdate")))
-    sid, sales = F.col("sid"), F.col("sales")
-    end = F.last_day(F.add_months("period", 2))
-    quarter, year = F.quarter("period").cast("long"), F.year("period").cast("long")
-    assets, owed = 4.0 * sales + 50.0, 2.0 * sales
-    return sums.select(
-        _company_key(sid).alias("gvkey"),
-        end.alias("datadate"),
-        F.when((sid + quarter) % 5 != 0, F.date_add(end, (20 + sid % 40).cast("int"))).alias("rdq"),
-        quarter.alias("fqtr"),
-        year.alias("fyrq"),
-        year.alias("fyearq"),
-        sales.alias("saleq"),
-        sales.alias("revtq"),
-        F.col("cogs").alias("cogsq"),
-        F.col("ebitda").alias("oibdpq"),
-        (0.05 * sales).alias("dpq"),
-        F.col("income").alias("niq"),
-        (F.col("income") / (1000 + sid).cast("double")).alias("epspxq"),
-        F.when(sid % 17 == 0, 0.0).otherwise(0.01 * sales).alias("xintq"),
-        assets.alias("atq"),
-        owed.alias("ltq"),
-        (0.3 * sales).alias("cheq"),
-        F.when(sid % 3 != 0, 0.5 * sales).alias("dlttq"),
-        F.when(sid % 6 != 0, 0.2 * sales).alias("dlcq"),
-        (1.5 * sales).alias("actq"),
-        F.when(sid % 19 != 0, 0.8 * sales).alias("lctq"),
-        (assets - owed).alias("seqq"),
-        (0.95 * (assets - owed)).alias("ceqq"),
-        (1 + sid % 97).cast("double").alias("cshoq"),
-        *_format_columns(sid),
+    return (
+        _statement_sums(spark, folder, "quarter")
+        .selectExpr(
+            "*",
+            "last_day(add_months(period, 2)) AS datadate",
+            "cast(quarter(period) AS bigint) AS q",
+            "cast(year(period) AS bigint) AS y",
+        )
+        .selectExpr(
+            "gvkey",
+            "datadate",
+            "CASE WHEN (sid + q) % 5 <> 0 THEN date_add(datadate, cast(20 + sid % 40 AS int)) END AS rdq",
+            "q AS fqtr",
+            "y AS fyrq",
+            "y AS fyearq",
+            "sales AS saleq",
+            "sales AS revtq",
+            "cogs AS cogsq",
+            "ebitda AS oibdpq",
+            "0.05D * sales AS dpq",
+            "income AS niq",
+            "income / (1000 + sid) AS epspxq",
+            "CASE WHEN sid % 17 = 0 THEN 0D ELSE 0.01D * sales END AS xintq",
+            "assets AS atq",
+            "owed AS ltq",
+            "0.3D * sales AS cheq",
+            "CASE WHEN sid % 3 <> 0 THEN 0.5D * sales END AS dlttq",
+            "CASE WHEN sid % 6 <> 0 THEN 0.2D * sales END AS dlcq",
+            "1.5D * sales AS actq",
+            "CASE WHEN sid % 19 <> 0 THEN 0.8D * sales END AS lctq",
+            "assets - owed AS seqq",
+            "0.95D * (assets - owed) AS ceqq",
+            "cast(1 + sid % 97 AS double) AS cshoq",
+            *_FORMAT,
+        )
     )
 
 
 def raw_years(spark: SparkSession, folder: str) -> DataFrame:
     """Annual statements under raw column names."""
-    sums = _statement_sums(spark, folder, F.to_date(F.date_trunc("year", "l_shipdate")))
-    sid, sales = F.col("sid"), F.col("sales")
-    end = F.last_day(F.add_months("period", 11))
-    return sums.select(
-        _company_key(sid).alias("gvkey"),
-        end.alias("datadate"),
-        F.date_add(end, (60 + sid % 30).cast("int")).alias("pdate"),
-        F.year("period").cast("long").alias("fyear"),
-        sales.alias("revt"),
-        F.col("income").alias("ni"),
-        (4.0 * sales + 50.0).alias("at"),
-        (2.0 * sales).alias("lt"),
-        (0.3 * sales).alias("che"),
-        F.when(sid % 3 != 0, 0.5 * sales).alias("dltt"),
-        F.when(sid % 6 != 0, 0.2 * sales).alias("dlc"),
-        (1 + sid % 97).cast("double").alias("csho"),
-        *_format_columns(sid),
+    return (
+        _statement_sums(spark, folder, "year")
+        .selectExpr("*", "last_day(add_months(period, 11)) AS datadate")
+        .selectExpr(
+            "gvkey",
+            "datadate",
+            "date_add(datadate, cast(60 + sid % 30 AS int)) AS pdate",
+            "cast(year(period) AS bigint) AS fyear",
+            "sales AS revt",
+            "income AS ni",
+            "assets AS at",
+            "owed AS lt",
+            "0.3D * sales AS che",
+            "CASE WHEN sid % 3 <> 0 THEN 0.5D * sales END AS dltt",
+            "CASE WHEN sid % 6 <> 0 THEN 0.2D * sales END AS dlc",
+            "cast(1 + sid % 97 AS double) AS csho",
+            *_FORMAT,
+        )
     )
 
 
 def link(spark: SparkSession, folder: str) -> DataFrame:
     """Security-company links: ended ones, secondary ones and ones of unusable type among them."""
-    sid = F.col("sid")
-    base = table(spark, folder, "supplier").select(F.col("s_suppkey").cast("long").alias("sid"))
-
-    def row(key: Column, kind: Column, prim: str, stop: Column) -> Column:
-        return F.struct(
-            key.alias("gvkey"),
-            kind.alias("linktype"),
-            F.lit(prim).alias("linkprim"),
-            F.lit("1990-01-01").cast("date").alias("linkdt"),
-            stop.alias("linkenddt"),
-        )
-
-    stop = F.when(sid % 11 == 0, F.lit("1998-12-31").cast("date"))
-    main = row(_company_key(sid), F.when(sid % 13 == 0, "NR").otherwise("LC"), "P", stop)
-    second = row((200000 + sid).cast("string"), F.lit("LU"), "C", F.lit(None).cast("date"))
-    rows = F.when((sid % 10 == 1) & (sid % 13 != 0), F.array(main, second)).otherwise(F.array(main))
-    return base.select(sid.alias("lpermno"), F.inline(rows))
+    base = table(spark, folder, "supplier").selectExpr("cast(s_suppkey AS bigint) AS lpermno")
+    begun = "DATE '1990-01-01' AS linkdt"
+    ended = "CASE WHEN lpermno % 11 = 0 THEN DATE '1998-12-31' END AS linkenddt"
+    kind = "CASE WHEN lpermno % 13 = 0 THEN 'NR' ELSE 'LC' END AS linktype"
+    main = f"struct(cast(100000 + lpermno AS string) AS gvkey, {kind}, 'P' AS linkprim, {begun}, {ended})"
+    second = (
+        "struct(cast(200000 + lpermno AS string) AS gvkey, 'LU' AS linktype, 'C' AS linkprim, "
+        f"{begun}, cast(null AS date) AS linkenddt)"
+    )
+    two = "lpermno % 10 = 1 AND lpermno % 13 <> 0"
+    return base.selectExpr(
+        "lpermno", f"inline(CASE WHEN {two} THEN array({main}, {second}) ELSE array({main}) END)"
+    )

@@ -27,12 +27,9 @@ def shown(df: DataFrame) -> DataFrame:
     rounded up whatever the last bit of its sum.
     """
 
-    def six(c):
-        return F.floor(c * F.lit(1e6) + F.lit(0.500001)) / F.lit(1e6)
-
-    return df.select(
+    return df.selectExpr(
         *[
-            (six(F.col(f.name)) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)).alias(f.name)
+            f"floor({f.name} * 1e6D + 0.500001D) / 1e6D AS {f.name}" if f.dataType == T.DoubleType() else f.name
             for f in df.schema
         ]
     )
@@ -317,7 +314,7 @@ def severity_returns_60d(s: Study) -> DataFrame:
     returns = outcomes.forward_returns(s.events, s.prices, 60).select("event_id", "ret")
     sizes = s.events.select("event_id", "crash_return")
     return buckets.bucket_outcomes(
-        returns.join(sizes, "event_id"), buckets.severity_buckets(buckets.full_buckets(), "")
+        returns.join(sizes, "event_id"), {"ret": buckets.severity_buckets(buckets.full_buckets(), "")}
     )
 
 
@@ -391,9 +388,9 @@ def grouped_rate_market_day(s: Study) -> DataFrame:
 
 @_query()
 def grouped_rate_sector(s: Study) -> DataFrame:
-    sic = s.master.groupBy("security_id").agg(universe.earliest(s.master, "sic_code").alias("sic"))
+    sic = s.master.groupBy("security_id").agg(F.expr(f"{universe.earliest(s.master, 'sic_code')} AS sic"))
     named = s.clean_with(s.labels).join(
-        sic.select("security_id", normalize.sic_division(F.col("sic")).alias("sector")), "security_id"
+        sic.selectExpr("security_id", f"{normalize.sic_division('sic')} AS sector"), "security_id"
     )
     return stats.top_groups(stats.grouped_rate(named, "sector", dataset.PRIMARY_TARGET), "sector")
 
@@ -410,36 +407,28 @@ def quantile_buckets(s: Study) -> DataFrame:
     return stats.value_counts(labelled, "bucket")
 
 
-def _report(s: Study, named: dict, sixty_day: dict, since: str | None) -> DataFrame:
-    """Buckets on one-year returns and, under their own keys, on sixty-day returns."""
+def _report(s: Study, named: dict[str, str], since: str | None) -> DataFrame:
+    """Buckets on one-year returns and, for the crash sizes, on sixty-day returns too."""
     table = s.outcomes(60, 252)
     if since is not None:
-        table = table.filter(F.col("crash_date") >= F.lit(since).cast("date"))
+        table = table.filter(f"crash_date >= DATE '{since}'")
     table = table.select("event_id", "ret_60", "ret_252").join(s.bucket_features(), "event_id")
-    rows = F.array(
-        *[
-            F.struct(F.when(test, F.lit(key)).alias("bucket"), F.col(f"ret_{h}").alias("ret"))
-            for h, tests in ((252, named), (60, sixty_day))
-            for key, test in tests.items()
-        ]
+    return buckets.bucket_outcomes(
+        table, {"ret_252": named, "ret_60": buckets.severity_buckets(named, "_60d")}
     )
-    long = table.select(F.inline(rows)).filter(F.col("bucket").isNotNull())
-    return stats.return_stats(long, ["bucket"])
 
 
 @_query(stage=True)
 def bucket_outcomes_full(s: Study) -> DataFrame:
-    named = buckets.full_buckets()
-    return _report(s, named, buckets.severity_buckets(named, "_60d"), None)
+    return _report(s, buckets.full_buckets(), None)
 
 
 @_query(stage=True)
 def bucket_outcomes_recent(s: Study) -> DataFrame:
-    named = buckets.recent_buckets()
-    return _report(s, named, buckets.severity_buckets(named, "_60d"), RECENT_START)
+    return _report(s, buckets.recent_buckets(), RECENT_START)
 
 
 @_query(stage=True)
 def bucket_outcomes_5d(s: Study) -> DataFrame:
-    returns = s.outcomes(5).select("event_id", F.col("ret_5").alias("ret"))
-    return buckets.bucket_outcomes(returns.join(s.bucket_features(), "event_id"), buckets.recent_buckets())
+    table = s.outcomes(5).select("event_id", "ret_5").join(s.bucket_features(), "event_id")
+    return buckets.bucket_outcomes(table, {"ret_5": buckets.recent_buckets()})

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import dataset, events, features, fundamentals, labels, outcomes
 from ..session import configure, staged
@@ -118,4 +117,4 @@ class Study:
             self.market_sector.select("event_id", "market_return_20d", "sector_return_1d"),
             beta,
             margin,
-        ).withColumn("rel_sector", F.col("crash_return") - F.col("sector_return_1d"))
+        ).selectExpr("*", "crash_return - sector_return_1d AS rel_sector")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arith import sum_nulls_as_zero
@@ -121,47 +121,41 @@ REPORT_LAG_DAYS = 60  # assumed publication lag where the report date is missing
 FIRST_DELISTING_CODE = 200  # lower codes mean "still trading"
 
 
-def _renamed(columns: dict[str, str]) -> list[Column]:
-    return [F.col(raw).alias(name) for name, raw in columns.items()]
+def _renamed(columns: dict[str, str | None]) -> list[str]:
+    return [f"{'NULL' if raw is None else raw} AS {name}" for name, raw in columns.items()]
 
 
-def exchange_label(code: Column) -> Column:
+def exchange_label(code: str) -> str:
     """Readable exchange name; unknown codes pass through."""
-    label = F.lit(None).cast("string")
-    for known, name in EXCHANGES.items():
-        label = F.when(code == known, F.lit(name)).otherwise(label)
-    return F.coalesce(label, code.cast("string"))
+    known = " ".join(f"WHEN '{c}' THEN '{label}'" for c, label in EXCHANGES.items())
+    return f"CASE cast({code} AS string) {known} ELSE cast({code} AS string) END"
 
 
-def sic_division(sic: Column) -> Column:
+def sic_division(sic: str) -> str:
     """Major division of a SIC code; Unknown without a code, Nonclassifiable between the ranges."""
-    chain = F.when(sic.isNull(), F.lit("Unknown"))
-    for low, high, name in SIC_DIVISIONS:
-        chain = chain.when(sic.between(low, high), F.lit(name))
-    return chain.otherwise(F.lit("Nonclassifiable"))
+    ranges = " ".join(f"WHEN {sic} BETWEEN {low} AND {high} THEN '{name}'" for low, high, name in SIC_DIVISIONS)
+    return f"CASE WHEN {sic} IS NULL THEN 'Unknown' {ranges} ELSE 'Nonclassifiable' END"
 
 
 def normalize_prices(bars: DataFrame) -> DataFrame:
     """Raw daily bars to daily_price. The return column is kept as delivered (split and dividend adjusted)."""
-    df = bars.select(*_renamed(DAILY_BAR_COLUMNS))
-    factor, close = F.col("cum_factor_price").cast("double"), F.col("close").cast("double")
-    usable = F.coalesce(factor, F.lit(0.0)) != 0.0
-    return conform(df.withColumn("adjusted_close", F.when(usable, close / factor).otherwise(close)), DAILY_PRICE)
+    factor, close = "cast(cum_factor_price AS double)", "cast(close AS double)"
+    adjusted = f"CASE WHEN {factor} <> 0 THEN {close} / {factor} ELSE {close} END AS adjusted_close"
+    return conform(bars.selectExpr(*_renamed(DAILY_BAR_COLUMNS)).selectExpr("*", adjusted), DAILY_PRICE)
 
 
 def normalize_security_master(names: DataFrame, delistings: DataFrame | None = None) -> DataFrame:
     """Name periods, with the delisting (if it is a real one) of their security on every period."""
-    out = names.select(*_renamed(NAME_COLUMNS), exchange_label(F.col("primaryexch")).alias("exchange"))
-    out = out.withColumn("security_id", F.col("security_id").cast("long"))
+    out = names.selectExpr(*_renamed(NAME_COLUMNS), f"{exchange_label('primaryexch')} AS exchange")
     if delistings is None:
-        out = out.select("*", *[F.lit(None).alias(c) for c in ("delisting_date", "delisting_code", "delisting_return")])
+        out = out.selectExpr("*", "NULL AS delisting_date", "NULL AS delisting_code", "NULL AS delisting_return")
     else:
-        real = F.col("dlstcd").cast("long") >= FIRST_DELISTING_CODE
-        gone = delistings.select(
-            F.col("permno").cast("long").alias("security_id"),
-            F.when(real, F.col("dlstdt")).alias("delisting_date"),
-            F.when(real, F.col("dlstcd")).alias("delisting_code"),
-            F.when(real, F.col("dlret")).alias("delisting_return"),
+        real = f"CASE WHEN cast(dlstcd AS bigint) >= {FIRST_DELISTING_CODE} THEN"
+        gone = delistings.selectExpr(
+            "permno AS security_id",
+            f"{real} dlstdt END AS delisting_date",
+            f"{real} dlstcd END AS delisting_code",
+            f"{real} dlret END AS delisting_return",
         )
         out = out.join(gone, "security_id", "left")
     return conform(out, SECURITY_MASTER)
@@ -169,22 +163,21 @@ def normalize_security_master(names: DataFrame, delistings: DataFrame | None = N
 
 def normalize_delistings(delistings: DataFrame) -> DataFrame:
     """Delisting records as corporate actions."""
-    code = F.col("dlstcd").cast("long")
-    df = delistings.select(
-        F.col("permno").alias("security_id"),
-        F.col("dlstdt").alias("effective_date"),
-        F.lit("DELISTING").alias("action_type"),
-        F.col("dlret").alias("value"),
-        code.alias("code"),
-        F.concat(F.lit("dlstcd="), code.cast("string")).alias("details"),
+    df = delistings.selectExpr(
+        "permno AS security_id",
+        "dlstdt AS effective_date",
+        "'DELISTING' AS action_type",
+        "dlret AS value",
+        "dlstcd AS code",
+        "concat('dlstcd=', cast(dlstcd AS bigint)) AS details",
     )
     return conform(df, CORPORATE_ACTION)
 
 
 def normalize_sector(names: DataFrame) -> DataFrame:
     """SIC code and division, one row per security and code."""
-    df = names.select(F.col("permno").cast("long").alias("security_id"), F.col("siccd").cast("long").alias("sic_code"))
-    return conform(df.distinct().withColumn("sic_division", sic_division(F.col("sic_code"))), SECTOR_METADATA)
+    codes = names.selectExpr("cast(permno AS bigint) AS security_id", "cast(siccd AS bigint) AS sic_code").distinct()
+    return conform(codes.selectExpr("*", f"{sic_division('sic_code')} AS sic_division"), SECTOR_METADATA)
 
 
 def normalize_fundamentals(raw: DataFrame, freq: str = "Q", links: DataFrame | None = None) -> DataFrame:
@@ -194,21 +187,15 @@ def normalize_fundamentals(raw: DataFrame, freq: str = "Q", links: DataFrame | N
     """
     if freq not in FUNDAMENTAL_COLUMNS:
         raise ValueError(f"freq must be one of {sorted(FUNDAMENTAL_COLUMNS)}, not {freq!r}")
-    columns = FUNDAMENTAL_COLUMNS[freq]
-    picked = [
-        (F.lit(None) if raw_name is None else F.col(raw_name)).alias(name) for name, raw_name in columns.items()
-    ]
-    out = raw.select(F.col("gvkey").cast("long").alias("company_id"), F.lit(freq).alias("freq"), *picked)
-    out = out.withColumn(
-        "total_debt", sum_nulls_as_zero(F.col("long_debt").cast("double"), F.col("short_debt").cast("double"))
-    )
+    debt = sum_nulls_as_zero("cast(long_debt AS double)", "cast(short_debt AS double)")
+    out = raw.selectExpr(
+        "cast(gvkey AS bigint) AS company_id", f"'{freq}' AS freq", *_renamed(FUNDAMENTAL_COLUMNS[freq])
+    ).selectExpr("*", f"{debt} AS total_debt")
     if links is None:
-        out = out.withColumn("security_id", F.lit(None))
+        out = out.selectExpr("*", "NULL AS security_id")
     else:
-        one = links.groupBy(F.col("gvkey").cast("long").alias("company_id")).agg(
-            F.min(F.col("lpermno").cast("long")).alias("security_id")
-        )
-        out = out.join(one, "company_id", "left")
+        one = links.selectExpr("cast(gvkey AS bigint) AS company_id", "cast(lpermno AS bigint) AS security_id")
+        out = out.join(one.groupBy("company_id").agg(F.min("security_id").alias("security_id")), "company_id", "left")
     return conform(out, FUNDAMENTALS)
 
 
@@ -218,21 +205,17 @@ def normalize_unrestated(raw: DataFrame) -> DataFrame:
     A missing report date falls back to period end + 60 days and is flagged; total debt is missing
     only when both of its parts are.
     """
-    period_end, reported = F.col("datadate").cast("date"), F.col("rdq").cast("date")
-    df = raw.select(
-        *_renamed(UNRESTATED_COLUMNS),
-        period_end.alias("period_end"),
-        F.coalesce(reported, F.date_add(period_end, REPORT_LAG_DAYS)).alias("public_date"),
-        reported.isNotNull().alias("rdq_available"),
-        F.lit("Q").alias("freq"),
-    )
-    long_debt, short_debt = F.col("debt_long_term").cast("double"), F.col("debt_current").cast("double")
-    df = df.select(
+    long_debt, short_debt = "cast(debt_long_term AS double)", "cast(debt_current AS double)"
+    debt = sum_nulls_as_zero(long_debt, short_debt)
+    df = raw.selectExpr(
+        *_renamed(UNRESTATED_COLUMNS), "cast(datadate AS date) AS period_end", "cast(rdq AS date) AS reported"
+    ).selectExpr(
         "*",
-        (F.col("revenue").cast("double") - F.col("cogs").cast("double")).alias("gross_profit"),
-        (F.col("ebitda").cast("double") - F.col("depreciation").cast("double")).alias("operating_income"),
-        F.when(long_debt.isNotNull() | short_debt.isNotNull(), sum_nulls_as_zero(long_debt, short_debt)).alias(
-            "total_debt"
-        ),
+        f"coalesce(reported, date_add(period_end, {REPORT_LAG_DAYS})) AS public_date",
+        "reported IS NOT NULL AS rdq_available",
+        "'Q' AS freq",
+        "cast(revenue AS double) - cast(cogs AS double) AS gross_profit",
+        "cast(ebitda AS double) - cast(depreciation AS double) AS operating_income",
+        f"CASE WHEN {long_debt} IS NOT NULL OR {short_debt} IS NOT NULL THEN {debt} END AS total_debt",
     )
     return conform(df, UNRESTATED_FUNDAMENTALS)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TYPES = {
@@ -160,7 +159,7 @@ def conform(df: DataFrame, schema: T.StructType, strict: bool = False) -> DataFr
         if wrong:
             raise SchemaError(f"column types (found, required): {wrong}")
         return df.select(*schema.names)
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    return df.selectExpr(*[f"cast({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema])
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
