@@ -35,7 +35,11 @@ def shown(df: DataFrame) -> DataFrame:
     )
 
 
-def _query(stage: bool = False, name: str | None = None):
+PANEL = ("daily_prices",)
+BOTH = ("daily_prices", "crash_events")
+
+
+def _query(stage: tuple[str, ...] = (), name: str | None = None):
     def register(build: Callable[[Study], DataFrame]):
         key = name or build.__name__
         _QUERIES[key] = lambda spark, folder: shown(build(Study(spark, folder, stage)))
@@ -211,22 +215,22 @@ def consecutive_events(s: Study) -> DataFrame:
 # --- features and labels
 
 
-@_query()
+@_query(PANEL)
 def price_features(s: Study) -> DataFrame:
     return s.price
 
 
-@_query()
+@_query(PANEL)
 def recent_features(s: Study) -> DataFrame:
     return s.recent
 
 
-@_query()
+@_query(PANEL)
 def prior_count_hist(s: Study) -> DataFrame:
     return stats.value_counts(s.recent, "prior_crash_count_20d", top=8)
 
 
-@_query()
+@_query(PANEL)
 def recent_summary(s: Study) -> DataFrame:
     return stats.recent_summary(s.recent)
 
@@ -236,17 +240,17 @@ def market_features(s: Study) -> DataFrame:
     return features.market_series(s.prices)
 
 
-@_query()
+@_query(PANEL)
 def sector_features(s: Study) -> DataFrame:
     return s.market_sector.select("event_id", *MARKET_FEATURES)
 
 
-@_query()
+@_query(PANEL)
 def labels_grid(s: Study) -> DataFrame:
     return s.labels
 
 
-@_query()
+@_query(PANEL)
 def labels_base_rate(s: Study) -> DataFrame:
     return labels.label_summary(s.labels, s.events)
 
@@ -276,7 +280,7 @@ def ebitda_margin(s: Study) -> DataFrame:
     return fundamentals.event_ebitda_margin(events.clean_pool(s.events), s.fundamentals, s.link)
 
 
-@_query()
+@_query(PANEL)
 def event_beta(s: Study) -> DataFrame:
     return features.event_beta(events.clean_pool(s.events), s.prices)
 
@@ -284,32 +288,32 @@ def event_beta(s: Study) -> DataFrame:
 # --- outcomes
 
 
-@_query()
+@_query(PANEL)
 def forward_return_5(s: Study) -> DataFrame:
     return outcomes.forward_returns(s.events, s.prices, 5)
 
 
-@_query()
+@_query(PANEL)
 def forward_return_60(s: Study) -> DataFrame:
     return outcomes.forward_returns(s.events, s.prices, 60)
 
 
-@_query()
+@_query(PANEL)
 def forward_return_252(s: Study) -> DataFrame:
     return outcomes.forward_returns(s.events, s.prices, 252)
 
 
-@_query()
+@_query(PANEL)
 def base_rate_regimes(s: Study) -> DataFrame:
     return stats.regime_stats(s.outcomes(5, 60, 252), REGIMES)
 
 
-@_query()
+@_query(PANEL)
 def base_rate_tails(s: Study) -> DataFrame:
     return stats.tail_stats(s.outcomes(252), 252)
 
 
-@_query()
+@_query(PANEL)
 def severity_returns_60d(s: Study) -> DataFrame:
     returns = outcomes.forward_returns(s.events, s.prices, 60).select("event_id", "ret")
     sizes = s.events.select("event_id", "crash_return")
@@ -322,71 +326,71 @@ def _histogram(horizon: int, spec: stats.HistogramSpec):
     return lambda s: stats.return_histogram(outcomes.forward_returns(s.events, s.prices, horizon), spec)
 
 
-_query(name="return_histogram_one_year")(_histogram(252, stats.ONE_YEAR))
-_query(name="return_histogram_sixty_day")(_histogram(60, stats.SIXTY_DAY))
-_query(name="return_histogram_one_week")(_histogram(5, stats.ONE_WEEK))
+_query(PANEL, "return_histogram_one_year")(_histogram(252, stats.ONE_YEAR))
+_query(PANEL, "return_histogram_sixty_day")(_histogram(60, stats.SIXTY_DAY))
+_query(PANEL, "return_histogram_one_week")(_histogram(5, stats.ONE_WEEK))
 
 
 # --- dataset and reports
 
 
-@_query(stage=True)
+@_query(BOTH)
 def event_dataset(s: Study) -> DataFrame:
     return s.dataset
 
 
-@_query(stage=True)
+@_query(BOTH)
 def dataset_validation(s: Study) -> DataFrame:
     return dataset.dataset_checks(s.dataset)
 
 
-@_query(stage=True)
+@_query(BOTH)
 def feature_missingness(s: Study) -> DataFrame:
     clean = s.clean_with(s.price, s.recent, s.market_sector, s.fundamental)
     return stats.missing_shares(clean, dataset.FEATURE_COLUMNS)
 
 
-@_query()
+@_query(PANEL)
 def overall_rate(s: Study) -> DataFrame:
     return stats.overall_rate(s.clean_with(s.labels), dataset.PRIMARY_TARGET)
 
 
-@_query()
+@_query(PANEL)
 def recovery_grid(s: Study) -> DataFrame:
     return stats.recovery_grid(s.clean_with(s.labels))
 
 
-@_query()
+@_query(PANEL)
 def grouped_rate_magnitude(s: Study) -> DataFrame:
     return stats.slice_rates(s.clean_with(s.labels), "magnitude", dataset.PRIMARY_TARGET)
 
 
-@_query(stage=True)
+@_query(BOTH)
 def grouped_rate_prior_count(s: Study) -> DataFrame:
     return stats.slice_rates(s.clean_with(s.labels, s.recent), "prior_count", dataset.PRIMARY_TARGET)
 
 
-@_query(stage=True)
+@_query(BOTH)
 def grouped_rate_size(s: Study) -> DataFrame:
     return stats.slice_rates(s.clean_with(s.labels, s.fundamental), "size", dataset.PRIMARY_TARGET)
 
 
-@_query(stage=True)
+@_query(BOTH)
 def grouped_rate_profitability(s: Study) -> DataFrame:
     return stats.slice_rates(s.clean_with(s.labels, s.fundamental), "profitability", dataset.PRIMARY_TARGET)
 
 
-@_query(stage=True)
+@_query(BOTH)
 def grouped_rate_leverage(s: Study) -> DataFrame:
     return stats.slice_rates(s.clean_with(s.labels, s.fundamental), "leverage", dataset.PRIMARY_TARGET)
 
 
-@_query(stage=True)
+@_query(BOTH)
 def grouped_rate_market_day(s: Study) -> DataFrame:
     return stats.slice_rates(s.clean_with(s.labels, s.market_sector), "market_day", dataset.PRIMARY_TARGET)
 
 
-@_query()
+@_query(PANEL)
 def grouped_rate_sector(s: Study) -> DataFrame:
     sic = s.master.groupBy("security_id").agg(F.expr(f"{universe.earliest(s.master, 'sic_code')} AS sic"))
     named = s.clean_with(s.labels).join(
@@ -395,13 +399,13 @@ def grouped_rate_sector(s: Study) -> DataFrame:
     return stats.top_groups(stats.grouped_rate(named, "sector", dataset.PRIMARY_TARGET), "sector")
 
 
-@_query(stage=True)
+@_query(BOTH)
 def headline_rates(s: Study) -> DataFrame:
     clean = s.clean_with(s.labels, s.recent, s.market_sector, s.fundamental)
     return stats.headline_rates(clean, dataset.PRIMARY_TARGET)
 
 
-@_query()
+@_query(PANEL)
 def quantile_buckets(s: Study) -> DataFrame:
     labelled = stats.quantile_buckets(s.price.select("event_id", "volatility_20d"), "volatility_20d", 5, "vol")
     return stats.value_counts(labelled, "bucket")
@@ -418,17 +422,17 @@ def _report(s: Study, named: dict[str, str], since: str | None) -> DataFrame:
     )
 
 
-@_query(stage=True)
+@_query(BOTH)
 def bucket_outcomes_full(s: Study) -> DataFrame:
     return _report(s, buckets.full_buckets(), None)
 
 
-@_query(stage=True)
+@_query(BOTH)
 def bucket_outcomes_recent(s: Study) -> DataFrame:
     return _report(s, buckets.recent_buckets(), RECENT_START)
 
 
-@_query(stage=True)
+@_query(BOTH)
 def bucket_outcomes_5d(s: Study) -> DataFrame:
     table = s.outcomes(5).select("event_id", "ret_5").join(s.bucket_features(), "event_id")
     return buckets.bucket_outcomes(table, {"ret_5": buckets.recent_buckets()})

@@ -17,15 +17,16 @@ from .params import MIN_PRICE
 class Study:
     """Example study over the tables in ``folder``.
 
-    With ``stage`` the panel and the events are written once to the shared folder and read back, as
-    a stored study would; worth it when several feature families follow.
+    Tables named in ``stage`` are written once to the shared folder and read back, as in a stored
+    study. That pays when a query reads a table more than once: the panel for events and features,
+    the events for several feature families.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, stage: bool = False):
+    def __init__(self, spark: SparkSession, folder: str, stage: tuple[str, ...] = ()):
         self.spark, self.folder, self.stage = configure(spark), folder, stage
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
-        return staged(df, name) if self.stage else df
+        return staged(df, name) if name in self.stage else df
 
     @cached_property
     def bars(self) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import SparkSession
 
 # A window over security_id leaves the panel hash-partitioned by that column alone. With this
 # setting a later join on (security_id, date) keeps that placement and only moves the events.
+# Generated methods beyond 8000 bytes are never compiled by the JVM; Spark then splits them instead.
 _SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
 }
