@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A coarse bin number that never decreases with the value: fine near zero, logarithmic far out.
-_BIN = "floor(signum(v) * log1p(abs(v) * 1000D) * 200D)"
+# A coarse bin number that never decreases with the value: fine near zero, logarithmic far out. It is
+# visibly never null, or the join on it would push a null check into one use of the shared exchange.
+_BIN = "coalesce(floor(signum(v) * log1p(abs(v) * 1000D) * 200D), 0)"
 _UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 

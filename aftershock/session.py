@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -45,15 +44,20 @@ def local_session(cpus: int | str = 8, memory: str = "8g", shuffle_partitions: i
     return spark
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's checkpoint folder, or a new local one in local mode."""
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, or a new local folder in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder is not None:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_folders[application]
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
