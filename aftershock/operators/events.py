@@ -42,7 +42,6 @@ def attach_identifiers(crashes: DataFrame, master: DataFrame) -> DataFrame:
         start="ticker_start",
         end="ticker_end",
         prefer="r_ticker_start DESC NULLS LAST, r_ticker",
-        unique=["crash_date"],
         take={"company_id": "company_id", "ticker": "ticker_as_of_event", "security_id": "__covered"},
     )
     return joined.selectExpr("*", "__covered IS NOT NULL AS in_universe_at_event").drop("__covered")

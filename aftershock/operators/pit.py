@@ -15,6 +15,27 @@ from ..functions.arith import spread_null_key
 from ..sources.tables import good_links
 
 
+def disjoint_spans(
+    intervals: DataFrame, *, key: str, start: str, end: str, prefer: str, open_end: bool = False
+) -> DataFrame:
+    """``intervals`` cut at each other's ends, so that every day of a key has at most one row: the best.
+
+    Columns are prefixed with ``r_``; ``r_from`` and ``r_until`` (first day after it, null = open) bound
+    a span. ``prefer`` is the ORDER BY text among competing intervals, over the prefixed columns. The
+    work is on the dimension, whose keys hold a handful of intervals each, not on the events.
+    """
+    usable = f"{key} IS NOT NULL AND {start} IS NOT NULL" + ("" if open_end else f" AND {end} IS NOT NULL")
+    r = intervals.filter(usable).selectExpr(*[f"{c} AS r_{c}" for c in intervals.columns])
+    cuts = r.selectExpr(f"r_{key} AS k", f"explode(array(r_{start}, date_add(r_{end}, 1))) AS r_from")
+    cuts = cuts.filter("r_from IS NOT NULL").distinct()
+    cuts = cuts.selectExpr("*", "lead(r_from) OVER (PARTITION BY k ORDER BY r_from) AS r_until")
+    covering = cuts.join(
+        r, F.expr(f"k = r_{key} AND r_from >= r_{start} AND (r_{end} IS NULL OR r_from <= r_{end})")
+    )
+    rank = f"row_number() OVER (PARTITION BY k, r_from ORDER BY {prefer}) AS r_rank"
+    return covering.selectExpr("*", rank).filter("r_rank = 1").drop("k", "r_rank")
+
+
 def interval_join(
     left: DataFrame,
     right: DataFrame,
@@ -24,25 +45,18 @@ def interval_join(
     start: str,
     end: str,
     prefer: str,
-    unique: Sequence[str],
     take: dict[str, str],
     open_end: bool = False,
 ) -> DataFrame:
     """``left`` with the best ``right`` row whose closed interval contains ``at``.
 
-    Every left row appears once. ``take`` maps right columns to output names; they are null where no
-    interval fits. ``prefer`` is the ORDER BY text among competing intervals, over right columns
-    prefixed with ``r_``; ``unique`` identifies a left row.
+    Every left row appears once, as spans do not overlap. ``take`` maps right columns to output
+    names; they are null where no interval fits.
     """
-    r = right.selectExpr(*[f"{c} AS r_{c}" for c in right.columns])
-    not_over = f"({at} <= r_{end}" + (f" OR r_{end} IS NULL)" if open_end else ")")
-    matched = left.join(r, F.expr(f"{key} = r_{key} AND {at} >= r_{start} AND {not_over}"), "left")
-    # the join leaves the rows placed by ``key``, so ranking them needs no exchange
-    place = ", ".join([key, *[u for u in unique if u != key]])
-    return (
-        matched.selectExpr("*", f"row_number() OVER (PARTITION BY {place} ORDER BY {prefer}) AS __rank")
-        .filter("__rank = 1")
-        .selectExpr(*left.columns, *[f"r_{c} AS {name}" for c, name in take.items()])
+    spans = disjoint_spans(right, key=key, start=start, end=end, prefer=prefer, open_end=open_end)
+    fits = f"{key} = r_{key} AND {at} >= r_from AND (r_until IS NULL OR {at} < r_until)"
+    return left.join(spans, F.expr(fits), "left").selectExpr(
+        *left.columns, *[f"r_{c} AS {name}" for c, name in take.items()]
     )
 
 
@@ -86,6 +100,5 @@ def link_companies(events: DataFrame, link: DataFrame) -> DataFrame:
         end="linkenddt",
         open_end=True,
         prefer="CASE WHEN r_linkprim = 'P' THEN 0 ELSE 1 END, r_linkdt DESC NULLS LAST, r_company_id",
-        unique=["event_id"],
         take={"company_id": "company_id"},
     )

@@ -143,3 +143,36 @@ def test_asof_against_brute_force_with_ties_and_null_keys(spark):
     for r in got:
         fits = [(known, n) for k, known, n in right if k == r["k"] and known <= r["t"]]
         assert r["payload"] == (max(fits)[1] if fits else None)
+
+
+@pytest.mark.parametrize("open_end", [False, True])
+def test_interval_join_against_brute_force(spark, open_end):
+    import random
+
+    from aftershock.operators.pit import interval_join
+
+    rng = random.Random(23)
+    d0 = date(2020, 1, 1).toordinal()
+
+    def some_day(top=50):
+        return date.fromordinal(d0 + rng.randrange(top))
+
+    intervals = []
+    for n in range(60):
+        a = some_day()
+        b = None if rng.random() < 0.1 else date.fromordinal(a.toordinal() + rng.randrange(-2, 25))
+        intervals.append((rng.choice([1, 2, 3]), a, b, n))
+    left = [(i, rng.choice([1, 2, 3, 4, None]), some_day(90)) for i in range(400)]
+    got = interval_join(
+        spark.createDataFrame(left, "id long, k long, t date"),
+        spark.createDataFrame(intervals, "k long, a date, b date, n long"),
+        key="k", at="t", start="a", end="b", prefer="r_a DESC, r_n", take={"n": "best"}, open_end=open_end,
+    ).collect()
+    assert len(got) == len(left)
+    for r in got:
+        fits = [
+            (a, -n)
+            for k, a, b, n in intervals
+            if k == r["k"] and a <= r["t"] and ((open_end and b is None) or (b is not None and r["t"] <= b))
+        ]
+        assert r["best"] == (-max(fits)[1] if fits else None)

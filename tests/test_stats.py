@@ -4,6 +4,7 @@ from datetime import date
 
 import pytest
 from conftest import by_id, day
+from pyspark.sql import functions as F
 
 from aftershock.operators import buckets, dataset, outcomes, profile, stats, universe
 from aftershock.operators.quantiles import distribution
@@ -198,4 +199,5 @@ def test_master_summaries(spark):
     assert (r["rows"], r["securities"], r["companies"], r["with_delisting"], r["active"], r["exchanges"]) == (4, 3, 2, 2, 1, "NYSE,Nasdaq")
     assert {r["delisting_class"]: r["securities"] for r in universe.delisting_classes(m).collect()} == {"active": 1, "acquired": 1, "dropped": 1}
     assert [tuple(r) for r in universe.renamed_securities(m, top=1).collect()] == [(1, 2)]
-    assert {tuple(r) for r in m.groupBy("security_id").agg(__import__("pyspark.sql.functions", fromlist=["expr"]).expr(f"{universe.earliest(m, 'sic_code')} AS sic")).collect()} == {(1, 11), (2, None), (3, None)}
+    first = m.groupBy("security_id").agg(F.expr(f"{universe.earliest(m, 'sic_code')} AS sic"))
+    assert {tuple(r) for r in first.collect()} == {(1, 11), (2, None), (3, None)}
