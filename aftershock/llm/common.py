@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import staged  # noqa: F401  (operators take it from here)
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 #: Rows per Arrow batch. Texts of documents are long, so that the default of 10,000 rows would take much memory.
 ROWS_PER_BATCH = "256"
 
@@ -22,7 +25,13 @@ ALPHANUMERIC = bytes(LOWER[b] if LOWER[b] in _LETTERS else 0x20 for b in range(2
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings that the operators rely on: small Arrow batches, adaptive execution."""
+    """Settings that the operators rely on: small Arrow batches, adaptive execution, and workers that find this package.
+
+    On a cluster the package is shipped with ``--py-files`` or installed; here its folder is added to the workers' path.
+    """
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if _ROOT not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (path, _ROOT)))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     return spark

@@ -1,10 +1,13 @@
 """N-gram Jaccard join as a blocked sparse matrix product of documents by n-grams.
 
 1. A document's set is the distinct hashes of its word n-grams. Equal sets form a class; only one row per class goes on.
-2. Rows of the matrix meet in a block if they can reach the threshold at all. Sets of sizes a and b that reach it differ
-   in at most (1 - t) / (1 + t) * (a + b) elements. Cutting the hash range into more slices than that leaves at least one
-   slice in which both sets are equal, so rows that share no slice are never multiplied. Size classes keep the number
-   of slices in step with the sizes.
+2. Rows of the matrix meet in a block if they can reach the threshold at all.
+   For high thresholds: sets of sizes a and b that reach it differ in at most (1 - t) / (1 + t) * (a + b) elements. Cutting
+   the hash range into more slices than that leaves at least one slice in which both sets are equal, so rows that share
+   no slice are never multiplied. Size classes keep the number of slices in step with the sizes.
+   For lower ones slices get too small to tell texts apart. There, two sets that reach the threshold share at least k of
+   their first n - ceil(t n) + k hashes. Rows that have fewer than k hashes in common with any others go; the rest meet by
+   their rarest hashes.
 3. Within a block the overlap counts accumulate over blocks of columns, and a pair goes as soon as its count plus what
    is left of the smaller set cannot reach the bound that the sizes demand.
 """
@@ -33,6 +36,9 @@ BLOCK_COLUMNS = 4096
 #: Rows to look for in the texts that may be broadcast; beyond that both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
+#: From this threshold on, rows meet by slices; below, by the first hashes of their sets.
+SLICES_FROM = 85
+
 _LARGE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -105,6 +111,21 @@ def signatures(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
+def _first(size: int, percent: int) -> tuple[int, int]:
+    """How many of a set's first hashes are compared, and k: how many of them a similar set of its size shares."""
+    free = size + -percent * size // 100 + 1
+    k = max(1, 3 * free // 4)
+    return min(size, free - 1 + k), k
+
+
+def first_hashes(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """The hashes by which a set can meet a different one that reaches the threshold."""
+    size = len(hashes)
+    if 100 * size < percent * (size + 1):  # only equal sets reach it
+        return hashes[:0]
+    return hashes[: _first(size, percent)[0]]
+
+
 _SETS = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sigs", pa.list_(pa.int64()))]
 )
@@ -120,7 +141,8 @@ def _set_rows(words: int, percent: int):
                 sizes.append(len(hashes))
                 k1.append(int.from_bytes(key[:8], "big", signed=True))
                 k2.append(int.from_bytes(key[8:], "big", signed=True))
-                flat.append(signatures(hashes, percent).view(np.int64))
+                keys = signatures(hashes, percent) if percent >= SLICES_FROM else first_hashes(hashes, percent)
+                flat.append(keys.view(np.int64))
                 ends.append(ends[-1] + len(flat[-1]))
             values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
@@ -200,6 +222,26 @@ def _multiply(percent: int):
     return block
 
 
+def _rarest(slots: DataFrame, percent: int) -> DataFrame:
+    """Of the first hashes of each row, the rarest ones, by which it meets every row that reaches the threshold.
+
+    With c hashes that other rows have too, of which similar rows share k, the c - k + 1 rarest suffice. A row has few
+    of these hashes, and each has its own, so the windows are bounded.
+    """
+    smallest = F.floor((F.col("n") * percent + 99) / 100)  # of a set that can reach the threshold with this one
+    k = F.greatest(F.lit(1), F.floor((smallest - F.floor((smallest * percent + 99) / 100) + 1) * 3 / 4))
+    own = Window.partitionBy("b")
+    met = slots.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("sig")
+    shared = staged(
+        slots.join(met, "sig").withColumn("k", k).withColumn("c", F.count(F.lit(1)).over(own)).where("c >= k").drop("c", "n"),
+        "shared",
+    )
+    still = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    ranked = shared.join(still, "sig").withColumn("c", F.count(F.lit(1)).over(own)).where("c >= k")
+    nth = F.row_number().over(own.orderBy("rows", "sig"))
+    return ranked.withColumn("nth", nth).where("nth <= c - k + 1").select("b", "sig")
+
+
 def similar_documents(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Groups of documents whose word n-gram sets reach the threshold, directly or by a chain of links.
 
@@ -215,10 +257,12 @@ def similar_documents(documents: DataFrame, words: int = WORDS, percent: int = P
     filled = sets.where("n > 0 and doc_id is not null")
     classes = filled.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "sigs")).alias("least"))
 
-    # rows that share a slice with another one, linked to the smallest row of the slice
-    slots = classes.select(F.col("least.doc_id").alias("b"), F.explode("least.sigs").alias("sig"))
+    # rows that share a key with another one, linked to the smallest row of the key
+    slots = classes.select(F.col("least.doc_id").alias("b"), F.col("least.n").alias("n"), F.explode("least.sigs").alias("sig"))
+    if percent < SLICES_FROM:
+        slots = staged(_rarest(slots, percent), "slots")
     leads = slots.groupBy("sig").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    meets = staged(slots.join(leads, "sig").where("a <> b").select("a", "b").distinct(), "meets")
+    meets = staged(slots.select("b", "sig").join(leads, "sig").where("a <> b").select("a", "b").distinct(), "meets")
     clusters = staged(connected_components(meets), "clusters")
 
     # clusters in blocks of bounded size
