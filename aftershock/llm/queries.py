@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, mixing, quality, token_ids, toxicity
+from . import chat, decontaminate, jaccard, mixing, mtree, quality, token_ids, toxicity, unigram
 from .common import prepare, table
 from .vocabulary import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_unigram_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return unigram.token_counts(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op2_mtree_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return mtree.top_products(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -54,6 +63,8 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_unigram_counts,
+        op2_mtree_top_k,
         op3_decontaminate,
         op4_ngram_jaccard,
         op5_chat_format,
