@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, mixing, mtree, quality, token_ids, toxicity, unigram
+from . import chat, decontaminate, jaccard, mixing, mtree, pii, quality, token_ids, toxicity, unigram
 from .common import prepare, table
 from .vocabulary import tokenizer_path
 
@@ -24,7 +24,8 @@ def op2_mtree_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     prepare(spark)
-    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("longest_match")
 
 
 def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,6 +61,10 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -72,5 +77,6 @@ QUERIES: dict[str, Query] = {
         op7_token_ids,
         op8_quality,
         op9_mixing,
+        op10_personal_data,
     )
 }
