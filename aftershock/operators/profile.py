@@ -34,8 +34,10 @@ def table_profile(
     return df.agg(*measures)
 
 
-def code_frequency(df: DataFrame, column: str, top: int = 25) -> DataFrame:
-    """The ``top`` most frequent codes, each next to the number of all records."""
+def code_frequency(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
+    """Records per code, each next to the number of all records; with ``top``, the most frequent codes only."""
     counts = df.groupBy(F.col(column).alias("code")).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    return counts.orderBy(F.desc("n"), F.col("code").asc_nulls_last()).limit(top).crossJoin(F.broadcast(total))
+    if top is not None:
+        counts = counts.orderBy(F.desc("n"), F.col("code").asc_nulls_last()).limit(top)
+    return counts.crossJoin(F.broadcast(total))  # one row

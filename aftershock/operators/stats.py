@@ -34,8 +34,8 @@ def grouped_rate(df: DataFrame, by: str, target: str) -> DataFrame:
     return with_wilson(df.filter(f"{target} IS NOT NULL").groupBy(by).agg(*_hits_and_n(target)))
 
 
-def top_groups(rates: DataFrame, by: str, top: int = 12) -> DataFrame:
-    """The largest groups of a rate table."""
+def top_groups(rates: DataFrame, by: str, top: int) -> DataFrame:
+    """The ``top`` largest groups of a rate table, for a printed report."""
     return rates.orderBy(F.desc("n"), by).limit(top)
 
 

@@ -1,7 +1,7 @@
 """Raw study tables derived from the line items: a supplier is a security, a ship date a trading day.
 
 ``oracle.py`` states the same definitions in SQL. Sums are taken over whole cents or hundredths and
-values are rounded by ``floor``, so both engines arrive at the same numbers in any order of addition.
+values are rounded in doubles, so both engines arrive at the same numbers in any order of addition.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def rounded(c: str, digits: int) -> str:
-    """Half-up rounding by plain arithmetic."""
+    """Rounding that stays in doubles, whatever the size."""
     scale = f"1e{digits}D"
-    return f"floor(({c}) * {scale} + 0.5D) / {scale}"
+    return f"rint(({c}) * {scale}) / {scale}"
 
 
 def _whole(c: str) -> str:
@@ -32,8 +32,7 @@ def raw_bars(spark: SparkSession, folder: str) -> DataFrame:
         "cast(l_suppkey AS bigint) AS sid", "to_date(l_shipdate) AS day", "l_quantity", "l_tax", "l_discount"
     )
     daily = (
-        items.filter("NOT (sid % 7 = 0 AND day >= DATE '2000-01-01')")
-        .groupBy("sid", "day")
+        items.groupBy("sid", "day")
         .agg(
             F.expr("count(*) AS n"),
             F.expr(f"sum({_whole('l_tax')}) AS tax"),
@@ -90,13 +89,19 @@ def raw_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_delistings(spark: SparkSession, folder: str) -> DataFrame:
-    """Delisting records, some of them the "still trading" code 100."""
-    base = table(spark, folder, "supplier").selectExpr("cast(s_suppkey AS bigint) AS sid").filter("sid % 7 <= 1")
-    return base.selectExpr(
+    """Delisting records on the last day a security traded, some of them the "still trading" code 100.
+
+    A security that stopped more than 17 days before the end of all trading has a record in any case.
+    """
+    items = table(spark, folder, "lineitem").selectExpr("cast(l_suppkey AS bigint) AS sid", "to_date(l_shipdate) AS day")
+    last = items.groupBy("sid").agg(F.max("day").alias("last_day"))
+    edge = F.broadcast(items.agg(F.max("day").alias("edge")))  # one row
+    base = last.crossJoin(edge).selectExpr("*", "sid % 7 = 0 OR last_day < date_sub(edge, 17) AS gone")
+    return base.filter("gone OR sid % 7 = 1").selectExpr(
         "sid AS permno",
-        "CASE WHEN sid % 7 = 0 THEN DATE '2000-01-01' ELSE DATE '2001-12-31' END AS dlstdt",
-        "cast(CASE WHEN sid % 7 <> 0 THEN 100 WHEN sid % 35 = 0 THEN 233 ELSE 574 END AS bigint) AS dlstcd",
-        "CASE WHEN sid % 35 = 0 THEN 0.05D WHEN sid % 7 = 0 AND sid % 14 <> 0 THEN -0.5D END AS dlret",
+        "CASE WHEN gone THEN last_day ELSE DATE '2001-12-31' END AS dlstdt",
+        "cast(CASE WHEN NOT gone THEN 100 WHEN sid % 35 = 0 THEN 233 ELSE 574 END AS bigint) AS dlstcd",
+        "CASE WHEN sid % 35 = 0 THEN 0.05D WHEN gone AND sid % 14 <> 0 THEN -0.5D END AS dlret",
     )
 
 

@@ -32,7 +32,7 @@ LONG_COLUMNS = {
 
 def r6(expr: str, name: str | None = None) -> str:
     """A double rounded as the registered queries round it."""
-    return f"floor(({expr}) * 1e6 + 0.500001) / 1e6" + (f" AS {name}" if name else "")
+    return f"round_even(({expr})::DOUBLE * 1e6 + 0.000001::DOUBLE, 0) / 1e6" + (f" AS {name}" if name else "")
 
 
 def doubles(*names: str, table: str = "") -> str:
@@ -76,21 +76,19 @@ days AS (
   SELECT l_suppkey::BIGINT AS sid, l_shipdate::DATE AS day, count(*) AS n,
     sum(floor(l_tax * 1e2 + 0.5)::BIGINT) AS tax, sum(floor(l_discount * 1e2 + 0.5)::BIGINT) AS discount,
     sum(l_quantity) AS volume, max(l_tax) AS mt, max(l_discount) AS md
-  FROM lineitem
-  WHERE NOT (l_suppkey % 7 = 0 AND l_shipdate::DATE >= DATE '2000-01-01')
-  GROUP BY 1, 2),
-based AS (SELECT *, floor(((tax - 2 * discount)::DOUBLE / (n * 100)::DOUBLE + 6e-2) * 1e6 + 0.5) / 1e6 AS b FROM days),
+  FROM lineitem GROUP BY 1, 2),
+based AS (SELECT *, round_even(((tax - 2 * discount)::DOUBLE / (n * 100)::DOUBLE + 6e-2) * 1e6, 0) / 1e6 AS b FROM days),
 returned AS (
-  SELECT *, floor((CASE WHEN b <= -135e-3 THEN 25e-1 * b ELSE 1e2 * b * b * b END) * 1e6 + 0.5) / 1e6 AS r FROM based),
+  SELECT *, round_even((CASE WHEN b <= -135e-3 THEN 25e-1 * b ELSE 1e2 * b * b * b END) * 1e6, 0) / 1e6 AS r FROM based),
 levels AS (
-  SELECT *, floor(1e2 * exp(sum(floor(ln(1e0 + r) * 1e9 + 0.5)::BIGINT) OVER (
-      PARTITION BY sid ORDER BY day ROWS UNBOUNDED PRECEDING)::DOUBLE / 1e9) * 1e4 + 0.5) / 1e4 AS level
+  SELECT *, round_even(1e2 * exp(sum(floor(ln(1e0 + r) * 1e9 + 0.5)::BIGINT) OVER (
+      PARTITION BY sid ORDER BY day ROWS UNBOUNDED PRECEDING)::DOUBLE / 1e9) * 1e4, 0) / 1e4 AS level
   FROM returned),
 bars AS (
   SELECT sid AS permno, day AS dlycaldt,
-    floor(level * (1e0 + (mt - md) / 2e0) * 1e4 + 0.5) / 1e4 AS dlyopen,
-    floor(level * (1e0 + mt / 2e0) * 1e4 + 0.5) / 1e4 AS dlyhigh,
-    floor(level * (1e0 - md / 2e0) * 1e4 + 0.5) / 1e4 AS dlylow,
+    round_even(level * (1e0 + (mt - md) / 2e0) * 1e4, 0) / 1e4 AS dlyopen,
+    round_even(level * (1e0 + mt / 2e0) * 1e4, 0) / 1e4 AS dlyhigh,
+    round_even(level * (1e0 - md / 2e0) * 1e4, 0) / 1e4 AS dlylow,
     CASE WHEN NOT (sid % 5 = 2 AND day(day) = 13) THEN level END AS dlyclose,
     volume AS dlyvol,
     CASE WHEN NOT (sid % 5 = 3 AND day(day) = 28) THEN r END AS dlyret,
@@ -118,11 +116,12 @@ universe AS (
   SELECT * FROM names WHERE sharetype = 'NS' AND securitytype = 'EQTY' AND securitysubtype = 'COM'
     AND primaryexch IN ('N', 'A', 'Q') AND usincflg = 'Y'),
 delistings AS (
-  SELECT s_suppkey::BIGINT AS permno,
-    CASE WHEN s_suppkey % 7 = 0 THEN DATE '2000-01-01' ELSE DATE '2001-12-31' END AS dlstdt,
-    CASE WHEN s_suppkey % 7 <> 0 THEN 100 WHEN s_suppkey % 35 = 0 THEN 233 ELSE 574 END::BIGINT AS dlstcd,
-    CASE WHEN s_suppkey % 35 = 0 THEN 5e-2 WHEN s_suppkey % 7 = 0 AND s_suppkey % 14 <> 0 THEN -5e-1 END AS dlret
-  FROM supplier WHERE s_suppkey % 7 <= 1),
+  SELECT sid AS permno, CASE WHEN gone THEN last_day ELSE DATE '2001-12-31' END AS dlstdt,
+    CASE WHEN NOT gone THEN 100 WHEN sid % 35 = 0 THEN 233 ELSE 574 END::BIGINT AS dlstcd,
+    CASE WHEN sid % 35 = 0 THEN 5e-2 WHEN gone AND sid % 14 <> 0 THEN -5e-1 END AS dlret
+  FROM (SELECT sid, last_day, sid % 7 = 0 OR last_day < max(last_day) OVER () - 17 AS gone
+    FROM (SELECT sid, max(day) AS last_day FROM days GROUP BY 1))
+  WHERE gone OR sid % 7 = 1),
 master AS (
   SELECT u.permno AS security_id, permco AS company_id, ticker, namedt AS ticker_start, nameenddt AS ticker_end,
     CASE primaryexch WHEN 'N' THEN 'NYSE' WHEN 'A' THEN 'NYSE American' WHEN 'Q' THEN 'Nasdaq' ELSE primaryexch END
@@ -581,7 +580,7 @@ def oracle_sql() -> dict[str, str]:
       min(date) AS min_date, max(date) AS max_date, count(DISTINCT security_id) AS n_distinct_ids, count(close) AS n_present
       FROM px"""
     q["code_frequency"] = """SELECT dlstcd AS code, count(*) AS n, (SELECT count(*) FROM delistings) AS total
-      FROM delistings GROUP BY 1 ORDER BY n DESC, code LIMIT 25"""
+      FROM delistings GROUP BY 1"""
     q["sample_extract"] = f"""SELECT {price_types} FROM px WHERE security_id = (
         SELECT permno FROM names WHERE ticker = '{SAMPLE_TICKER}' AND upper(issuernm) LIKE 'SUPPLIER%'
         ORDER BY CASE WHEN upper(sharetype) = 'NS' THEN 0 ELSE 1 END, securitybegdt, permno LIMIT 1)
@@ -609,8 +608,7 @@ def oracle_sql() -> dict[str, str]:
 
     q["price_features"] = f"SELECT event_id, security_id, crash_date, {doubles(*PRICE_FEATURES)} FROM pf"
     q["recent_features"] = f"SELECT event_id, security_id, crash_date, {doubles(*RECENT_FEATURES)} FROM rf"
-    q["prior_count_hist"] = """SELECT prior_crash_count_20d, count(*) AS n FROM rf GROUP BY 1
-      ORDER BY prior_crash_count_20d NULLS FIRST LIMIT 8"""
+    q["prior_count_hist"] = """SELECT prior_crash_count_20d, count(*) AS n FROM rf GROUP BY 1"""
     q["recent_summary"] = f"""SELECT count(*) AS events, count(*) FILTER (prior_crash_count_60d = 0) AS fresh,
       {r6('avg((prior_crash_count_60d = 0)::INT)', 'fresh_share')} FROM rf"""
     q["market_features"] = f"""SELECT date, {doubles('market_return_1d', 'market_return_5d', 'market_return_20d',
@@ -692,7 +690,7 @@ def oracle_sql() -> dict[str, str]:
         f"""SELECT sector, sum({target}) AS hits, count(*) AS n FROM (
           SELECT {target}, {_sic_division('sic')} AS sector FROM dc JOIN (
             SELECT security_id, arg_min(sic_code, ticker_start) FILTER (sic_code IS NOT NULL) AS sic FROM master GROUP BY 1)
-          USING (security_id)) WHERE {target} IS NOT NULL GROUP BY 1 ORDER BY n DESC, sector LIMIT 12""",
+          USING (security_id)) WHERE {target} IS NOT NULL GROUP BY 1""",
         "sector",
     )
     q["headline_rates"] = _wilson(

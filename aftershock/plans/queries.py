@@ -23,13 +23,13 @@ _QUERIES: dict[str, Query] = {}
 def shown(df: DataFrame) -> DataFrame:
     """Doubles rounded to six digits, so that results compare across engines.
 
-    The cut lies a millionth below one half: a mean that falls exactly between two results is then
-    rounded up whatever the last bit of its sum.
+    The cut lies a millionth below one half: a mean that falls exactly between two results is then rounded up
+    whatever the last bit of its sum. The rounding stays in doubles, so that NaN, infinities and values of any size
+    pass through.
     """
-
     return df.selectExpr(
         *[
-            f"floor({f.name} * 1e6D + 0.500001D) / 1e6D AS {f.name}" if f.dataType == T.DoubleType() else f.name
+            f"rint({f.name} * 1e6D + 0.000001D) / 1e6D AS {f.name}" if f.dataType == T.DoubleType() else f.name
             for f in df.schema
         ]
     )
@@ -227,7 +227,7 @@ def recent_features(s: Study) -> DataFrame:
 
 @_query(PANEL)
 def prior_count_hist(s: Study) -> DataFrame:
-    return stats.value_counts(s.recent, "prior_crash_count_20d", top=8)
+    return stats.value_counts(s.recent, "prior_crash_count_20d")
 
 
 @_query(PANEL)
@@ -396,7 +396,7 @@ def grouped_rate_sector(s: Study) -> DataFrame:
     named = s.clean_with(s.labels).join(
         sic.selectExpr("security_id", f"{normalize.sic_division('sic')} AS sector"), "security_id"
     )
-    return stats.top_groups(stats.grouped_rate(named, "sector", dataset.PRIMARY_TARGET), "sector")
+    return stats.grouped_rate(named, "sector", dataset.PRIMARY_TARGET)
 
 
 @_query(BOTH)
