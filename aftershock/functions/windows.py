@@ -60,7 +60,7 @@ class Roll:
     @property
     def parts(self) -> list[str]:
         """What has to be aggregated for it."""
-        return {"mean": ["sum"], "std": ["sum", "sumsq"], "count": []}.get(self.op, [self.op])
+        return {"mean": ["sum"], "std": ["dsum", "dsumsq"], "count": []}.get(self.op, [self.op])
 
 
 class _Steps:
@@ -111,10 +111,10 @@ class _Steps:
             return self.present(r)
         if r.op in ("mean", "std"):
             n = f"{r.size}D" if r.need is None else f"double({self.present(r)})"
-            s = self.span("sum", r)
+            s = self.span("dsum" if r.op == "std" else "sum", r)
             value = f"try_divide({s}, {n})"
             if r.op == "std":
-                spread = f"{self.span('sumsq', r)} - try_divide({s} * {s}, {n})"
+                spread = f"{self.span('dsumsq', r)} - try_divide({s} * {s}, {n})"
                 value = f"sqrt(greatest(try_divide({spread}, {n} - 1D), 0D))"
         else:
             value = self.span(r.op, r)
@@ -132,6 +132,10 @@ def _count(column: str) -> str:
     return f"__count_{column.strip('_')}"
 
 
+def _level(column: str) -> str:
+    return f"__level_{column.strip('_')}"
+
+
 def _total(column: str) -> str:
     return f"__total_{column.strip('_')}"
 
@@ -145,13 +149,16 @@ def rolling(df: DataFrame, rolls: list[Roll], spec: str = BY_SECURITY) -> DataFr
             k = (part, r.column, r.ahead)
             tops[k] = max(tops.get(k, 0), _top(r.size))
 
-    base = {"sum": "coalesce({0}, 0D)", "sumsq": "coalesce({0} * {0}, 0D)"}
-    first = [f"{base.get(p, '{0}').format(c)} AS {steps.key(p, c, a, 1)}" for p, c, a in tops]
+    # deviations are summed from the timeline's first value on: squares of large levels would use up all digits
+    levels = sorted({r.column for r in rolls if r.op == "std"})
+    out = df.selectExpr("*", *[f"{c} - first({c}, true) {whole(spec)} AS {_level(c)}" for c in levels]) if levels else df
+    base = {"sum": "coalesce({0}, 0D)", "dsum": "coalesce({1}, 0D)", "dsumsq": "coalesce({1} * {1}, 0D)"}
+    first = [f"{base.get(p, '{0}').format(c, _level(c))} AS {steps.key(p, c, a, 1)}" for p, c, a in tops]
     for column in sorted({r.column for r in rolls if r.op == "count" or r.need != 0}):
         first.append(f"count({column}) {running(spec)} AS {_count(column)}")
         if any(r.ahead and r.column == column for r in rolls):
             first.append(f"count({column}) {whole(spec)} AS {_total(column)}")
-    out = df.selectExpr("*", *first)
+    out = out.selectExpr("*", *first)
 
     width = 1
     while any(top > width for top in tops.values()):

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.arith import number
-from .stats import return_stats
+from .stats import HistogramSpec, return_histogram, return_stats
 
+# The bounds of 1e9, -1.01 and 1e12 below belong to the fixed values of the full set; they leave no event out that has
+# a value at all, as returns and margins stay far within them.
 INF = float("inf")
 
 # Fixed values: (key, low, high); low excluded, high included.
@@ -164,14 +166,24 @@ def severity_buckets(buckets: dict[str, str], suffix: str) -> dict[str, str]:
     return {key + suffix: test for key, test in buckets.items() if key.startswith("sev_")}
 
 
-def bucket_outcomes(df: DataFrame, buckets: dict[str, dict[str, str]]) -> DataFrame:
-    """Return statistics per bucket, for bucket sets by the return column they apply to.
+def bucketed(df: DataFrame, buckets: dict[str, dict[str, str]]) -> DataFrame:
+    """``bucket`` and ``ret``: a row for each bucket an event belongs to, from one scan of the events.
 
-    One scan serves all buckets: an event yields a row for each bucket it belongs to.
+    ``buckets`` has the bucket sets by the return column they apply to.
     """
     rows = ", ".join(
         f"CASE WHEN {value} IS NOT NULL AND {test} THEN struct('{key}' AS bucket, {value} AS ret) END"
         for value, tests in buckets.items()
         for key, test in tests.items()
     )
-    return return_stats(df.selectExpr(f"inline(array_compact(array({rows})))"), ["bucket"])
+    return df.selectExpr(f"inline(array_compact(array({rows})))")
+
+
+def bucket_outcomes(df: DataFrame, buckets: dict[str, dict[str, str]]) -> DataFrame:
+    """Return statistics per bucket."""
+    return return_stats(bucketed(df, buckets), ["bucket"])
+
+
+def bucket_histograms(df: DataFrame, tests: dict[str, str], value: str, spec: HistogramSpec) -> DataFrame:
+    """Histogram of the returns of each bucket."""
+    return return_histogram(bucketed(df, {value: tests}), spec, keys=["bucket"])

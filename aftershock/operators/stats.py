@@ -163,25 +163,27 @@ SIXTY_DAY = HistogramSpec(-1.0, 1.0, 0.05)
 ONE_WEEK = HistogramSpec(-0.5, 0.5, 0.025)
 
 
-def return_histogram(df: DataFrame, spec: HistogramSpec, value: str = "ret") -> DataFrame:
-    """Occupied bins with count and share in percent. Bins are closed on the left, the last on both sides."""
+def return_histogram(df: DataFrame, spec: HistogramSpec, value: str = "ret", keys: Sequence[str] = ()) -> DataFrame:
+    """Occupied bins with count and share in percent, per key. Bins are closed on the left, the last on both sides."""
     edges = [number(e) for e in spec.edges]
     clipped = f"least(greatest({value}, {number(spec.low)}), {number(spec.high)})"
     # comparing with the edges themselves, not dividing, settles values that lie on an edge
     index = " + ".join(["0", *[f"cast(clipped >= {e} AS int)" for e in edges[1:-1]]])
     counted = (
         df.filter(f"{value} IS NOT NULL AND NOT isnan({value})")
-        .selectExpr(f"{clipped} AS clipped")
-        .selectExpr(f"{index} AS bin")
-        .groupBy("bin")
+        .selectExpr(*keys, f"{clipped} AS clipped")
+        .selectExpr(*keys, f"{index} AS bin")
+        .groupBy(*keys, "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # one row per bin remains
+    # one row per key and bin remains
+    whole = f"PARTITION BY {', '.join(keys)}" if keys else ""
     return counted.selectExpr(
+        *keys,
         "bin",
         f"element_at(array({', '.join(edges)}), bin + 1) AS bin_low",
         "n",
-        "100D * n / sum(n) OVER () AS percent",
+        f"100D * n / sum(n) OVER ({whole}) AS percent",
     )
 
 

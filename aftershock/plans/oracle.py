@@ -15,7 +15,7 @@ from ..operators.dataset import (
 from ..operators.features import MARKET_FEATURES, PRICE_FEATURES, RECENT_FEATURES
 from ..operators.fundamentals import FUNDAMENTAL_META, FUNDAMENTAL_RATIOS
 from ..operators.labels import HORIZONS, THRESHOLDS
-from ..operators.stats import ONE_WEEK, ONE_YEAR, SIXTY_DAY, SLICE_LABELS, HistogramSpec
+from ..operators.stats import SLICE_LABELS
 from ..sources.normalize import SIC_DIVISIONS
 from ..sources.schemas import DAILY_PRICE, FUNDAMENTALS, UNRESTATED_FUNDAMENTALS
 from .params import MIN_PRICE, RECENT_START, REGIMES, SAMPLE_END, SAMPLE_START, SAMPLE_TICKER
@@ -500,13 +500,20 @@ _HEADLINES = {
 }
 
 
-def _histogram(source: str, spec: HistogramSpec) -> str:
-    edges = spec.edges
+# Lower end, upper end and width of the displayed bins, stated here once more.
+_DISPLAYS = {252: (-1.0, 2.0, 0.10), 60: (-1.0, 1.0, 0.05), 5: (-0.5, 0.5, 0.025)}
+
+
+def _histogram(source: str, horizon: int, keys: str = "") -> str:
+    low, high, width = _DISPLAYS[horizon]
+    step = (low + width) - low
+    edges = [low + i * step for i in range(round((high - low) / width) + 1)]
     steps = " + ".join(f"(v >= {e!r}::DOUBLE)::INT" for e in edges[1:-1])
     lows = ", ".join(f"{e!r}::DOUBLE" for e in edges)
-    return f"""SELECT bin, {r6(f'[{lows}][bin + 1]', 'bin_low')}, n, {r6('100.0 * n / sum(n) OVER ()', 'percent')} FROM (
-      SELECT {steps} AS bin, count(*) AS n
-      FROM (SELECT least(greatest(ret, {spec.low!r}::DOUBLE), {spec.high!r}::DOUBLE) AS v FROM ({source})) GROUP BY 1)"""
+    lead, whole = (f"{keys}, ", f"PARTITION BY {keys}") if keys else ("", "")
+    return f"""SELECT {lead}bin, {r6(f'[{lows}][bin + 1]', 'bin_low')}, n, {r6(f'100.0 * n / sum(n) OVER ({whole})', 'percent')} FROM (
+      SELECT {lead}{steps} AS bin, count(*) AS n
+      FROM (SELECT {lead}least(greatest(ret, {low!r}::DOUBLE), {high!r}::DOUBLE) AS v FROM ({source})) GROUP BY {lead}bin)"""
 
 
 def _types(schema) -> str:
@@ -522,6 +529,7 @@ def oracle_sql() -> dict[str, str]:
       WHERE date BETWEEN DATE '1997-01-01' AND DATE '1999-06-30' AND security_id IN (SELECT permno FROM universe)"""
     q["panel_write_manifest"] = """SELECT year(date)::INTEGER AS year, count(*) AS rows,
       count(DISTINCT security_id) AS securities FROM px GROUP BY 1"""
+    q["scan_stored_panel"] = f"SELECT {price_types} FROM px WHERE year(date) BETWEEN 1997 AND 1998"
     q["versioned_write_fingerprint"] = """SELECT 'crash_events' AS name, 'v1' AS version, count(*) AS row_count,
       'event_id,security_id,company_id,ticker_as_of_event,crash_date,crash_return,crash_close,crash_volume,in_universe_at_event,passes_min_price'
       AS columns, true AS same_content, true AS has_bytes FROM ev"""
@@ -714,8 +722,11 @@ def oracle_sql() -> dict[str, str]:
         _bucketed(recent, 252, RECENT_START) + " UNION ALL " + _bucketed(_severity(recent, "_60d"), 60, RECENT_START), "bucket"
     )
     q["bucket_outcomes_5d"] = _stats(_bucketed(recent, 5, None), "bucket")
-    for name, spec, h in (("one_year", ONE_YEAR, 252), ("sixty_day", SIXTY_DAY, 60), ("one_week", ONE_WEEK, 5)):
-        q[f"return_histogram_{name}"] = _histogram(f"SELECT ret FROM seen WHERE h = {h}", spec)
+    for name, h in (("one_year", 252), ("sixty_day", 60), ("one_week", 5)):
+        q[f"return_histogram_{name}"] = _histogram(f"SELECT ret FROM seen WHERE h = {h}", h)
+    q["bucket_histograms_full"] = _histogram(_bucketed(full, 252, None), 252, "bucket")
+    q["bucket_histograms_recent"] = _histogram(_bucketed(recent, 252, RECENT_START), 252, "bucket")
+    q["bucket_histograms_5d"] = _histogram(_bucketed(recent, 5, None), 5, "bucket")
     q["severity_returns_60d"] = _stats(
         " UNION ALL ".join(
             f"SELECT '{k}' AS bucket, s.ret FROM seen s JOIN ev e USING (event_id) WHERE s.h = 60 AND {t}"

@@ -69,11 +69,20 @@ def panel_write_manifest(s: Study) -> DataFrame:
     return manifest.select("year", "rows", "securities")
 
 
+@_query()
+def scan_stored_panel(s: Study) -> DataFrame:
+    path = stage_path(s.spark, "panel")
+    writers.write_prices(s.prices, path)
+    return tables.scan_prices(s.spark, path).filter("year BETWEEN 1997 AND 1998").drop("year")
+
+
 @_query()
 def versioned_write_fingerprint(s: Study) -> DataFrame:
     described = writers.write_versioned(s.events, stage_path(s.spark, "artifacts"), "crash_events", "v1")
     stored = s.spark.read.parquet(described.first()["path"])
-    again = writers.fingerprint(stored).select(F.col("content").alias("again"))
+    # what was to be written against what is there
+    again = writers.fingerprint(s.events).select(F.col("content").alias("again"))
+    described = described.drop("content").crossJoin(F.broadcast(writers.fingerprint(stored).select("content")))
     return described.crossJoin(F.broadcast(again)).select(
         "name",
         "version",
@@ -411,14 +420,18 @@ def quantile_buckets(s: Study) -> DataFrame:
     return stats.value_counts(labelled, "bucket")
 
 
-def _report(s: Study, named: dict[str, str], since: str | None) -> DataFrame:
-    """Buckets on one-year returns and, for the crash sizes, on sixty-day returns too."""
-    table = s.outcomes(60, 252)
+def _bucket_table(s: Study, since: str | None, *horizons: int) -> DataFrame:
+    """Returns of the events with the features that buckets are made of."""
+    table = s.outcomes(*horizons)
     if since is not None:
         table = table.filter(f"crash_date >= DATE '{since}'")
-    table = table.select("event_id", "ret_60", "ret_252").join(s.bucket_features(), "event_id")
+    return table.select("event_id", *[f"ret_{h}" for h in horizons]).join(s.bucket_features(), "event_id")
+
+
+def _report(s: Study, named: dict[str, str], since: str | None) -> DataFrame:
+    """Buckets on one-year returns and, for the crash sizes, on sixty-day returns too."""
     return buckets.bucket_outcomes(
-        table, {"ret_252": named, "ret_60": buckets.severity_buckets(named, "_60d")}
+        _bucket_table(s, since, 60, 252), {"ret_252": named, "ret_60": buckets.severity_buckets(named, "_60d")}
     )
 
 
@@ -434,5 +447,20 @@ def bucket_outcomes_recent(s: Study) -> DataFrame:
 
 @_query(BOTH)
 def bucket_outcomes_5d(s: Study) -> DataFrame:
-    table = s.outcomes(5).select("event_id", "ret_5").join(s.bucket_features(), "event_id")
-    return buckets.bucket_outcomes(table, {"ret_5": buckets.recent_buckets()})
+    return buckets.bucket_outcomes(_bucket_table(s, None, 5), {"ret_5": buckets.recent_buckets()})
+
+
+@_query(BOTH)
+def bucket_histograms_full(s: Study) -> DataFrame:
+    return buckets.bucket_histograms(_bucket_table(s, None, 252), buckets.full_buckets(), "ret_252", stats.ONE_YEAR)
+
+
+@_query(BOTH)
+def bucket_histograms_recent(s: Study) -> DataFrame:
+    table = _bucket_table(s, RECENT_START, 252)
+    return buckets.bucket_histograms(table, buckets.recent_buckets(), "ret_252", stats.ONE_YEAR)
+
+
+@_query(BOTH)
+def bucket_histograms_5d(s: Study) -> DataFrame:
+    return buckets.bucket_histograms(_bucket_table(s, None, 5), buckets.recent_buckets(), "ret_5", stats.ONE_WEEK)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.profile import duplicate_keys
+from ..session import staged
 from .schemas import DAILY_PRICE, conform
 
 
@@ -38,11 +39,13 @@ def write_prices(
     *,
     version: str = "v1",
     universe=None,
+    revision: str | None = None,
 ) -> DataFrame:
     """Store the panel under ``path/year=YYYY`` with a manifest in ``path/_manifest``; returns the manifest.
 
-    Duplicate days are rejected before anything is written. Years without rows leave no folder, and
-    only the years present are replaced. ``rebalance`` lets Spark split a heavy year over many
+    The rows are computed once, into the shared folder; duplicate days are rejected there, before anything is
+    published. Years without rows leave no folder, no rows at all give an empty manifest, and only the years present
+    are replaced. ``rebalance`` lets Spark split a heavy year over many
     tasks and files and join small ones, and the sort gives each file narrow security ranges.
     """
     spark = prices.sparkSession
@@ -51,6 +54,7 @@ def write_prices(
         df = df.filter(F.col("year") >= start_year)
     if end_year is not None:
         df = df.filter(F.col("year") <= end_year)
+    df = staged(df, "ingest")
     assert_unique_days(df)
     (
         df.hint("rebalance", "year")
@@ -60,7 +64,8 @@ def write_prices(
         .mode("overwrite")
         .parquet(path)
     )
-    manifest = price_manifest(spark.read.parquet(path)).select(
+    total = Window.partitionBy()  # one row per year
+    manifest = price_manifest(spark.read.schema(df.schema).parquet(path)).select(
         F.lit("daily_prices").alias("name"),
         F.lit(version).alias("version"),
         "year",
@@ -68,6 +73,10 @@ def write_prices(
         "securities",
         F.lit(",".join(DAILY_PRICE.names)).alias("columns"),
         F.lit(None if universe is None else str(universe)).cast("string").alias("universe_filter"),
+        F.coalesce(F.lit(start_year), F.min("year").over(total)).cast("int").alias("start_year"),
+        F.coalesce(F.lit(end_year), F.max("year").over(total)).cast("int").alias("end_year"),
+        F.sum("rows").over(total).alias("total_rows"),
+        F.lit(revision).cast("string").alias("revision"),
     )
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/_manifest")
     return spark.read.schema(manifest.schema).json(f"{path}/_manifest")
@@ -75,7 +84,9 @@ def write_prices(
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row (row_count, content): a digest of the rows that does not depend on their order."""
-    digest = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(20,0)")
+    # the hash passes over nulls, so their places are hashed too
+    names = sorted(df.columns)
+    digest = F.xxhash64(*[F.col(c) for c in names], *[F.col(c).isNull() for c in names]).cast("decimal(20,0)")
     return df.agg(
         F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(digest), F.lit(0)).cast("string").alias("content")
     )

@@ -4,8 +4,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from aftershock.operators import features, labels, outcomes
+from aftershock.plans import oracle, queries
 from aftershock.plans.study import Study
 from compare import connect, rows
 
@@ -49,9 +49,38 @@ def test_panel_passes_move_the_panel_once(study, no_broadcast):
         assert len(re.findall(r"\bSort \[security_id#\d+L ASC NULLS FIRST, date#", plan)) <= 1, name
 
 
+def test_no_choice_of_columns_moves_the_panel_again(study, no_broadcast):
+    """Dropping columns must not drop what places the panel."""
+    families = {
+        "price": features.build_price_features(study.events, study.prices),
+        "recent": features.build_recent_crash_features(study.events, study.prices),
+        "beta": features.event_beta(study.events, study.prices),
+        "labels": labels.build_labels(study.events, study.prices, study.master),
+    }
+    for name, df in families.items():
+        for column in df.columns:
+            if column in ("event_id", "security_id", "crash_date"):
+                continue
+            plan = _plan(df.select("event_id", column))
+            assert not re.search(r"Exchange hashpartitioning\(security_id#\d+L, date", plan), (name, column)
+
+
+def test_sector_join_places_events_by_sector_and_day(study, no_broadcast):
+    plan = _plan(study.market_sector)
+    assert re.search(r"Exchange hashpartitioning\(__key#\d+L, crash_date#\d+, \d+\)", plan)
+    assert not re.search(r"Exchange hashpartitioning\(__key#\d+L, \d+\)", plan)
+
+
+def test_shown_keeps_values_of_any_size(spark):
+    df = spark.sql("SELECT inline(array(struct(1, double('NaN')), struct(2, double('inf')), struct(3, -double('inf')), struct(4, 2e13D), struct(5, 0.1234565D), struct(6, cast(null AS double)))) AS (k, v)")
+    got = [r.v for r in queries.shown(df).orderBy("k").collect()]
+    assert got[0] != got[0] and got[1] == float("inf") and got[2] == float("-inf")
+    assert got[3] == 2e13 and got[4] == 0.123457 and got[5] is None
+
+
 @pytest.mark.parametrize("name", ["event_dataset", "bucket_outcomes_recent", "fundamental_features", "quantile_buckets"])
 def test_no_cartesian_products_or_python_workers(spark, no_broadcast, name):
-    plan = _plan(entry.queries()[name](spark, SMALL))
+    plan = _plan(queries.queries()[name](spark, SMALL))
     for bad in ("CartesianProduct", "PythonUDF", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert bad not in plan, (name, bad)
     if name != "quantile_buckets":  # its single row of breaks joins every row
@@ -102,7 +131,7 @@ def test_features_of_a_prefix_equal_features_of_the_whole(study):
 
 
 def test_contract_lists_the_same_queries():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(queries.queries()) == set(oracle.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -112,10 +141,10 @@ def duck():
     con.close()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query_equals_sql(spark, duck, name):
-    df = entry.queries()[name](spark, SMALL)
-    cur = duck.execute(entry.oracle_sql()[name])
+    df = queries.queries()[name](spark, SMALL)
+    cur = duck.execute(oracle.oracle_sql()[name])
     want = rows([d[0] for d in cur.description], cur.fetchall())
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == want
 

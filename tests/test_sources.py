@@ -181,3 +181,28 @@ def test_versioned_table_describes_itself(spark, bars):
     assert writers.fingerprint(stored.repartition(3, "close")).first()["content"] == d["content"]
     changed = stored.selectExpr("* EXCEPT (close)", "close + 1 AS close")
     assert writers.fingerprint(changed).first()["content"] != d["content"]
+
+
+def test_panel_without_rows_gives_an_empty_manifest(spark, bars, tmp_path):
+    prices = normalize.normalize_prices(bars).limit(0)
+    manifest = writers.write_prices(prices, str(tmp_path / "none"), 2018, 2021)
+    assert manifest.collect() == []
+    assert tables.scan_prices(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_manifest_tells_its_range(spark, bars, tmp_path):
+    rows = writers.write_prices(normalize.normalize_prices(bars), str(tmp_path / "panel"), 2018, 2021, revision="r7").collect()
+    assert {(r["start_year"], r["end_year"], r["revision"]) for r in rows} == {(2018, 2021, "r7")}
+    assert {r["total_rows"] for r in rows} == {sum(r["rows"] for r in rows)}
+
+
+def test_fingerprint_tells_where_nulls_are(spark):
+    a = spark.sql("SELECT cast(null AS double) AS x, 1.0D AS y")
+    b = spark.sql("SELECT 1.0D AS x, cast(null AS double) AS y")
+    assert writers.fingerprint(a).first()["content"] != writers.fingerprint(b).first()["content"]
+
+
+def test_year_filter_prunes_folders(spark, bars, tmp_path):
+    writers.write_prices(normalize.normalize_prices(bars), str(tmp_path / "panel"))
+    plan = tables.scan_prices(spark, str(tmp_path / "panel")).filter("year = 2019")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan

@@ -60,3 +60,14 @@ def test_rolling_equals_brute_force(panel, series):
                     assert row[roll.name] is None, (sid, i, roll)
                 else:
                     assert row[roll.name] == pytest.approx(want, abs=1e-7), (sid, i, roll)
+
+
+def test_deviation_of_large_levels_is_stable(panel):
+    import statistics
+
+    values = [1e8 + (i * 7 % 3) for i in range(30)]
+    df = rolling(panel({1: {"close": values}}), [Roll("std", "close", 20, "s")])
+    got = [r["s"] for r in df.orderBy("date").collect()]
+    assert got[:19] == [None] * 19
+    for i in range(19, 30):
+        assert got[i] == pytest.approx(statistics.stdev(values[i - 19 : i + 1]), rel=1e-6)
