@@ -15,10 +15,11 @@ import os
 import re
 import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ SEGMENT_IDS = 65_536
 #: Id appended to each document.
 END_ID = 2
 #: Words whose ids a worker remembers, and words sent to the tokenizer in one piece.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 PIECE = 512
 _FILES = "partition int, segment int, n_ids long, doc_ids array<long>, ends array<long>, chunks array<binary>, marks array<binary>, ranks array<binary>"
 
@@ -97,6 +98,8 @@ class Segment:
 
 _LETTERS_AND_MARKS = re.compile(r" ?[^\W\d_]+[.,;:!?]*(?:\n[^\W\d_]+[.,;:!?]*)*")
 _PARTS = re.compile(r" ?[^\W\d_]+|[.,;:!?]+|\n")
+#: White space at an end of a word, or no word at all; all that str.isspace() knows.
+_LOOSE = r"^$|^[\s\x0B\x1C-\x1F\x{85}\p{Z}]|[\s\x0B\x1C-\x1F\x{85}\p{Z}]$"
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -128,96 +131,142 @@ class Encoder:
         self.between = self.whole.token_to_id(self.alphabet[0x0A])
         self.merges.pre_tokenizer = pre_tokenizers.Split(self.alphabet[0x0A], "isolated")
         self.remembered = remembered
-        self.known: dict = {}
-        self.older: dict = {}
+        #: ids of words after a space, keyed without it; of those an earlier generation had; of all other parts
+        self.after: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bare: dict = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _by_merges(self, parts: list[str]) -> None:
-        """Ids of parts of letters: only the library's merges are needed."""
-        for i in range(0, len(parts), PIECE):
-            some = parts[i : i + PIECE]
-            mapped = "\n".join(some).encode().decode("latin-1").translate(self.alphabet)
+    def _by_merges(self, words: list[str], space: str, known: dict) -> None:
+        """Ids of words of letters: only the library's merges are needed."""
+        size = self.dtype.itemsize
+        for i in range(0, len(words), PIECE):
+            some = words[i : i + PIECE]
+            mapped = (space + f"\n{space}".join(some)).encode().decode("latin-1").translate(self.alphabet)
             ids = np.array(self.merges.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = (np.flatnonzero(ids == self.between) * self.dtype.itemsize).tolist()
+            cuts = (np.flatnonzero(ids == self.between) * size).tolist()
             if len(cuts) != len(some) - 1:
-                raise ValueError("the tokenizer did not keep the parts apart")
-            packed, size = ids.tobytes(), self.dtype.itemsize
-            for part, start, end in zip(some, [0, *(c + size for c in cuts)], [*cuts, len(packed)]):
-                self.known[part] = packed[start:end]
+                raise ValueError("the tokenizer did not keep the words apart")
+            packed = ids.tobytes()
+            for word, start, end in zip(some, [0, *(c + size for c in cuts)], [*cuts, len(packed)]):
+                known[word] = packed[start:end]
 
     def _by_pipeline(self, keys: list) -> None:
         texts = [k if isinstance(k, str) else k[0] for k in keys]
         for key, found in zip(keys, self.whole.encode_batch_fast(texts, add_special_tokens=False)):
-            self.known[key] = self._pack(found.ids)
-
-    def _learn(self, missing: set) -> None:
-        """Ids of parts: strings may be joined to any other; a tuple holds a part with white space at an end."""
-        letters, other, joined = set(), set(), []
-        for part in missing:
-            if isinstance(part, tuple):
-                other.add(part)
+            self.bare[key] = self._pack(found.ids)
+
+    def _learn_bare(self, parts: Iterable) -> None:
+        """Ids of parts without a space before them; a tuple holds a part with white space at an end."""
+        new = {p for p in parts if p not in self.bare}
+        letters = [p for p in new if isinstance(p, str) and p.isalpha()]
+        self._by_merges(letters, "", self.bare)
+        self._by_pipeline(list(new.difference(letters)))
+
+    def _learn_after(self, words: Iterable[str]) -> None:
+        """Ids of words after a space."""
+        after = self.after
+        letters, cut, other = set(), [], []
+        for word in words:
+            if word.isalpha():
+                letters.add(word)
                 continue
-            core = part[1:] if part[0] == " " else part
-            if core.isalpha():
-                letters.add(part)
-                continue
-            plain = core.rstrip(".,;:!?")
+            plain = word.rstrip(".,;:!?")
             if plain.isalpha():
-                joined.append((part, (part[: len(part) - len(core) + len(plain)], core[len(plain) :])))
+                cut.append((word, plain, (word[len(plain) :],)))
                 continue
-            pieces = _PARTS.findall(part) if _LETTERS_AND_MARKS.fullmatch(part) else ()
+            pieces = _PARTS.findall(word) if _LETTERS_AND_MARKS.fullmatch(word) else ()
             # a word character may be no letter
-            if pieces and all(p[-1] in ".,;:!?\n" or p.lstrip(" ").isalpha() for p in pieces):
-                joined.append((part, pieces))
+            if pieces and all(p[-1] in ".,;:!?\n" or p.isalpha() for p in pieces):
+                cut.append((word, pieces[0], pieces[1:]))
             else:
-                other.add(part)
-        known = self.known
-        for _, pieces in joined:
-            for piece in pieces:
-                if piece not in known:
-                    (other if piece[-1] in ".,;:!?\n" else letters).add(piece)
-        self._by_merges(sorted(letters))
-        self._by_pipeline(list(other))
-        get = self.known.__getitem__
-        for part, pieces in joined:
-            self.known[part] = b"".join(map(get, pieces))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as packed little-endian numbers of ``dtype``."""
-        if len(self.known) > self.remembered:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        cut: list[list] = []
-        found: list[list] = []
-        missing: set = set()
+                other.append(word)
+        letters.update(plain for _, plain, _ in cut if plain not in after)
+        self._by_merges(list(letters), " ", after)
+        self._learn_bare([p for _, _, more in cut for p in more])
+        bare = self.bare
+        for word, plain, more in cut:
+            after[word] = after[plain] + (bare[more[0]] if len(more) == 1 else b"".join([bare[p] for p in more]))
+        for word, found in zip(other, self.whole.encode_batch_fast([" " + w for w in other], add_special_tokens=False)):
+            after[word] = self._pack(found.ids)
+
+    def _ids_after(self, words: list[str]) -> list[bytes]:
+        """Ids of words after a space, learned where they are not known."""
+        if len(self.after) > self.remembered:
+            self.after, self.older = {}, self.after
+        if len(self.bare) > self.remembered:
+            self.bare = {}
+        after, older = self.after, self.older
+        found = [*map(after.get, words)]
+        if None in found:
+            missing = []
+            for word in {w for w, v in zip(words, found) if v is None}:
+                ids = older.get(word)
+                if ids is None:
+                    missing.append(word)
+                else:
+                    after[word] = ids
+            self._learn_after(missing)
+            found = [after[w] if v is None else v for w, v in zip(words, found)]
+        return found
+
+    def _ids_bare(self, parts: list) -> list[bytes]:
+        self._learn_bare(parts)
+        return [self.bare[p] for p in parts]
+
+    def _encode_odd(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts with white space beside a space: they are cut at no such space."""
+        out = []
         for text in texts:
-            if "\0" in text:
-                parts = [p if not k else " " + p for k, p in enumerate(text.split(" "))]
-            else:
-                parts = text.replace(" ", "\0 ").split("\0")
-            cut.append(parts)
-            found.append([*map(known.get, parts)])
-            if None in found[-1]:
-                missing.update(p for p, v in zip(parts, found[-1]) if v is None)
-        loose = {p for p in missing if _is_loose(p)}
-        if loose:  # cut those texts at no space that has white space beside it
-            missing -= loose
-            for i, parts in enumerate(cut):
-                if not loose.isdisjoint(parts):
-                    spans = _INNER_SPACE.split(texts[i]) if texts[i] else []
-                    cut[i] = [(p,) if _is_loose(p) else p for p in (s if not k else " " + s for k, s in enumerate(spans))]
-                    found[i] = [*map(known.get, cut[i])]
-                    missing.update(p for p, v in zip(cut[i], found[i]) if v is None)
-        for part in missing.intersection(older):
-            known[part] = older[part]
-        missing.difference_update(known)
-        self._learn(missing)
-        for parts, values in zip(cut, found):
-            if None in values:
-                values[:] = [known[p] if v is None else v for p, v in zip(parts, values)]
-        return [b"".join(values) for values in found]
+            spans = _INNER_SPACE.split(text) if text else []
+            parts = [s if not k else " " + s for k, s in enumerate(spans)]
+            out.append(b"".join(self._ids_bare([(p,) if _is_loose(p) or p[0] == " " else p for p in parts])))
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, ``end_id`` after each, and where each text's ids end.
+
+        Words are told apart once per batch; the ids of the batch are then gathered from those of its distinct words.
+        """
+        texts = texts.fill_null("")
+        cut = pc.split_pattern(texts, " ")
+        starts = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        flat = cut.flatten().dictionary_encode()
+        word = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words = flat.dictionary
+        # a text's first word has no space before it
+        heads = words.take(pa.array(word[starts]))
+        word[starts] = len(words) + np.arange(len(heads))
+        loose = pc.match_substring_regex(pa.concat_arrays([words, heads]), _LOOSE).to_numpy(zero_copy_only=False)
+        text_of = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(word))))
+        odd = np.unique(text_of[loose[word]])
+        # an odd text is one word of its own, and each text is followed by the end
+        plain = np.ones(len(texts), bool)
+        plain[odd] = False
+        used = np.bincount(word[plain[text_of]], minlength=len(loose)) > 0
+        spaced, first = np.flatnonzero(used[: len(words)]), np.flatnonzero(used[len(words) :])
+        ids: list[bytes] = [b""] * len(loose)
+        for k, found in zip(spaced.tolist(), self._ids_after(words.take(pa.array(spaced)).to_pylist())):
+            ids[k] = found
+        for k, found in zip((len(words) + first).tolist(), self._ids_bare(heads.take(pa.array(first)).to_pylist())):
+            ids[k] = found
+        ids += self._encode_odd(texts.take(pa.array(odd)).to_pylist())
+        ids.append(b"" if end_id is None else np.array([end_id], self.dtype).tobytes())
+        word, text_of = word[plain[text_of]], text_of[plain[text_of]]
+        extra = np.concatenate((len(loose) + np.arange(len(odd)), np.full(len(texts), len(ids) - 1)))
+        order = np.argsort(np.concatenate((text_of, odd, np.arange(len(texts)))), kind="stable")
+        word, text_of = np.concatenate((word, extra))[order], np.concatenate((text_of, odd, np.arange(len(texts))))[order]
+
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        first = np.cumsum(sizes) - sizes
+        take = sizes[word]
+        out_first = np.cumsum(take) - take
+        at = np.repeat(first[word] - out_first, take)
+        at += np.arange(len(at))
+        packed = np.frombuffer(b"".join(ids), self.dtype)[at]
+        return packed, np.cumsum(np.bincount(text_of, weights=take, minlength=len(texts)).astype(np.int64))
 
 
 def _is_loose(part: str) -> bool:
@@ -254,15 +303,13 @@ _ARROW = pa.schema(
 def _segments(path: str, end_id: int, segment_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(path)
-        width, end = tokenizer.dtype.itemsize, np.array([end_id], tokenizer.dtype).tobytes()
-        number, partition = 0, 0
+        number, partition, total = 0, 0, 0
         docs: list = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         ends: list[int] = []
-        total = 0
 
         def close() -> pa.RecordBatch:
-            chunks, marks, ranks = encode(np.frombuffer(b"".join(parts), tokenizer.dtype))
+            chunks, marks, ranks = encode(np.concatenate(parts))
             values = [partition, number, total, list(docs), list(ends), chunks, marks, ranks]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _ARROW)], schema=_ARROW)
 
@@ -270,10 +317,12 @@ def _segments(path: str, end_id: int, segment_ids: int):
             if not batch.num_rows:
                 continue
             partition = batch.column("partition")[0].as_py()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(texts)):
-                parts += (ids, end)
-                total += len(ids) // width + 1
+            ids, stops = tokenizer.encode(batch.column("text"), end_id)
+            begin = 0
+            for doc, stop in zip(batch.column("doc_id").to_pylist(), stops.tolist()):
+                parts.append(ids[begin:stop])
+                total += stop - begin
+                begin = stop
                 docs.append(doc)
                 ends.append(total)
                 if total >= segment_ids:
