@@ -68,12 +68,12 @@ SLICE_CODES = {
 
 # Labels of the slice codes.
 SLICE_LABELS = {
-    "magnitude": ("-10% to -15%", "-15% to -20%", "-20% to -30%", "<= -30%"),
+    "magnitude": ("-10% to -15%", "-15% to -20%", "-20% to -30%", "≤ -30%"),
     "prior_count": ("fresh (0 prior/20d)", "1 prior", "2 prior", "3+ prior"),
-    "size": ("micro (<$300M)", "small ($0.3-2B)", "mid ($2-10B)", "large (>=$10B)"),
-    "profitability": ("unprofitable (margin<0)", "profitable (margin>=0)"),
-    "leverage": ("<0.1", "0.1-0.3", "0.3-0.5", ">=0.5"),
-    "market_day": ("market <= -5% (broad crash)", "-5% to -2%", "-2% to 0%", "market >= 0%"),
+    "size": ("micro (<$300M)", "small ($0.3–2B)", "mid ($2–10B)", "large (≥$10B)"),
+    "profitability": ("unprofitable (margin<0)", "profitable (margin≥0)"),
+    "leverage": ("<0.1", "0.1–0.3", "0.3–0.5", "≥0.5"),
+    "market_day": ("market ≤ -5% (broad crash)", "-5% to -2%", "-2% to 0%", "market ≥ 0%"),
 }
 
 

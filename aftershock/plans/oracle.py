@@ -15,7 +15,6 @@ from ..operators.dataset import (
 from ..operators.features import MARKET_FEATURES, PRICE_FEATURES, RECENT_FEATURES
 from ..operators.fundamentals import FUNDAMENTAL_META, FUNDAMENTAL_RATIOS
 from ..operators.labels import HORIZONS, THRESHOLDS
-from ..operators.stats import SLICE_LABELS
 from ..sources.normalize import SIC_DIVISIONS
 from ..sources.schemas import DAILY_PRICE, FUNDAMENTALS, UNRESTATED_FUNDAMENTALS
 from .params import MIN_PRICE, RECENT_START, REGIMES, SAMPLE_END, SAMPLE_START, SAMPLE_TICKER
@@ -488,6 +487,16 @@ _SLICES = {
     "market_day": "CASE WHEN market_return_1d <= -0.05 THEN 0 WHEN market_return_1d <= -0.02 THEN 1 WHEN market_return_1d < 0 THEN 2 ELSE 3 END",
 }
 
+# Labels of the codes, stated here once more.
+_SLICE_LABELS = {
+    "magnitude": ["-10% to -15%", "-15% to -20%", "-20% to -30%", "≤ -30%"],
+    "prior_count": ["fresh (0 prior/20d)", "1 prior", "2 prior", "3+ prior"],
+    "size": ["micro (<$300M)", "small ($0.3–2B)", "mid ($2–10B)", "large (≥$10B)"],
+    "profitability": ["unprofitable (margin<0)", "profitable (margin≥0)"],
+    "leverage": ["<0.1", "0.1–0.3", "0.3–0.5", "≥0.5"],
+    "market_day": ["market ≤ -5% (broad crash)", "-5% to -2%", "-2% to 0%", "market ≥ 0%"],
+}
+
 _HEADLINES = {
     "fresh": "prior_crash_count_20d = 0",
     "three_or_more_prior": "prior_crash_count_20d >= 3",
@@ -687,7 +696,7 @@ def oracle_sql() -> dict[str, str]:
         "threshold_pct, horizon",
     )
     for name, code in _SLICES.items():
-        labels = ", ".join(f"'{x}'" for x in SLICE_LABELS[name])
+        labels = ", ".join(f"'{x}'" for x in _SLICE_LABELS[name])
         inner = _wilson(
             f"SELECT code, sum({target}) AS hits, count(*) AS n FROM (SELECT {code} AS code, {target} FROM dc) "
             f"WHERE code IS NOT NULL AND {target} IS NOT NULL GROUP BY 1",

@@ -69,7 +69,7 @@ def test_slices_follow_their_null_rules(spark):
     size = {r["code"]: r["n"] for r in stats.slice_rates(df, "size", "hit").collect()}
     assert size == {0: 1, 1: 1, 3: 1}
     magnitude = {r["code"]: (r["n"], r["label"]) for r in stats.slice_rates(df, "magnitude", "hit").collect()}
-    assert magnitude == {0: (1, "-10% to -15%"), 1: (1, "-15% to -20%"), 3: (2, "<= -30%")}
+    assert magnitude == {0: (1, "-10% to -15%"), 1: (1, "-15% to -20%"), 3: (2, "≤ -30%")}
 
 
 def test_quantile_buckets_keep_ties_together(spark):
@@ -152,7 +152,7 @@ def assembled(spark):
         [(i, n, n, "T", day(0), True, True, 5.0) for n, i in enumerate([*ids, "lonely"])],
         "event_id string, security_id long, company_id long, ticker_as_of_event string, crash_date date, in_universe_at_event boolean, passes_min_price boolean, crash_close double",
     )
-    labels = _family(spark, ids, dataset.OUTCOME_COLUMNS + dataset.OUTCOME_META_COLUMNS, 1.0)
+    labels = _family(spark, ids, dataset.columns_of(table="labels"), 1.0)
     price = _family(spark, ids, dataset.PRICE_FEATURES, -0.2)
     recent = _family(spark, ids, dataset.RECENT_FEATURES)
     market = _family(spark, ids, dataset.MARKET_FEATURES)
