@@ -734,7 +734,7 @@ def oracle_sql() -> dict[str, str]:
     for name, h in (("one_year", 252), ("sixty_day", 60), ("one_week", 5)):
         q[f"return_histogram_{name}"] = _histogram(f"SELECT ret FROM seen WHERE h = {h}", h)
     q["bucket_histograms_full"] = _histogram(_bucketed(full, 252, None), 252, "bucket")
-    q["bucket_histograms_recent"] = _histogram(_bucketed(recent, 252, RECENT_START), 252, "bucket")
+    q["bucket_histograms_recent"] = _histogram(_bucketed(recent, 60, RECENT_START), 60, "bucket")
     q["bucket_histograms_5d"] = _histogram(_bucketed(recent, 5, None), 5, "bucket")
     q["severity_returns_60d"] = _stats(
         " UNION ALL ".join(

@@ -457,8 +457,9 @@ def bucket_histograms_full(s: Study) -> DataFrame:
 
 @_query(BOTH)
 def bucket_histograms_recent(s: Study) -> DataFrame:
-    table = _bucket_table(s, RECENT_START, 252)
-    return buckets.bucket_histograms(table, buckets.recent_buckets(), "ret_252", stats.ONE_YEAR)
+    # sixty days: on the example calendar a year ahead of the recent events lies beyond the data
+    table = _bucket_table(s, RECENT_START, 60)
+    return buckets.bucket_histograms(table, buckets.recent_buckets(), "ret_60", stats.SIXTY_DAY)
 
 
 @_query(BOTH)
