@@ -567,6 +567,9 @@ def oracle_sql() -> dict[str, str]:
         q AS fiscal_quarter, sales AS revenue, income AS net_income, assets AS total_assets, owed AS total_liabilities,
         cash, coalesce(long_debt, 0) + coalesce(short_debt, 0) AS total_debt, shares AS shares_outstanding
       FROM quarters LEFT JOIN {one_link} USING (company_id) WHERE sid % 29 <> 0)"""
+    q["prices_by_id_list"] = f"SELECT {price_types} FROM px WHERE security_id IN (1, 3, 5)"
+    q["fund_by_company_ids"] = f"SELECT * FROM ({q['normalize_fund_q']}) WHERE company_id IN (100002, 100004, 100010)"
+    q["fund_by_company_table"] = f"SELECT * FROM ({q['normalize_fund_q']}) WHERE company_id % 4 = 2"
     q["normalize_fund_a"] = f"""SELECT {basic} FROM (
       SELECT 100000 + sid AS company_id, security_id, datadate AS period_end, datadate + (60 + sid % 30)::INTEGER AS public_date,
         'A' AS freq, y AS fiscal_year, NULL::BIGINT AS fiscal_quarter, sales AS revenue,

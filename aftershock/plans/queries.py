@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..operators import buckets, dataset, events, features, fundamentals, labels, outcomes, pit, profile, stats, universe
 from ..operators.features import MARKET_FEATURES
 from ..session import stage_path
-from ..sources import normalize, tables, writers
+from ..sources import normalize, schemas, tables, writers
 from . import demo
 from .params import RECENT_START, REGIMES, SAMPLE_END, SAMPLE_START, SAMPLE_TICKER
 from .study import Study
@@ -156,6 +156,25 @@ def fund_of_universe(s: Study) -> DataFrame:
     return tables.fundamentals(s.quarters, s.link, security_ids=members)
 
 
+@_query()
+def prices_by_id_list(s: Study) -> DataFrame:
+    chosen = tables.daily_prices(s.bars, security_ids=[1, 3, 5])
+    # an empty list keeps nothing, and an empty table adds nothing but its schema
+    nothing = tables.daily_prices(s.bars, security_ids=[]).unionByName(schemas.empty(s.spark, schemas.DAILY_PRICE))
+    return chosen.unionByName(nothing)
+
+
+@_query()
+def fund_by_company_ids(s: Study) -> DataFrame:
+    return tables.fundamentals(s.quarters, s.link, company_ids=[100002, 100004, 100010])
+
+
+@_query()
+def fund_by_company_table(s: Study) -> DataFrame:
+    companies = s.names.filter("permno % 4 = 2").selectExpr("permco AS company_id").distinct()
+    return tables.fundamentals(s.quarters, s.link, company_ids=companies)
+
+
 @_query()
 def normalize_fund_unrestated(s: Study) -> DataFrame:
     return normalize.normalize_unrestated(s.quarters)
