@@ -39,8 +39,7 @@ def train(documents: DataFrame, labels: DataFrame, rows_per_grade: int = ordinal
 
 
 def severity(documents: DataFrame, model: ordinal.Model, reject: float = REJECT) -> DataFrame:
-    """doc_id, expected_severity, p_toxic and rejected of every row; see ``ordinal.graded`` for odd cases.
-    """
+    """doc_id, expected_severity, p_toxic and rejected of every row; see ``ordinal.graded`` for odd cases."""
     prepare(documents.sparkSession)
     return ordinal.graded(documents, model, TEXT).select(
         "doc_id",
