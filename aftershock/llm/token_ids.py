@@ -27,12 +27,14 @@ from .common import prepare
 from ..session import stage_path
 
 #: Ids that close a segment; a longer document has a segment of its own.
-SEGMENT_IDS = 65_536
+SEGMENT_IDS = 32_768
 #: Id appended to each document.
 END_ID = 2
 #: Words whose ids a worker remembers, and words sent to the tokenizer in one piece.
 REMEMBERED = 150_000
 PIECE = 512
+#: Bytes of text that are encoded together, beside a batch's last rows.
+GATHERED_BYTES = 4_000_000
 _FILES = "partition int, segment int, n_ids long, doc_ids array<long>, ends array<long>, chunks array<binary>, marks array<binary>, ranks array<binary>"
 
 
@@ -254,19 +256,24 @@ class Encoder:
             ids[k] = found
         ids += self._encode_odd(texts.take(pa.array(odd)).to_pylist())
         ids.append(b"" if end_id is None else np.array([end_id], self.dtype).tobytes())
-        word, text_of = word[plain[text_of]], text_of[plain[text_of]]
-        extra = np.concatenate((len(loose) + np.arange(len(odd)), np.full(len(texts), len(ids) - 1)))
-        order = np.argsort(np.concatenate((text_of, odd, np.arange(len(texts)))), kind="stable")
-        word, text_of = np.concatenate((word, extra))[order], np.concatenate((text_of, odd, np.arange(len(texts))))[order]
-
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-        first = np.cumsum(sizes) - sizes
-        take = sizes[word]
-        out_first = np.cumsum(take) - take
-        at = np.repeat(first[word] - out_first, take)
-        at += np.arange(len(at))
+        # words in order, an odd text in place of its words, the end after each text
+        kept = plain[text_of]
+        word, text_of = word[kept], text_of[kept]
+        before = np.cumsum(~plain)  # odd texts up to each text, itself included
+        stops = np.cumsum(np.bincount(text_of, minlength=len(texts))) + before + np.arange(len(texts))
+        codes = np.empty(len(word) + len(odd) + len(texts), np.int32)
+        codes[np.arange(len(word)) + text_of + before[text_of]] = word
+        codes[stops[odd] - 1] = len(loose) + np.arange(len(odd))
+        codes[stops] = len(ids) - 1
+
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // self.dtype.itemsize
+        first = np.cumsum(sizes, dtype=np.int32) - sizes
+        take = sizes[codes]
+        out = np.cumsum(take, dtype=np.int32)
+        at = np.repeat(first[codes] - out + take, take)
+        at += np.arange(len(at), dtype=np.int32)
         packed = np.frombuffer(b"".join(ids), self.dtype)[at]
-        return packed, np.cumsum(np.bincount(text_of, weights=take, minlength=len(texts)).astype(np.int64))
+        return packed, out[stops].astype(np.int64)
 
 
 def _is_loose(part: str) -> bool:
@@ -300,6 +307,19 @@ _ARROW = pa.schema(
 )
 
 
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to a size: the more texts, the fewer distinct words each."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+        if sum(b.nbytes for b in waiting) >= GATHERED_BYTES:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting = []
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
 def _segments(path: str, end_id: int, segment_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(path)
@@ -313,9 +333,7 @@ def _segments(path: str, end_id: int, segment_ids: int):
             values = [partition, number, total, list(docs), list(ends), chunks, marks, ranks]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _ARROW)], schema=_ARROW)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _gathered(batches):
             partition = batch.column("partition")[0].as_py()
             ids, stops = tokenizer.encode(batch.column("text"), end_id)
             begin = 0
