@@ -25,7 +25,7 @@ ROWS_PER_GRADE = 1500
 STEPS = 150
 PENALTY = 2e-4
 #: Words whose weights a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 Tokens = Callable[[bytes], list[bytes]]
 Features = Callable[[bytes], Iterable[bytes]]
@@ -108,11 +108,11 @@ def sparse(texts: list[bytes | None], text: Text) -> tuple[np.ndarray, np.ndarra
                 found = seen[word] = text.indices(word)
             for column in found.tolist():
                 sums[column] = sums.get(column, 0.0) + times
-        rows.append(np.full(len(sums), i))
-        columns.append(np.fromiter(sums.keys(), np.int64, len(sums)))
-        values.append(np.fromiter(sums.values(), float, len(sums)) / max(total, 1) ** 0.5)
-    empty = [np.empty(0, np.int64)]
-    return np.concatenate(rows or empty), np.concatenate(columns or empty), np.concatenate(values or [np.empty(0)])
+        rows.append(np.full(len(sums), i, np.int32))
+        columns.append(np.fromiter(sums.keys(), np.int32, len(sums)))
+        values.append(np.fromiter(sums.values(), np.float32, len(sums)) / np.float32(max(total, 1) ** 0.5))
+    empty = [np.empty(0, np.int32)]
+    return np.concatenate(rows or empty), np.concatenate(columns or empty), np.concatenate(values or [np.empty(0, np.float32)])
 
 
 def train(documents: DataFrame, labels: DataFrame, grade: Column, text: Text, rows_per_grade: int = ROWS_PER_GRADE) -> Model:
