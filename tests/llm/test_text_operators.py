@@ -140,6 +140,33 @@ def test_field_learns_its_table_and_adds_spans():
     assert set(base) <= set(every)
 
 
+def test_field_finds_all_kinds_by_context_in_forms_beside_its_table():
+    field = pii.train()
+    told = {  # none of these values or sentences is in the table
+        "please call 444 0199": "phone:12:20",
+        "his phone is 0221 4440 197": "phone:13:26",
+        "the items 444 0199 were late": "",
+        "we counted 444 0199 cells": "",
+        "her card was 4111 2222 3333 4449 ok": "card:13:32",
+        "visa card 3799 123456 78909": "card:10:27",
+        "invoice 4111222233334449 due": "",
+        "IP 2a02:8108:9:1f::2": "ip:3:20",
+        "ip address 10[.]9[.]8[.]7": "ip:11:25",
+        "mac aa:1b:22:3c:44:5f": "",
+        "at 11:22:33 it": "",
+        "write to olga@intranet today": "email:9:22",
+    }
+    for text, want in told.items():
+        assert not any(w in line for line in pii.LABELLED for w in text.split() if len(w) > 9 and any(map(str.isdigit, w)))
+        ((base, every),) = pii.all_spans([text], field)
+        assert base == [] and pii.written(every) == want, text
+
+
+def test_table_labels_every_kind():
+    labels = {n for _, path in pii.labelled_runs() for n in path}
+    assert {1 + 2 * k for k in range(len(pii.KINDS))} <= labels
+
+
 def test_personal_data_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "é x@y.z 10.0.0.1"), (3, "é x@y.z 10.0.0.1"), (None, "+49 30 1234567")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(3))
