@@ -126,6 +126,12 @@ def first_hashes(hashes: np.ndarray, percent: int) -> np.ndarray:
     return hashes[: _first(size, percent)[0]]
 
 
+def _set_key(hashes: np.ndarray) -> tuple[int, int]:
+    """Equal sets have equal keys."""
+    key = xxhash.xxh3_128_digest(hashes.tobytes())
+    return int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True)
+
+
 _SETS = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sigs", pa.list_(pa.int64()))]
 )
@@ -137,10 +143,10 @@ def _set_rows(words: int, percent: int):
             ids, sizes, k1, k2, flat, ends = batch.column("doc_id"), [], [], [], [], [0]
             for text in binary_texts(batch.column("text")):
                 hashes = shingles(text, words)
-                key = xxhash.xxh3_128_digest(hashes.tobytes())
                 sizes.append(len(hashes))
-                k1.append(int.from_bytes(key[:8], "big", signed=True))
-                k2.append(int.from_bytes(key[8:], "big", signed=True))
+                high, low = _set_key(hashes)
+                k1.append(high)
+                k2.append(low)
                 keys = signatures(hashes, percent) if percent >= SLICES_FROM else first_hashes(hashes, percent)
                 flat.append(keys.view(np.int64))
                 ends.append(ends[-1] + len(flat[-1]))
@@ -190,8 +196,8 @@ def overlaps(sets: list[np.ndarray], percent: int, first: int | None = None) ->
     return [(int(i), int(j)) for i, j in zip(*np.nonzero(alive & (counts >= need)))]
 
 
-def _forest(ids: list[int], pairs: list[tuple[int, int]]) -> dict[int, int]:
-    """Smallest linked id of every row that has a link, within one block."""
+def _forest(ids: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Id and smallest linked id of every row that has a link, within one block; rows with different sets may share an id."""
     parent = list(range(len(ids)))
 
     def root(x: int) -> int:
@@ -204,7 +210,7 @@ def _forest(ids: list[int], pairs: list[tuple[int, int]]) -> dict[int, int]:
         a, b = root(i), root(j)
         if a != b:
             parent[a if ids[a] > ids[b] else b] = a if ids[a] < ids[b] else b
-    return {ids[i]: ids[root(i)] for i in range(len(ids)) if root(i) != i}
+    return [(ids[i], ids[root(i)]) for i in range(len(ids)) if ids[root(i)] != ids[i]]
 
 
 def _multiply(percent: int):
@@ -217,7 +223,7 @@ def _multiply(percent: int):
         sets = [np.frombuffer(r[2], np.uint64) for r in rows]
         pairs = overlaps(sets, percent, None if left == right else sum(r[0] == left for r in rows))
         links = _forest(ids, pairs)
-        return pa.table({"a": pa.array(list(links), pa.int64()), "b": pa.array(list(links.values()), pa.int64())})
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return block
 
@@ -248,13 +254,14 @@ def similar_documents(documents: DataFrame, words: int = WORDS, percent: int = P
     Returns a row for each row of ``documents``: doc_id, n_shingles (size of its set), class_id (smallest doc_id with an
     equal set), component_id (smallest doc_id reachable by links, itself included). Documents without words, null
     texts included, have n_shingles 0 and are linked with nothing. Rows with a null doc_id are returned with a null
-    component; rows that share a doc_id are one node of the link graph. Other columns are ignored. No text is cut, no
-    pair is left out: sets that reach the threshold always meet in a block.
+    component; rows that share a doc_id are one node of the link graph, with the links of all their sets. Other columns are
+    ignored. No text is cut, no pair is left out: sets that reach the threshold always meet in a block.
     """
     spark = prepare(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sets = staged(texts.mapInArrow(_set_rows(words, percent), "doc_id long, n long, k1 long, k2 long, sigs array<long>"), "sets")
     filled = sets.where("n > 0 and doc_id is not null")
+    repeated = not filled.groupBy("doc_id").count().where("count > 1").isEmpty()
     classes = filled.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "sigs")).alias("least"))
 
     # rows that share a key with another one, linked to the smallest row of the key
@@ -267,8 +274,7 @@ def similar_documents(documents: DataFrame, words: int = WORDS, percent: int = P
 
     # clusters in blocks of bounded size
     names = filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"))
-    small = names.select("node", "n")
-    member = clusters.join(small, "node")
+    member = clusters.join(names, "node")
     whole = member.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements")).select(
         "component",
         F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int").alias("blocks"),
@@ -276,26 +282,34 @@ def similar_documents(documents: DataFrame, words: int = WORDS, percent: int = P
     placed = staged(
         member.join(whole, "component").select(
             F.col("node").alias("doc_id"),
+            *(("k1", "k2") if repeated else ()),
             F.col("component").alias("cluster"),
             "blocks",
-            F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
+            F.pmod(F.xxhash64("node", "k1", "k2"), F.col("blocks")).cast("int").alias("block"),
         ),
         "placed",
     )
     wanted = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
-    chosen = texts.join(wanted, "doc_id").dropDuplicates(["doc_id"])
 
     def to_sets(batches):
         for batch in batches:
-            items = [shingles(t, words).tobytes() for t in binary_texts(batch.column("text"))]
-            keep = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in keep), pa.array(items, pa.binary())], names=[*keep, "items"]
-            )
-
-    rows = chosen.select("doc_id", "cluster", "blocks", "block", "text").mapInArrow(
-        to_sets, "doc_id long, cluster long, blocks int, block int, items binary"
-    )
+            found = [shingles(t, words) for t in binary_texts(batch.column("text"))]
+            keep = {n: batch.column(n) for n in batch.schema.names if n != "text"}
+            if repeated:
+                keys = [_set_key(h) for h in found]
+                keep |= {"k1": pa.array([k for k, _ in keys], pa.int64()), "k2": pa.array([k for _, k in keys], pa.int64())}
+            keep["items"] = pa.array([h.tobytes() for h in found], pa.binary())
+            yield pa.RecordBatch.from_pydict(keep)
+
+    if repeated:
+        # a doc_id may have several texts: each different set of it is a row of its own
+        some = texts.join(wanted.select("doc_id"), "doc_id", "left_semi")
+        sets_of = some.mapInArrow(to_sets, "doc_id long, k1 long, k2 long, items binary")
+        rows = sets_of.join(wanted, ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"]).drop("k1", "k2")
+    else:
+        rows = texts.join(wanted, "doc_id").select("doc_id", "cluster", "blocks", "block", "text").mapInArrow(
+            to_sets, "doc_id long, cluster long, blocks int, block int, items binary"
+        )
     # block i meets every block j: the row goes to (i, j) for j >= i and to (j, i) for j < i
     paired = rows.select(
         "*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -306,6 +320,12 @@ def similar_documents(documents: DataFrame, words: int = WORDS, percent: int = P
     links = staged(
         paired.groupBy("cluster", "low", "high").applyInArrow(_multiply(percent), "a long, b long"), "product"
     )
+    if repeated:
+        # the sets of a doc_id are linked through it
+        own = filled.select("doc_id", "k1", "k2").distinct().join(names, ["k1", "k2"])
+        links = staged(
+            links.unionByName(own.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))), "links"
+        )
     component = connected_components(links).withColumnRenamed("component", "linked")
 
     grouped = names.join(component, "node", "left").select(

@@ -100,6 +100,21 @@ def test_similar_documents_of_odd_rows(spark):
     assert jaccard.similar_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [90, 80])
+def test_texts_that_share_a_doc_id_keep_all_their_links(spark, percent):
+    rng = random.Random(11)
+    base = [prose(rng, 120) for _ in range(4)]
+    near = [t + " end" for t in base]
+    # 1 and 9 are near the texts of 5, and so is 3; 7 has the very text of 2 and one near 8's
+    rows = [(5, base[0]), (5, base[1]), (5, base[1]), (5, base[0].upper()), (1, near[0]), (9, near[1])]
+    rows += [(7, base[2]), (2, base[2]), (7, base[3]), (8, near[3]), (20, prose(rng, 120)), (20, prose(rng, 120))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for _ in range(2):
+        got = {r.doc_id: r.component_id for r in jaccard.similar_documents(df.repartition(3), 3, percent).collect()}
+        assert got == {1: 1, 5: 1, 9: 1, 2: 2, 7: 2, 8: 2, 20: 20}
+    assert sorted(r.doc_id for r in jaccard.keep_one_of_each_group(df, 3, percent).collect()) == [1, 2, 20]
+
+
 def test_slices_and_first_hashes_lose_no_pair():
     rng = np.random.default_rng(1)
     for percent in (80, 90, 95):
