@@ -75,8 +75,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     )
 
 
-def read_conversations(formatted: DataFrame) -> DataFrame:
-    """Turns read back from the formatted text: conv_id, turns (role and text, in order), formatted."""
+def read_conversations(formatted: DataFrame, *columns: str) -> DataFrame:
+    """Turns read back from the formatted text: conv_id, turns (role and text, in order), formatted, other ``columns``."""
     # nothing stands before the first block
     blocks = F.filter(F.split("formatted", r"<\|im_start\|>", -1), lambda _, i: i > 0)
 
@@ -88,18 +88,43 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
             lambda part: F.struct(_role(line).alias("role"), unescaped(part).alias("text")),
         )
 
-    return formatted.select("conv_id", F.flatten(F.transform(blocks, block_turns)).alias("turns"), "formatted")
+    return formatted.select("conv_id", F.flatten(F.transform(blocks, block_turns)).alias("turns"), "formatted", *columns)
+
+
+def _learned() -> Column:
+    """Texts under the loss mask, cut out of ``formatted`` by the lengths in ``loss_runs``."""
+
+    def add(done: Column, run: Column) -> Column:
+        start = done["at"] + run["control_chars"]
+        cut = F.struct(start.alias("start"), run["text_chars"].alias("length"))
+        return F.struct(
+            (start + run["text_chars"]).alias("at"),
+            F.when(run["learned"], F.array_append(done["cuts"], cut)).otherwise(done["cuts"]).alias("cuts"),
+        )
+
+    empty = F.expr("struct(1 AS at, cast(array() AS array<struct<start: int, length: int>>) AS cuts)")
+    cuts = F.aggregate("loss_runs", empty, add, lambda done: done["cuts"])
+
+    def texts(wide: Column) -> Column:
+        # from the character before the text on, as a mark of byte order at the very beginning would be taken away
+        one = lambda c: F.decode(F.substr(wide, 4 * c["start"] - 7, 4 * c["length"] + 4), "UTF-32")
+        return F.transform(cuts, lambda c: unescaped(F.substring(one(c), 2, 1 << 30)))
+
+    # four bytes a character, so that a cut does not read all that stands before it; encoded once, as a lambda's variable
+    return F.array_join(F.flatten(F.transform(F.array(F.encode("formatted", "UTF-32")), texts)), "")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from ``formatted``."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from ``formatted``.
+
+    What is learned is cut out of it by ``loss_runs``.
+    """
     said = F.array_join(
         F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
     )
-    learned = F.array_join(
-        F.transform(F.filter("turns", lambda t: t["role"] == LEARNED_ROLE), lambda t: t["text"]), ""
+    read = read_conversations(formatted.select("conv_id", "formatted", "loss_runs"), "loss_runs").select(
+        "conv_id", "formatted", "turns", said.alias("said"), _learned().alias("learned")
     )
-    read = read_conversations(formatted).select("conv_id", "formatted", "turns", said.alias("said"), learned.alias("learned"))
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -219,6 +219,24 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_digests_follow_the_mask(spark):
+    rows = [(1, 0, "user", "a<|b"), (1, 1, "assistant", "\ufeffé<|im_end|>"), (1, 2, "assistant", ""), (1, 3, "user", "x"), (1, 4, "assistant", "😀z")]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert [x.learned for x in formatted.first().loss_runs] == [False, True, True, False, True]
+
+    def learned(mask):
+        flipped = F.transform("loss_runs", lambda x: x.withField("learned", mask(x)))
+        return chat.digests(formatted.withColumn("loss_runs", flipped)).first()
+
+    for mask, want in (
+        (lambda x: x["learned"], "\ufeffé<|im_end|>😀z"),
+        (lambda x: ~x["learned"], "a<|bx"),
+        (lambda x: F.lit(False), ""),
+    ):
+        r = learned(mask)
+        assert (r.loss_chars, r.loss_sha256) == (len(want), hashlib.sha256(want.encode()).hexdigest())
+
+
 def test_chat_merges_adjacent_turns_and_uses_no_python(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")]
     formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
