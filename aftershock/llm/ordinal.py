@@ -22,6 +22,8 @@ from .common import binary_texts
 DIMENSIONS = 1 << 18
 #: Labelled rows of each grade that a model is fitted on, at most (those with the smallest hashes of their ids).
 ROWS_PER_GRADE = 1500
+#: Grades in the labels, at most.
+MOST_GRADES = 64
 STEPS = 150
 PENALTY = 2e-4
 #: Words whose weights a worker remembers.
@@ -49,9 +51,14 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
 
+    @property
+    def fitted(self) -> bool:
+        return bool(np.isfinite(self.thresholds).all())
+
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for each threshold."""
-        return 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
+        inner = 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
+        return np.where(np.isposinf(self.thresholds)[None, :], 0.0, inner)
 
 
 def fit(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, steps: int = STEPS) -> Model:
@@ -115,23 +122,31 @@ def sparse(texts: list[bytes | None], text: Text) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(rows or empty), np.concatenate(columns or empty), np.concatenate(values or [np.empty(0, np.float32)])
 
 
+def unfitted() -> Model:
+    """A model by which no grade is above 0."""
+    return Model(np.zeros(DIMENSIONS, np.float32), np.full(1, np.inf))
+
+
 def train(documents: DataFrame, labels: DataFrame, grade: Column, text: Text, rows_per_grade: int = ROWS_PER_GRADE) -> Model:
     """Fit a model on a bounded sample of labelled rows, in one task; only the weights come to the driver.
 
     Labels without a document, text or grade take no part, repeated labels of a document count once (their highest
-    grade). Without any labelled row all weights and thresholds are 0.
+    grade). Without labelled rows of two grades nothing can be told apart: all weights are 0 and the threshold is infinite,
+    so that P(grade > 0) is 0 for every text. More than ``MOST_GRADES`` grades are an error.
     """
     graded = labels.select(F.col("doc_id"), grade.cast("int").alias("grade")).where("doc_id is not null and grade >= 0")
     graded = graded.groupBy("doc_id").agg(F.max("grade").alias("grade"))
     order = F.xxhash64("doc_id")
     # candidates are cut down by hash before texts are joined to them: thrice as many, as some have no document
     kept = None
-    levels = [r["grade"] for r in graded.groupBy("grade").count().orderBy("grade").limit(64).collect()]
+    levels = [r["grade"] for r in graded.groupBy("grade").count().orderBy("grade").limit(MOST_GRADES + 1).collect()]
+    if len(levels) > MOST_GRADES:
+        raise ValueError(f"more than {MOST_GRADES} grades in the labels")
     for level in levels:
         some = graded.where(F.col("grade") == level).orderBy(order, "doc_id").limit(3 * rows_per_grade)
         kept = some if kept is None else kept.unionByName(some)
     if kept is None:
-        return Model(np.zeros(DIMENSIONS, np.float32), np.zeros(1))
+        return unfitted()
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
     sample = texts.join(F.broadcast(kept), "doc_id")
     best = None
@@ -144,12 +159,14 @@ def train(documents: DataFrame, labels: DataFrame, grade: Column, text: Text, ro
         if found:
             rows = pa.Table.from_batches(found).sort_by([("grade", "ascending"), ("doc_id", "ascending")])
             grades = rows.column("grade").to_numpy().astype(np.int64)
+            if len(np.unique(grades)) < 2:
+                return
             model = fit(*sparse(binary_texts(rows.column("text")), text), grades)
             yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "thresholds": [model.thresholds.tolist()]})
 
     made = best.repartition(1).mapInArrow(run, "weights binary, thresholds array<double>").collect()
     if not made:
-        return Model(np.zeros(DIMENSIONS, np.float32), np.zeros(1))
+        return unfitted()
     return Model(np.frombuffer(bytes(made[0]["weights"]), np.float32), np.array(made[0]["thresholds"]))
 
 

@@ -40,11 +40,11 @@ def train(documents: DataFrame, labels: DataFrame, rows_per_grade: int = ordinal
 
 
 def quality(documents: DataFrame, model: ordinal.Model, keep: float = KEEP) -> DataFrame:
-    """doc_id, expected_grade, p_good and kept of every row; see ``ordinal.graded`` for odd cases."""
+    """doc_id, expected_grade, p_good and kept of every row; see ``ordinal.graded`` for odd cases. An unfitted model keeps all."""
     prepare(documents.sparkSession)
     return ordinal.graded(documents, model, TEXT).select(
         "doc_id",
         "expected_grade",
         F.col("tail")[0].alias("p_good"),
-        (F.col("tail")[0] >= keep).alias("kept"),
+        (F.col("tail")[0] >= keep if model.fitted else F.lit(True)).alias("kept"),
     )

@@ -227,6 +227,21 @@ def test_models_of_odd_rows(spark):
     assert toxicity.severity(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("given", [[], [(77, 1)], [(1, 1), (2, 1)], [(1, 0), (2, 0)]])
+def test_unfitted_model_rejects_nothing(spark, given):
+    docs = spark.createDataFrame([(1, "you idiot"), (2, "nice day"), (3, None)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(given, "doc_id long, toxic int"))
+    assert toxicity.without_toxic(docs, model).count() == 3
+    assert {(r.p_toxic, r.rejected) for r in toxicity.severity(docs, model).collect()} == {(0.0, False)}
+    assert all(r.kept for r in quality.quality(docs, model).collect())
+
+
+def test_too_many_grades_are_an_error(spark):
+    labels = spark.range(70).selectExpr("id AS doc_id", "cast(id AS int) AS toxic")
+    with pytest.raises(ValueError):
+        toxicity.train(spark.range(70).selectExpr("id AS doc_id", "'a' AS text"), labels)
+
+
 # --- pipeline
 
 
