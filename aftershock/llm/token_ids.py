@@ -11,18 +11,16 @@ table, the directory, has the number of ids before each segment.
 
 from __future__ import annotations
 
-import os
-import re
 import sys
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .byte_bpe import encoder
 from .common import prepare
 from ..session import stage_path
 
@@ -30,9 +28,6 @@ from ..session import stage_path
 SEGMENT_IDS = 32_768
 #: Id appended to each document.
 END_ID = 2
-#: Words whose ids a worker remembers, and words sent to the tokenizer in one piece.
-REMEMBERED = 150_000
-PIECE = 512
 #: Bytes of text that are encoded together, beside a batch's last rows.
 GATHERED_BYTES = 4_000_000
 _FILES = "partition int, segment int, n_ids long, doc_ids array<long>, ends array<long>, chunks array<binary>, marks array<binary>, ranks array<binary>"
@@ -96,201 +91,6 @@ class Segment:
         return out
 
 
-# --- tokenizer
-
-_LETTERS_AND_MARKS = re.compile(r" ?[^\W\d_]+[.,;:!?]*(?:\n[^\W\d_]+[.,;:!?]*)*")
-_PARTS = re.compile(r" ?[^\W\d_]+|[.,;:!?]+|\n")
-#: White space at an end of a word, or no word at all; all that str.isspace() knows.
-_LOOSE = r"^$|^[\s\x0B\x1C-\x1F\x{85}\p{Z}]|[\s\x0B\x1C-\x1F\x{85}\p{Z}]$"
-_INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
-
-class Encoder:
-    """Ids of whole texts through a byte-level BPE file of the tokenizers library.
-
-    The tokenizer's own pattern never joins what stands before and after a single space between two characters that are
-    no white space; a text is therefore cut there, and the ids of each part are remembered. A part of letters goes
-    to the library's merges as it is, anything else through the library's whole pipeline.
-    """
-
-    def __init__(self, path: str, remembered: int = REMEMBERED):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
-        self.merges = Tokenizer.from_file(path)
-        self.merges.encode_special_tokens = True
-        resize = getattr(self.merges.model, "_resize_cache", None)
-        if resize is not None:
-            resize(0)
-        # the byte alphabet of byte-level BPE: printable bytes stand for themselves, others follow from 256 on
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        hidden = [b for b in range(256) if b not in shown]
-        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        # line breaks stand between the parts; their id tells the parts of a result from each other
-        self.between = self.whole.token_to_id(self.alphabet[0x0A])
-        self.merges.pre_tokenizer = pre_tokenizers.Split(self.alphabet[0x0A], "isolated")
-        self.remembered = remembered
-        #: ids of words after a space, keyed without it; of those an earlier generation had; of all other parts
-        self.after: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.bare: dict = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _by_merges(self, words: list[str], space: str, known: dict) -> None:
-        """Ids of words of letters: only the library's merges are needed."""
-        size = self.dtype.itemsize
-        for i in range(0, len(words), PIECE):
-            some = words[i : i + PIECE]
-            mapped = (space + f"\n{space}".join(some)).encode().decode("latin-1").translate(self.alphabet)
-            ids = np.array(self.merges.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = (np.flatnonzero(ids == self.between) * size).tolist()
-            if len(cuts) != len(some) - 1:
-                raise ValueError("the tokenizer did not keep the words apart")
-            packed = ids.tobytes()
-            for word, start, end in zip(some, [0, *(c + size for c in cuts)], [*cuts, len(packed)]):
-                known[word] = packed[start:end]
-
-    def _by_pipeline(self, keys: list) -> None:
-        texts = [k if isinstance(k, str) else k[0] for k in keys]
-        for key, found in zip(keys, self.whole.encode_batch_fast(texts, add_special_tokens=False)):
-            self.bare[key] = self._pack(found.ids)
-
-    def _learn_bare(self, parts: Iterable) -> None:
-        """Ids of parts without a space before them; a tuple holds a part with white space at an end."""
-        new = {p for p in parts if p not in self.bare}
-        letters = [p for p in new if isinstance(p, str) and p.isalpha()]
-        self._by_merges(letters, "", self.bare)
-        self._by_pipeline(list(new.difference(letters)))
-
-    def _learn_after(self, words: Iterable[str]) -> None:
-        """Ids of words after a space."""
-        after = self.after
-        letters, cut, other = set(), [], []
-        for word in words:
-            if word.isalpha():
-                letters.add(word)
-                continue
-            plain = word.rstrip(".,;:!?")
-            if plain.isalpha():
-                cut.append((word, plain, (word[len(plain) :],)))
-                continue
-            pieces = _PARTS.findall(word) if _LETTERS_AND_MARKS.fullmatch(word) else ()
-            # a word character may be no letter
-            if pieces and all(p[-1] in ".,;:!?\n" or p.isalpha() for p in pieces):
-                cut.append((word, pieces[0], pieces[1:]))
-            else:
-                other.append(word)
-        letters.update(plain for _, plain, _ in cut if plain not in after)
-        self._by_merges(list(letters), " ", after)
-        self._learn_bare([p for _, _, more in cut for p in more])
-        bare = self.bare
-        for word, plain, more in cut:
-            after[word] = after[plain] + (bare[more[0]] if len(more) == 1 else b"".join([bare[p] for p in more]))
-        for word, found in zip(other, self.whole.encode_batch_fast([" " + w for w in other], add_special_tokens=False)):
-            after[word] = self._pack(found.ids)
-
-    def _ids_after(self, words: list[str]) -> list[bytes]:
-        """Ids of words after a space, learned where they are not known."""
-        if len(self.after) > self.remembered:
-            self.after, self.older = {}, self.after
-        if len(self.bare) > self.remembered:
-            self.bare = {}
-        after, older = self.after, self.older
-        found = [*map(after.get, words)]
-        if None in found:
-            missing = []
-            for word in {w for w, v in zip(words, found) if v is None}:
-                ids = older.get(word)
-                if ids is None:
-                    missing.append(word)
-                else:
-                    after[word] = ids
-            self._learn_after(missing)
-            found = [after[w] if v is None else v for w, v in zip(words, found)]
-        return found
-
-    def _ids_bare(self, parts: list) -> list[bytes]:
-        self._learn_bare(parts)
-        return [self.bare[p] for p in parts]
-
-    def _encode_odd(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts with white space beside a space: they are cut at no such space."""
-        out = []
-        for text in texts:
-            spans = _INNER_SPACE.split(text) if text else []
-            parts = [s if not k else " " + s for k, s in enumerate(spans)]
-            out.append(b"".join(self._ids_bare([(p,) if _is_loose(p) or p[0] == " " else p for p in parts])))
-        return out
-
-    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, ``end_id`` after each, and where each text's ids end.
-
-        Words are told apart once per batch; the ids of the batch are then gathered from those of its distinct words.
-        """
-        texts = texts.fill_null("")
-        cut = pc.split_pattern(texts, " ")
-        starts = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
-        flat = cut.flatten().dictionary_encode()
-        word = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = flat.dictionary
-        # a text's first word has no space before it
-        heads = words.take(pa.array(word[starts]))
-        word[starts] = len(words) + np.arange(len(heads))
-        loose = pc.match_substring_regex(pa.concat_arrays([words, heads]), _LOOSE).to_numpy(zero_copy_only=False)
-        text_of = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(word))))
-        odd = np.unique(text_of[loose[word]])
-        # an odd text is one word of its own, and each text is followed by the end
-        plain = np.ones(len(texts), bool)
-        plain[odd] = False
-        used = np.bincount(word[plain[text_of]], minlength=len(loose)) > 0
-        spaced, first = np.flatnonzero(used[: len(words)]), np.flatnonzero(used[len(words) :])
-        ids: list[bytes] = [b""] * len(loose)
-        for k, found in zip(spaced.tolist(), self._ids_after(words.take(pa.array(spaced)).to_pylist())):
-            ids[k] = found
-        for k, found in zip((len(words) + first).tolist(), self._ids_bare(heads.take(pa.array(first)).to_pylist())):
-            ids[k] = found
-        ids += self._encode_odd(texts.take(pa.array(odd)).to_pylist())
-        ids.append(b"" if end_id is None else np.array([end_id], self.dtype).tobytes())
-        # words in order, an odd text in place of its words, the end after each text
-        kept = plain[text_of]
-        word, text_of = word[kept], text_of[kept]
-        before = np.cumsum(~plain)  # odd texts up to each text, itself included
-        stops = np.cumsum(np.bincount(text_of, minlength=len(texts))) + before + np.arange(len(texts))
-        codes = np.empty(len(word) + len(odd) + len(texts), np.int32)
-        codes[np.arange(len(word)) + text_of + before[text_of]] = word
-        codes[stops[odd] - 1] = len(loose) + np.arange(len(odd))
-        codes[stops] = len(ids) - 1
-
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // self.dtype.itemsize
-        first = np.cumsum(sizes, dtype=np.int32) - sizes
-        take = sizes[codes]
-        out = np.cumsum(take, dtype=np.int32)
-        at = np.repeat(first[codes] - out + take, take)
-        at += np.arange(len(at), dtype=np.int32)
-        packed = np.frombuffer(b"".join(ids), self.dtype)[at]
-        return packed, out[stops].astype(np.int64)
-
-
-def _is_loose(part: str) -> bool:
-    """Whether white space at an end of the part could belong with its neighbour's."""
-    return part in ("", " ") or part[-1].isspace() or part[part[0] == " "].isspace()
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 # --- files
 
 _ARROW = pa.schema(
@@ -307,7 +107,7 @@ _ARROW = pa.schema(
 )
 
 
-def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches put together up to a size: the more texts, the fewer distinct words each."""
     waiting: list[pa.RecordBatch] = []
     for batch in batches:
@@ -320,9 +120,9 @@ def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
 
 
-def _segments(path: str, end_id: int, segment_ids: int):
+def _segments(path: str, end_id: int, segment_ids: int, encode_special_tokens: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = encoder(path)
+        tokenizer = encoder(path, encode_special_tokens)
         number, partition, total = 0, 0, 0
         docs: list = []
         parts: list[np.ndarray] = []
@@ -333,7 +133,7 @@ def _segments(path: str, end_id: int, segment_ids: int):
             values = [partition, number, total, list(docs), list(ends), chunks, marks, ranks]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _ARROW)], schema=_ARROW)
 
-        for batch in _gathered(batches):
+        for batch in gathered(batches):
             partition = batch.column("partition")[0].as_py()
             ids, stops = tokenizer.encode(batch.column("text"), end_id)
             begin = 0
@@ -353,13 +153,19 @@ def _segments(path: str, end_id: int, segment_ids: int):
 
 
 def write_token_ids(
-    documents: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS
+    documents: DataFrame,
+    tokenizer_path: str,
+    path: str,
+    end_id: int = END_ID,
+    segment_ids: int = SEGMENT_IDS,
+    encode_special_tokens: bool = False,
 ) -> None:
     """Write the ids of every whole text, with ``end_id`` after each document, in ascending order of doc_id.
 
     ``path/segments`` gets the codes, ``path/directory`` the number of ids before each segment. Null texts are empty
     (one id, the end). A null doc_id comes first; rows that share a doc_id are each written, ordered by their text's hash.
-    No rows make no segments. Other columns are ignored.
+    No rows make no segments. Other columns are ignored. The string of an added token in a text is that token, as the library
+    has it, unless ``encode_special_tokens`` is set.
     """
     prepare(documents.sparkSession)
     ordered = documents.select(
@@ -367,7 +173,7 @@ def write_token_ids(
     )
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     rows = ordered.select("doc_id", "text", F.spark_partition_id().alias("partition"))
-    rows.mapInArrow(_segments(tokenizer_path, end_id, segment_ids), _FILES).write.option(
+    rows.mapInArrow(_segments(tokenizer_path, end_id, segment_ids, encode_special_tokens), _FILES).write.option(
         "compression", "none"
     ).parquet(f"{path}/segments")
     spark = documents.sparkSession

@@ -10,7 +10,7 @@ import pytest
 
 import brute
 import corpus_pipeline
-from aftershock.llm import jaccard, mixing, mtree, ordinal, quality, token_ids, toxicity, unigram
+from aftershock.llm import byte_bpe, jaccard, mixing, mtree, ordinal, quality, token_ids, toxicity, unigram
 from aftershock.llm.vocabulary import tokenizer_path
 from pyspark.sql import functions as F
 
@@ -20,11 +20,12 @@ ODD = [None, "", " ", "  ", "a  b", "foo\n bar", "foo\n\n  bar", " \n x", "m² n
        "漢字 かな", "\x00 a\x1c b", "x\r\n y\tz", "<|endoftext|> a", "½ Ⅷ a_b"]
 
 
-def library_ids(texts):
+def library_ids(texts, plain=False):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(BPE)
-    whole.encode_special_tokens = True
+    if plain:
+        whole.encode_special_tokens = True
     return [e.ids for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -42,19 +43,45 @@ def test_codes_give_random_access():
             assert segment.slice(a, b).tolist() == ids[a:b].tolist()
 
 
-def test_encoder_equals_the_library():
+SPECIAL = ["<|endoftext|>", "a<|endoftext|>b", "<|endoftext|>\n 's", "x <|endoftext|><|endoftext|>", "<|endoftext|", "|endoftext|>"]
+
+
+def same_ids(encoder, texts, plain=False):
+    ids, ends = encoder.encode(pa.array(texts, pa.string()), end_id=2)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [i + [2] for i in library_ids(texts, plain)]
+
+
+@pytest.mark.parametrize("remembered", [400, 40_000, 24_000_000])
+def test_encoder_equals_the_library(remembered):
     rng = random.Random(2)
-    parts = [" ", "  ", "\n", "a", "B", "é", "'s", ",", ".", "1", "²", "_", "\t", "　", "漢", "́", "\x1c", "!"]
-    texts = ODD + ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(2000)]
-    encoder = token_ids.Encoder(BPE, remembered=50)  # forgets often
+    parts = [" ", "  ", "\n", "a", "B", "é", "ß×÷", "'s", "'", ",", ".", "1", "²", "_", "\t", "　", "\xa0", "漢", "́", "\x1c", "!", "ł", "ж"]
+    texts = ODD + SPECIAL + ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(3000)]
+    encoder = byte_bpe.Encoder(BPE, remembered=remembered)
     for start in range(0, len(texts), 300):
-        some = texts[start : start + 300]
-        ids, ends = encoder.encode(pa.array(some, pa.string()), end_id=2)
-        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [i + [2] for i in library_ids(some)]
+        same_ids(encoder, texts[start : start + 300])
+        assert encoder.memory <= remembered
+    for text in ODD + SPECIAL:  # batches of one text, sliced arrays
+        same_ids(encoder, [text])
+    ids, ends = encoder.encode(pa.array(["skipped", *ODD], pa.string())[1:])
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == library_ids(ODD)
+    assert encoder.encode(pa.array([], pa.string()), 2)[0].size == 0
+
+
+def test_encoder_takes_special_strings_as_text_on_request():
+    same_ids(byte_bpe.Encoder(BPE, encode_special_tokens=True), SPECIAL + ODD, plain=True)
+
+
+def test_encoder_remembers_no_long_pieces():
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x4E00, 0x4F00)] + list("abcdefghij")
+    texts = ["".join(rng.choices(letters, k=20_000)) for _ in range(20)] + ["".join(rng.choices("abcdefghij", k=20_000))]
+    encoder = byte_bpe.Encoder(BPE)
+    same_ids(encoder, texts + ["some words more"])
+    assert encoder.memory < 1000
 
 
 def test_token_id_files(spark, tmp_path):
-    rows = [(50 - i, t) for i, t in enumerate(ODD)] + [(7, "twice"), (7, "twice"), (None, "no id"), (1, "long " * 40_000)]
+    rows = [(50 - i, t) for i, t in enumerate(ODD + SPECIAL)] + [(7, "twice"), (7, "twice"), (None, "no id"), (1, "long " * 40_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(1)).withColumn("segment", F.lit(0))
     got = token_ids.token_ids(df, BPE, str(tmp_path / "ids"), segment_ids=1000).collect()
     want, start = [], 0
