@@ -119,10 +119,114 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
 FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.doc_id = d.doc_id
 """
 
+_OP12_START = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS INTEGER) AS cluster, v AS c FROM (
+    SELECT sha256('2:' || vec_id) AS h, v FROM v ORDER BY h NULLS LAST, v LIMIT 40)
+)"""
+
+_OP12_ROUND = """, a{n} AS MATERIALIZED (
+  SELECT r, vec_id, v, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (
+    SELECT r, vec_id, v, cluster,
+      CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+    FROM v, c{n})
+  GROUP BY r, vec_id, v
+)"""
+
+_OP12_MOVE = """, s{n} AS (
+  SELECT cluster, k, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS k FROM a{n}) GROUP BY ALL
+), c{m} AS MATERIALIZED (
+  SELECT cluster, coalesce(m, c) AS c FROM c{n} LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY k) AS m FROM s{n} GROUP BY cluster) USING (cluster)
+)"""
+
+_OP12 = (
+    _OP12_START
+    + "".join(_OP12_ROUND.format(n=n) + (_OP12_MOVE.format(n=n, m=n + 1) if n < 5 else "") for n in range(6))
+    + """
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a5 JOIN c5 USING (cluster)
+"""
+)
+
+_UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _leaf(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _levels(first: str, name: str, levels: int) -> str:
+    """CTEs of the nodes of each level over ``first`` (grp, p, node), and of the siblings on each leaf's path."""
+    out = [f", {name}0 AS MATERIALIZED (SELECT grp, p, node, count(*) OVER (PARTITION BY grp) AS n FROM {first})"]
+    for k in range(levels):
+        out.append(
+            f", {name}{k + 1} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM ("
+            f"SELECT grp, p // 8 AS p, CASE WHEN any_value(n) = 1 THEN any_value(node) ELSE sha256(string_agg(node, '' ORDER BY p)) END AS node"
+            f" FROM {name}{k} GROUP BY grp, p // 8))"
+            f", {name}side{k} AS MATERIALIZED (SELECT grp, p, n = 1 AS alone,"
+            f" coalesce(string_agg(node, '' ) OVER (PARTITION BY grp, p // 8 ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,"
+            f" coalesce(string_agg(node, '') OVER (PARTITION BY grp, p // 8 ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r"
+            f" FROM {name}{k})"
+        )
+    return "".join(out)
+
+
+def _folded(source: str, name: str, levels: int, out: str) -> str:
+    """CTEs that carry grp, p, node and proof of ``source`` up the levels."""
+    parts, before = [], source
+    for k in range(levels):
+        parts.append(
+            f", {out}{k} AS (SELECT s.* EXCLUDE (p, node, proof), s.p // 8 AS p,"
+            f" CASE WHEN alone THEN s.node ELSE sha256(l || s.node || r) END AS node, s.proof || l || r AS proof"
+            f" FROM {before} s JOIN {name}side{k} x ON x.grp = s.grp AND x.p = s.p)"
+        )
+        before = f"{out}{k}"
+    return "".join(parts)
+
+
+#: Levels of the trees of the languages and of that over them: 8 ** 8 documents of a language, 8 ** 3 languages.
+_LEAF_LEVELS, _ROOT_LEVELS = 8, 3
+
+_OP13 = f"""
+WITH d AS (
+  SELECT doc_id, lang, {_leaf("text")} AS leaf, {_leaf(f"translate(text, {_UPPER})")} AS lower_leaf,
+    list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(list_filter(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: c <> ''),
+      lambda c: [256 + CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda crc, x: CASE WHEN x >= 256 THEN xor(crc, x - 256) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END) AS crc
+  FROM documents
+), leaves AS MATERIALIZED (
+  SELECT doc_id, lang, coalesce('=' || lang, '-') AS grp, leaf,
+    CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN lower_leaf ELSE leaf END AS start,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p
+  FROM d
+), base AS (SELECT grp, p, leaf AS node FROM leaves)
+{_levels("base", "t", _LEAF_LEVELS)}
+, langs AS (SELECT '' AS grp, row_number() OVER (ORDER BY encode(grp)) - 1 AS p, grp AS lang, node FROM t{_LEAF_LEVELS})
+, base2 AS (SELECT grp, p, node FROM langs)
+{_levels("base2", "u", _ROOT_LEVELS)}
+, go AS (SELECT doc_id, leaf, grp, p, start AS node, '' AS proof FROM leaves)
+{_folded("go", "t", _LEAF_LEVELS, "up")}
+, over AS (
+  SELECT x.doc_id, x.leaf, s.node AS subroot, '' AS grp, g.p, x.node, x.proof FROM up{_LEAF_LEVELS - 1} x
+  JOIN t{_LEAF_LEVELS} s ON s.grp = x.grp JOIN langs g ON g.lang = x.grp)
+{_folded("over", "u", _ROOT_LEVELS, "top")}
+SELECT x.doc_id, leaf, subroot, r.node AS root, sha256(proof) AS proof_sha256, x.node AS folded_root, x.node = r.node AS verified
+FROM top{_ROOT_LEVELS - 1} x, u{_ROOT_LEVELS} r
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_mtree_top_k": _OP2,
     "op3_decontaminate": _OP3,
     "op4_ngram_jaccard": _OP4,
     "op5_chat_format": _OP5,
     "op9_mixing": _OP9,
+    "op12_clusters": _OP12,
+    "op13_merkle": _OP13,
 }

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, mixing, mtree, pii, quality, token_ids, toxicity, unigram
+from . import (
+    chat,
+    clusters,
+    decontaminate,
+    jaccard,
+    merkle,
+    mixing,
+    mtree,
+    packing,
+    pii,
+    quality,
+    token_ids,
+    toxicity,
+    unigram,
+)
 from .common import prepare, table
 from .vocabulary import tokenizer_path
 
@@ -65,6 +79,18 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(table(spark, folder, "documents"))
 
 
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json")))
+
+
+def op12_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.clustered(table(spark, folder, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.tampered_manifest(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -78,5 +104,8 @@ QUERIES: dict[str, Query] = {
         op8_quality,
         op9_mixing,
         op10_personal_data,
+        op11_packing,
+        op12_clusters,
+        op13_merkle,
     )
 }
