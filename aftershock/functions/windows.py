@@ -3,7 +3,9 @@
 Spark re-evaluates a moving frame from scratch for every row, so ``max(x) over 252 rows`` costs 252
 updates per row. ``rolling`` reaches the same numbers in a logarithmic number of steps: from the
 aggregate over k rows, one ``lag`` gives the aggregate over 2k rows. All steps share one window
-specification, hence one exchange and one sort. Counts come from one running count.
+specification, hence one exchange and one sort. Counts come from one running count. Deviations and
+slopes are put together from blocks of (number, means, moments about the means), merged pairwise, so
+that neither a large level nor a drift of the values uses up their digits.
 
 A window partition holds one security. Its size has a fixed bound: (security_id, date) is unique, so
 a century of days is at most 36,525 rows, whatever share of all securities or events it belongs to.
@@ -44,9 +46,10 @@ def whole(spec: str = BY_SECURITY) -> str:
 class Roll:
     """``name`` = ``op`` of ``column`` over ``size`` rows.
 
-    ``op`` is max, min, sum, count, mean or std (sample). The frame ends at the current row, or
-    ``skip`` rows before it; with ``ahead`` it starts at the current row, or ``skip`` rows after it.
-    The result is null unless at least ``need`` values are present (default: all of them; 0 = any).
+    ``op`` is max, min, sum, count, mean, std (sample) or slope (of ``column`` on ``on``, from the rows
+    that have both). The frame ends at the current row, or ``skip`` rows before it; with ``ahead`` it
+    starts at the current row, or ``skip`` rows after it. The result is null unless at least ``need``
+    values of ``column`` are present (default: all of them; 0 = any).
     """
 
     op: str
@@ -56,11 +59,17 @@ class Roll:
     skip: int = 0
     ahead: bool = False
     need: int | None = None
+    on: str | None = None
 
     @property
-    def parts(self) -> list[str]:
+    def part(self) -> str | None:
         """What has to be aggregated for it."""
-        return {"mean": ["sum"], "std": ["dsum", "dsumsq"], "count": []}.get(self.op, [self.op])
+        return {"mean": "sum", "std": "moments", "slope": "comoments", "count": None}.get(self.op, self.op)
+
+    @property
+    def values(self) -> str:
+        """The column it is made of, or both."""
+        return self.column if self.on is None else f"{self.column}__{self.on}"
 
 
 class _Steps:
@@ -84,15 +93,22 @@ class _Steps:
         """One part over the frame of ``r``, put together from blocks whose width is a power of two."""
         top = _top(r.size)
         if part in _COMBINE:  # two overlapping blocks
-            block = self.key(part, r.column, r.ahead, top)
+            block = self.key(part, r.values, r.ahead, top)
             near = self.shift(block, r.skip, r.ahead)
             return near if r.size == top else self.join(part, near, self.shift(block, r.skip + r.size - top, r.ahead))
-        total, at, left = "0D", r.skip, r.size
-        while left:  # adjacent blocks
+        total = "0D"
+        for block in self.adjacent(part, r):
+            total = self.join(part, total, block)
+        return f"({total})"
+
+    def adjacent(self, part: str, r: Roll) -> list[str]:
+        """Blocks that together are the frame of ``r``."""
+        blocks, at, left = [], r.skip, r.size
+        while left:
             top = _top(left)
-            total = self.join(part, total, self.shift(self.key(part, r.column, r.ahead, top), at, r.ahead))
+            blocks.append(self.shift(self.key(part, r.values, r.ahead, top), at, r.ahead))
             at, left = at + top, left - top
-        return f"({total})"
+        return blocks
 
     def present(self, r: Roll) -> str:
         """How many values the frame of ``r`` holds; a frame ends with the timeline at the latest."""
@@ -109,13 +125,13 @@ class _Steps:
     def result(self, r: Roll) -> str:
         if r.op == "count":
             return self.present(r)
-        if r.op in ("mean", "std"):
+        if r.op == "mean":
             n = f"{r.size}D" if r.need is None else f"double({self.present(r)})"
-            s = self.span("dsum" if r.op == "std" else "sum", r)
-            value = f"try_divide({s}, {n})"
-            if r.op == "std":
-                spread = f"{self.span('dsumsq', r)} - try_divide({s} * {s}, {n})"
-                value = f"sqrt(greatest(try_divide({spread}, {n} - 1D), 0D))"
+            value = f"try_divide({self.span('sum', r)}, {n})"
+        elif r.op == "std":
+            value = f"sqrt(try_divide({_merged(r)}.m2, {_merged(r)}.n - 1D))"
+        elif r.op == "slope":
+            value = f"try_divide({_merged(r)}.c, {_merged(r)}.m2)"
         else:
             value = self.span(r.op, r)
         if r.need == 0:
@@ -132,42 +148,81 @@ def _count(column: str) -> str:
     return f"__count_{column.strip('_')}"
 
 
-def _level(column: str) -> str:
-    return f"__level_{column.strip('_')}"
+def _merged(r: Roll) -> str:
+    return f"__merged_{r.name.strip('_')}"
 
 
 def _total(column: str) -> str:
     return f"__total_{column.strip('_')}"
 
 
+# Blocks of moments: number, mean and summed squared deviations (of the second column, for two of them), and for two
+# columns also the mean of the first and the summed products of both deviations.
+_BLOCK = {
+    "moments": "named_struct('n', CASE WHEN {0} IS NULL THEN 0D ELSE 1D END, 'mean', coalesce(double({0}), 0D), 'm2', 0D)",
+    "comoments": "named_struct('n', CASE WHEN {0} IS NULL OR {1} IS NULL THEN 0D ELSE 1D END, 'mean', coalesce(double({1}), 0D), "
+    "'m2', 0D, 'own', coalesce(double({0}), 0D), 'c', 0D)",
+}
+
+
+def _merge(part: str, a: str, b: str) -> str:
+    """Two blocks as one; ``a`` and ``b`` are columns, and null where there are no rows."""
+    n = f"({a}.n + {b}.n)"
+    apart, weight = f"({b}.mean - {a}.mean)", f"{a}.n * {b}.n / {n}"
+    fields = [
+        f"'n', {n}",
+        f"'mean', {a}.mean + {apart} * {b}.n / {n}",
+        f"'m2', {a}.m2 + {b}.m2 + {apart} * {apart} * {weight}",
+    ]
+    if part == "comoments":
+        own = f"({b}.own - {a}.own)"
+        fields += [f"'own', {a}.own + {own} * {b}.n / {n}", f"'c', {a}.c + {b}.c + {own} * {apart} * {weight}"]
+    return (
+        f"CASE WHEN {b} IS NULL OR {b}.n = 0D THEN {a} WHEN {a} IS NULL OR {a}.n = 0D THEN {b} "
+        f"ELSE named_struct({', '.join(fields)}) END"
+    )
+
+
 def rolling(df: DataFrame, rolls: list[Roll], spec: str = BY_SECURITY) -> DataFrame:
     """``df`` plus one column per roll."""
     steps = _Steps(spec)
     tops: dict[tuple[str, str, bool], int] = {}
+    columns: dict[str, tuple[str, ...]] = {}
     for r in rolls:
-        for part in r.parts:
-            k = (part, r.column, r.ahead)
+        if r.part is not None:
+            k = (r.part, r.values, r.ahead)
             tops[k] = max(tops.get(k, 0), _top(r.size))
+            columns[r.values] = (r.column,) if r.on is None else (r.column, r.on)
 
-    # deviations are summed from the timeline's first value on: squares of large levels would use up all digits
-    levels = sorted({r.column for r in rolls if r.op == "std"})
-    out = df.selectExpr("*", *[f"{c} - first({c}, true) {whole(spec)} AS {_level(c)}" for c in levels]) if levels else df
-    base = {"sum": "coalesce({0}, 0D)", "dsum": "coalesce({1}, 0D)", "dsumsq": "coalesce({1} * {1}, 0D)"}
-    first = [f"{base.get(p, '{0}').format(c, _level(c))} AS {steps.key(p, c, a, 1)}" for p, c, a in tops]
+    base = {"sum": "coalesce({0}, 0D)", **_BLOCK}
+    first = [f"{base.get(p, '{0}').format(*columns[c])} AS {steps.key(p, c, a, 1)}" for p, c, a in tops]
     for column in sorted({r.column for r in rolls if r.op == "count" or r.need != 0}):
         first.append(f"count({column}) {running(spec)} AS {_count(column)}")
         if any(r.ahead and r.column == column for r in rolls):
             first.append(f"count({column}) {whole(spec)} AS {_total(column)}")
-    out = out.selectExpr("*", *first)
+    out = df.selectExpr("*", *first)
 
     width = 1
     while any(top > width for top in tops.values()):
-        grown = []
+        grown, shifted = [], []
         for (part, column, ahead), top in tops.items():
             if top > width:
-                c = steps.key(part, column, ahead, width)
-                wider = steps.join(part, c, steps.shift(c, width, ahead))
-                grown.append(f"{wider} AS {steps.key(part, column, ahead, 2 * width)}")
-        out = out.selectExpr("*", *grown)
+                c, wider = (steps.key(part, column, ahead, w) for w in (width, 2 * width))
+                if part in _BLOCK:  # a block is named many times in a merge, its shift only once
+                    shifted.append(f"{steps.shift(c, width, ahead)} AS {wider}_shifted")
+                    grown.append(f"{_merge(part, c, f'{wider}_shifted')} AS {wider}")
+                else:
+                    grown.append(f"{steps.join(part, c, steps.shift(c, width, ahead))} AS {wider}")
+        out = (out.selectExpr("*", *shifted) if shifted else out).selectExpr("*", *grown)
         width *= 2
+
+    # frames of moments from their adjacent blocks, one merge for each further block
+    moments = {_merged(r): (r.part, steps.adjacent(r.part, r)) for r in rolls if r.part in _BLOCK}
+    if moments:
+        out = out.selectExpr("*", *[f"{b} AS {m}_{i}" for m, (_, blocks) in moments.items() for i, b in enumerate(blocks)])
+        for i in range(1, max(len(blocks) for _, blocks in moments.values())):
+            more = {m: part for m, (part, blocks) in moments.items() if len(blocks) > i}
+            previous = [c for c in out.columns if c not in {f"{m}_0" for m in more}]
+            out = out.selectExpr(*previous, *[f"{_merge(part, f'{m}_0', f'{m}_{i}')} AS {m}_0" for m, part in more.items()])
+        out = out.withColumnsRenamed({f"{m}_0": m for m in moments})
     return out.selectExpr(*df.columns, *[f"{steps.result(r)} AS {r.name}" for r in rolls])

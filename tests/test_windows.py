@@ -62,12 +62,39 @@ def test_rolling_equals_brute_force(panel, series):
                     assert row[roll.name] == pytest.approx(want, abs=1e-7), (sid, i, roll)
 
 
-def test_deviation_of_large_levels_is_stable(panel):
-    import statistics
-
-    values = [1e8 + (i * 7 % 3) for i in range(30)]
-    df = rolling(panel({1: {"close": values}}), [Roll("std", "close", 20, "s")])
-    got = [r["s"] for r in df.orderBy("date").collect()]
-    assert got[:19] == [None] * 19
-    for i in range(19, 30):
-        assert got[i] == pytest.approx(statistics.stdev(values[i - 19 : i + 1]), rel=1e-6)
+LEVELS = {
+    "large": [1e8 + (i * 7 % 3) for i in range(30)],
+    "jump after the first row": [0.0] + [1e8 + (i * 7 % 3) for i in range(40)],
+    "drift": [1e6 * i + (i * 5 % 7) for i in range(80)],
+    "jumps": [(1e9 if i // 25 % 2 else -1e9) + (i * 11 % 13) for i in range(100)],
+    "constant": [0.1] * 40,
+    "gaps": [None if i % 4 == 1 else 1e7 + (i * i % 5) for i in range(60)],
+}
+
+
+@pytest.mark.parametrize("name", LEVELS)
+def test_deviation_is_stable(panel, name):
+    values = LEVELS[name]
+    rolls = [Roll("std", "close", n, f"s{n}", need=need, skip=skip) for n, need, skip in ((20, 2, 0), (7, 2, 1), (60, None, 0))]
+    got = rolling(panel({1: {"close": values}}), rolls).orderBy("date").collect()
+    for i, row in enumerate(got):
+        for roll in rolls:
+            want = expected(values, i, roll)
+            assert (row[roll.name] is None) == (want is None), (i, roll)
+            if want is not None:
+                assert row[roll.name] == pytest.approx(want, rel=1e-6, abs=1e-12), (i, roll)
+
+
+@pytest.mark.parametrize("level", [0.0, 1e7])
+def test_slope_is_stable(panel, level):
+    rng = random.Random(8)
+    market = [level + rng.uniform(-1, 1) for _ in range(70)]
+    own = [None if i % 9 == 4 else 3.0 + 1.7 * (m - level) + rng.uniform(-0.1, 0.1) for i, m in enumerate(market)]
+    roll = Roll("slope", "close", 25, "beta", skip=1, need=5, on="high")
+    got = rolling(panel({1: {"close": own, "high": market}}), [roll]).orderBy("date").collect()
+    for i, row in enumerate(got):
+        pairs = [(o, m) for o, m in zip(own[max(0, i - 25) : i], market[max(0, i - 25) : i]) if o is not None]
+        if len(pairs) < 5:
+            assert row["beta"] is None
+        else:
+            assert row["beta"] == pytest.approx(statistics.linear_regression([m for _, m in pairs], [o for o, _ in pairs]).slope, rel=1e-6)
