@@ -2,7 +2,7 @@
 
 Spark re-evaluates a moving frame from scratch for every row, so ``max(x) over 252 rows`` costs 252
 updates per row. ``rolling`` reaches the same numbers in a logarithmic number of steps: from the
-aggregate over k rows, one ``lag`` gives the aggregate over 2k rows. All steps share one window
+aggregate over k rows, three ``lag`` give the aggregate over 4k rows. All steps share one window
 specification, hence one exchange and one sort. Counts come from one running count. Deviations and
 slopes are put together from blocks of (number, means, moments about the means), merged pairwise, so
 that neither a large level nor a drift of the values uses up their digits.
@@ -19,6 +19,10 @@ from pyspark.sql import DataFrame
 
 BY_SECURITY = "PARTITION BY security_id ORDER BY date"
 
+#: How much wider each step makes a block. A step is a window of its own, which copies every row; a wider step has more
+#: ``lag`` in it instead.
+STEP = 4
+
 _COMBINE = {"max": "greatest", "min": "least"}
 
 
@@ -78,37 +82,32 @@ class _Steps:
     def __init__(self, spec: str):
         self.spec = spec
 
-    def shift(self, c: str, rows: int, ahead: bool) -> str:
-        return c if rows == 0 else f"{'lead' if ahead else 'lag'}({c}, {rows}) {over(self.spec)}"
+    def shift(self, c: str, rows: int, ahead: bool, missing: str = "NULL") -> str:
+        return c if rows == 0 else f"{'lead' if ahead else 'lag'}({c}, {rows}, {missing}) {over(self.spec)}"
 
     @staticmethod
     def key(part: str, column: str, ahead: bool, width: int) -> str:
         return f"__{part}_{column.strip('_')}_{'f' if ahead else 'b'}{width}"
 
-    @staticmethod
-    def join(part: str, a: str, b: str) -> str:
-        return f"{_COMBINE[part]}({a}, {b})" if part in _COMBINE else f"{a} + coalesce({b}, 0D)"
-
     def span(self, part: str, r: Roll) -> str:
-        """One part over the frame of ``r``, put together from blocks whose width is a power of two."""
+        """One part over the frame of ``r``, put together from blocks whose width is a power of ``STEP``."""
+        blocks = [self.shift(block, rows, r.ahead) for block, rows in self.blocks(part, r)]
+        if part in _COMBINE:
+            return blocks[0] if len(blocks) == 1 else f"{_COMBINE[part]}({', '.join(blocks)})"
+        return "(0D" + "".join(f" + coalesce({b}, 0D)" for b in blocks) + ")"
+
+    def blocks(self, part: str, r: Roll) -> list[tuple[str, int]]:
+        """Blocks that together are the frame of ``r``, and how far away each is; maxima and minima may overlap."""
         top = _top(r.size)
-        if part in _COMBINE:  # two overlapping blocks
-            block = self.key(part, r.values, r.ahead, top)
-            near = self.shift(block, r.skip, r.ahead)
-            return near if r.size == top else self.join(part, near, self.shift(block, r.skip + r.size - top, r.ahead))
-        total = "0D"
-        for block in self.adjacent(part, r):
-            total = self.join(part, total, block)
-        return f"({total})"
-
-    def adjacent(self, part: str, r: Roll) -> list[str]:
-        """Blocks that together are the frame of ``r``."""
-        blocks, at, left = [], r.skip, r.size
+        if part in _COMBINE:
+            starts = [min(at, r.size - top) for at in range(0, r.size, top)]
+            return [(self.key(part, r.values, r.ahead, top), r.skip + at) for at in starts]
+        found, at, left = [], r.skip, r.size
         while left:
             top = _top(left)
-            blocks.append(self.shift(self.key(part, r.values, r.ahead, top), at, r.ahead))
+            found.append((self.key(part, r.values, r.ahead, top), at))
             at, left = at + top, left - top
-        return blocks
+        return found
 
     def present(self, r: Roll) -> str:
         """How many values the frame of ``r`` holds; a frame ends with the timeline at the latest."""
@@ -129,9 +128,9 @@ class _Steps:
             n = f"{r.size}D" if r.need is None else f"double({self.present(r)})"
             value = f"try_divide({self.span('sum', r)}, {n})"
         elif r.op == "std":
-            value = f"sqrt(try_divide({_merged(r)}.m2, {_merged(r)}.n - 1D))"
+            value = f"sqrt(try_divide({_merged(r)}_m2, {_merged(r)}_n - 1D))"
         elif r.op == "slope":
-            value = f"try_divide({_merged(r)}.c, {_merged(r)}.m2)"
+            value = f"try_divide({_merged(r)}_c, {_merged(r)}_m2)"
         else:
             value = self.span(r.op, r)
         if r.need == 0:
@@ -140,8 +139,11 @@ class _Steps:
 
 
 def _top(size: int) -> int:
-    """The largest power of two that fits."""
-    return 1 << (size.bit_length() - 1)
+    """The largest power of ``STEP`` that fits."""
+    top = 1
+    while top * STEP <= size:
+        top *= STEP
+    return top
 
 
 def _count(column: str) -> str:
@@ -156,31 +158,33 @@ def _total(column: str) -> str:
     return f"__total_{column.strip('_')}"
 
 
-# Blocks of moments: number, mean and summed squared deviations (of the second column, for two of them), and for two
-# columns also the mean of the first and the summed products of both deviations.
+# Blocks of moments have a column for each of: number, mean and summed squared deviations (of the second column, for two of
+# them), and for two columns also the mean of the first and the summed products of both deviations. No rows are a
+# block of zeros.
 _BLOCK = {
-    "moments": "named_struct('n', CASE WHEN {0} IS NULL THEN 0D ELSE 1D END, 'mean', coalesce(double({0}), 0D), 'm2', 0D)",
-    "comoments": "named_struct('n', CASE WHEN {0} IS NULL OR {1} IS NULL THEN 0D ELSE 1D END, 'mean', coalesce(double({1}), 0D), "
-    "'m2', 0D, 'own', coalesce(double({0}), 0D), 'c', 0D)",
+    "moments": {"n": "CASE WHEN {0} IS NULL THEN 0D ELSE 1D END", "mean": "coalesce(double({0}), 0D)", "m2": "0D"},
+    "comoments": {
+        "n": "CASE WHEN {0} IS NULL OR {1} IS NULL THEN 0D ELSE 1D END",
+        "mean": "coalesce(double({1}), 0D)",
+        "m2": "0D",
+        "own": "coalesce(double({0}), 0D)",
+        "c": "0D",
+    },
 }
 
 
-def _merge(part: str, a: str, b: str) -> str:
-    """Two blocks as one; ``a`` and ``b`` are columns, and null where there are no rows."""
-    n = f"({a}.n + {b}.n)"
-    apart, weight = f"({b}.mean - {a}.mean)", f"{a}.n * {b}.n / {n}"
-    fields = [
-        f"'n', {n}",
-        f"'mean', {a}.mean + {apart} * {b}.n / {n}",
-        f"'m2', {a}.m2 + {b}.m2 + {apart} * {apart} * {weight}",
-    ]
-    if part == "comoments":
-        own = f"({b}.own - {a}.own)"
-        fields += [f"'own', {a}.own + {own} * {b}.n / {n}", f"'c', {a}.c + {b}.c + {own} * {apart} * {weight}"]
-    return (
-        f"CASE WHEN {b} IS NULL OR {b}.n = 0D THEN {a} WHEN {a} IS NULL OR {a}.n = 0D THEN {b} "
-        f"ELSE named_struct({', '.join(fields)}) END"
-    )
+def _merge(a: str, b: str) -> dict[str, str]:
+    """Two blocks as one: field by field, of the blocks whose columns start with ``a`` and ``b``."""
+    n = f"({a}_n + {b}_n)"
+    share = f"{b}_n / greatest({n}, 1D)"
+    apart, own = f"({b}_mean - {a}_mean)", f"({b}_own - {a}_own)"
+    return {
+        "n": n,
+        "mean": f"{a}_mean + {apart} * ({share})",
+        "m2": f"{a}_m2 + {b}_m2 + {apart} * {apart} * ({a}_n * ({share}))",
+        "own": f"{a}_own + {own} * ({share})",
+        "c": f"{a}_c + {b}_c + {own} * {apart} * ({a}_n * ({share}))",
+    }
 
 
 def rolling(df: DataFrame, rolls: list[Roll], spec: str = BY_SECURITY) -> DataFrame:
@@ -194,8 +198,12 @@ def rolling(df: DataFrame, rolls: list[Roll], spec: str = BY_SECURITY) -> DataFr
             tops[k] = max(tops.get(k, 0), _top(r.size))
             columns[r.values] = (r.column,) if r.on is None else (r.column, r.on)
 
-    base = {"sum": "coalesce({0}, 0D)", **_BLOCK}
-    first = [f"{base.get(p, '{0}').format(*columns[c])} AS {steps.key(p, c, a, 1)}" for p, c, a in tops]
+    base = {"sum": "coalesce({0}, 0D)"}
+    first = []
+    for part, c, ahead in tops:
+        name = steps.key(part, c, ahead, 1)
+        for field, text in _BLOCK[part].items() if part in _BLOCK else [(None, base.get(part, "{0}"))]:
+            first.append(f"{text.format(*columns[c])} AS {name}{f'_{field}' if field else ''}")
     for column in sorted({r.column for r in rolls if r.op == "count" or r.need != 0}):
         first.append(f"count({column}) {running(spec)} AS {_count(column)}")
         if any(r.ahead and r.column == column for r in rolls):
@@ -204,25 +212,41 @@ def rolling(df: DataFrame, rolls: list[Roll], spec: str = BY_SECURITY) -> DataFr
 
     width = 1
     while any(top > width for top in tops.values()):
-        grown, shifted = [], []
+        grown, shifted, merges = [], [], []
         for (part, column, ahead), top in tops.items():
             if top > width:
-                c, wider = (steps.key(part, column, ahead, w) for w in (width, 2 * width))
+                c, wider = (steps.key(part, column, ahead, w) for w in (width, STEP * width))
                 if part in _BLOCK:  # a block is named many times in a merge, its shift only once
-                    shifted.append(f"{steps.shift(c, width, ahead)} AS {wider}_shifted")
-                    grown.append(f"{_merge(part, c, f'{wider}_shifted')} AS {wider}")
+                    for i in range(1, STEP):
+                        for field in _BLOCK[part]:
+                            shifted.append(f"{steps.shift(f'{c}_{field}', i * width, ahead, '0D')} AS {c}_{i}_{field}")
+                    merges.append((part, c, wider))
                 else:
-                    grown.append(f"{steps.join(part, c, steps.shift(c, width, ahead))} AS {wider}")
-        out = (out.selectExpr("*", *shifted) if shifted else out).selectExpr("*", *grown)
-        width *= 2
+                    others = [steps.shift(c, i * width, ahead) for i in range(1, STEP)]
+                    if part in _COMBINE:
+                        grown.append(f"{_COMBINE[part]}({', '.join([c, *others])}) AS {wider}")
+                    else:
+                        grown.append(f"{' + '.join([c, *(f'coalesce({o}, 0D)' for o in others)])} AS {wider}")
+        out = out.selectExpr("*", *grown, *shifted)
+        for i in range(1, STEP):
+            merged = {
+                f"{wider}_{f}": _merge(c if i == 1 else wider, f"{c}_{i}")[f] for part, c, wider in merges for f in _BLOCK[part]
+            }
+            if merged:
+                out = out.selectExpr(*[x for x in out.columns if x not in merged], *[f"{e} AS {x}" for x, e in merged.items()])
+        width *= STEP
 
     # frames of moments from their adjacent blocks, one merge for each further block
-    moments = {_merged(r): (r.part, steps.adjacent(r.part, r)) for r in rolls if r.part in _BLOCK}
-    if moments:
-        out = out.selectExpr("*", *[f"{b} AS {m}_{i}" for m, (_, blocks) in moments.items() for i, b in enumerate(blocks)])
-        for i in range(1, max(len(blocks) for _, blocks in moments.values())):
-            more = {m: part for m, (part, blocks) in moments.items() if len(blocks) > i}
-            previous = [c for c in out.columns if c not in {f"{m}_0" for m in more}]
-            out = out.selectExpr(*previous, *[f"{_merge(part, f'{m}_0', f'{m}_{i}')} AS {m}_0" for m, part in more.items()])
-        out = out.withColumnsRenamed({f"{m}_0": m for m in moments})
+    frames = {r: steps.blocks(r.part, r) for r in rolls if r.part in _BLOCK}
+    near = [
+        f"{steps.shift(f'{block}_{field}', rows, r.ahead, '0D')} AS {_merged(r)}{f'_{i}' if i else ''}_{field}"
+        for r, blocks in frames.items()
+        for i, (block, rows) in enumerate(blocks)
+        for field in _BLOCK[r.part]
+    ]
+    out = out.selectExpr("*", *near) if near else out
+    for i in range(1, max((len(blocks) for blocks in frames.values()), default=1)):
+        more = [r for r, blocks in frames.items() if len(blocks) > i]
+        merged = {f"{_merged(r)}_{f}": _merge(_merged(r), f"{_merged(r)}_{i}")[f] for r in more for f in _BLOCK[r.part]}
+        out = out.selectExpr(*[c for c in out.columns if c not in merged], *[f"{e} AS {c}" for c, e in merged.items()])
     return out.selectExpr(*df.columns, *[f"{steps.result(r)} AS {r.name}" for r in rolls])

@@ -1,7 +1,7 @@
 """What happened after each event, with censoring kept apart from delisting.
 
 An active security whose window runs past the end of the data is censored. A delisted one has a
-known outcome: its path gets one more row, worth the last close times (1 + delisting return).
+known outcome: its path goes on for one more row, worth the last close times (1 + delisting return).
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arith import change, number
-from ..functions.windows import Roll, over, rolling, running, whole
+from ..functions.windows import Roll, over, running, whole
 from .events import CLEAN
-from .features import at_events
+from .passes import Family, pass_at_events
 from .universe import earliest
 
 HORIZONS = (5, 20, 60)
@@ -43,7 +43,7 @@ def with_terminal_rows(prices: DataFrame, master: DataFrame) -> DataFrame:
 
     The final row follows the last valid close by one calendar day and sorts behind a real row of
     that date. It is made in place by splitting the row of the last valid close, so the panel is
-    read and moved once.
+    read and moved once. For paths as such; ``build_labels`` has the final row as a value instead.
     """
     gone = delisting_flags(master).filter("is_delisted").selectExpr(
         "security_id AS __sid", "1D + coalesce(delisting_return, 0D) AS __kept"
@@ -58,23 +58,22 @@ def with_terminal_rows(prices: DataFrame, master: DataFrame) -> DataFrame:
     )
 
 
-def build_labels(
-    events: DataFrame,
-    prices: DataFrame,
-    master: DataFrame,
-    *,
-    horizons: Sequence[int] = HORIZONS,
-    thresholds: Sequence[tuple[int, float]] = THRESHOLDS,
-) -> DataFrame:
-    """Hit grid (close-based and intraday), forward returns and censoring flags per event."""
-    path = "PARTITION BY security_id ORDER BY date, is_terminal"
-    panel = with_terminal_rows(prices, master).selectExpr(
-        "*",
-        f"count(close) {running(path)} AS __closes",
-        f"count(close) {whole(path)} AS __all_closes",
-        f"last(close, true) {running(path)} AS __filled",
-        f"last(close, true) {whole(path)} AS __final",
+def label_family(master: DataFrame, horizons: Sequence[int] = HORIZONS) -> Family:
+    """What follows each panel row, up to each horizon.
+
+    A delisted security's path goes on for one more row, one calendar day after the last valid close and behind a
+    real row of that date. The row is not made: its place is a number, the count of rows up to that day, and where it
+    lies within a horizon its value is merged into the aggregates of the real rows. It then takes the place of the
+    horizon's last row, which lies behind it and has no close; only its high must be left out.
+    """
+    kept = delisting_flags(master).filter("is_delisted").selectExpr(
+        "security_id AS __gone_id", "1D + coalesce(delisting_return, 0D) AS __kept"
     )
+
+    def with_kept(panel: DataFrame) -> DataFrame:
+        # built from the delisted securities of one task; the panel keeps its place and order
+        return panel.join(kept.hint("shuffle_hash"), F.expr("security_id = __gone_id"), "left").drop("__gone_id")
+
     rolls = []
     for h in horizons:
         rolls += [
@@ -82,28 +81,65 @@ def build_labels(
             Roll("min", "close", h, f"__min_close_{h}", skip=1, ahead=True, need=0),
             Roll("max", "high", h, f"__max_high_{h}", skip=1, ahead=True, need=0),
         ]
-    ahead = []
+        if h > 1:
+            rolls.append(Roll("max", "high", h - 1, f"__max_high_before_{h}", skip=1, ahead=True, need=0))
+    # rows from here to the final one, if there is one ahead
+    to_final = "CASE WHEN __kept IS NOT NULL AND __to_day >= __row THEN __to_day - __row + 1 END"
+    levels: list[list[str]] = [[], []]
+    out = {}
     for h in horizons:
-        reached = f"lead(__closes, {h}) {over(path)}"
-        n_forward = f"coalesce({reached}, __all_closes) - __closes"
-        end = f"coalesce(lead(__filled, {h}) {over(path)}, __final)"
-        ahead += [
-            f"{reached} IS NOT NULL AS __full_{h}",
-            f"{n_forward} AS __n_{h}",
-            f"CASE WHEN {n_forward} > 0 THEN {end} END AS __end_{h}",
+        reached = f"lead(__valid, {h}) {over()}"
+        levels[0] += [
+            f"coalesce(__to_final <= {h}, false) AS __ends_in_{h}",
+            f"{reached} IS NOT NULL AS __reached_{h}",
+            f"coalesce({reached}, __all_valid) - __valid AS __ahead_{h}",
+            f"coalesce(lead(__filled, {h}) {over()}, __final) AS __at_{h}",
         ]
-    panel = rolling(panel, rolls, path).selectExpr("*", *ahead).filter("NOT is_terminal")
-
-    measures = ("max_close", "min_close", "max_high", "full", "end", "n")
-    spine = at_events(
-        events.select("event_id", "security_id", "crash_date", "crash_close"),
-        panel,
-        [f"__{m}_{h}" for h in horizons for m in measures],
+        final = f"CASE WHEN __ends_in_{h} THEN __final * __kept END"
+        high = f"CASE WHEN __ends_in_{h} THEN {f'__max_high_before_{h}' if h > 1 else 'NULL'} ELSE __max_high_{h} END"
+        out |= {
+            f"__best_close_{h}": f"greatest(__max_close_{h}, {final})",
+            f"__worst_close_{h}": f"least(__min_close_{h}, {final})",
+            f"__best_high_{h}": f"greatest({high}, {final})",
+            f"__full_{h}": f"__reached_{h}",
+            f"__n_{h}": f"__ahead_{h} + cast(__ends_in_{h} AS bigint)",
+            f"__end_{h}": f"CASE WHEN __ends_in_{h} THEN __final * __kept WHEN __ahead_{h} > 0 THEN __at_{h} END",
+        }
+    return Family(
+        "labels",
+        ("close", "high"),
+        joined=with_kept,
+        before=(
+            (
+                f"row_number() {over()} AS __row",
+                f"count(close) {running()} AS __valid",
+                f"count(close) {whole()} AS __all_valid",
+                f"last(close, true) {running()} AS __filled",
+                f"last(close, true) {whole()} AS __final",
+                f"max(CASE WHEN close IS NOT NULL THEN date END) {whole()} AS __last_close",
+            ),
+            (f"sum(CASE WHEN date <= date_add(__last_close, 1) THEN 1 END) {whole()} AS __to_day",),
+            (f"{to_final} AS __to_final",),
+        ),
+        rolls=tuple(rolls),
+        after=(tuple(levels[0]),),
+        out=out,
     )
-    flags = delisting_flags(master).select("security_id", "is_delisted", "delisting_return_missing")
-    spine = spine.join(flags, "security_id", "left").selectExpr("*", "coalesce(is_delisted, false) AS __gone")
 
+
+def labels_of(
+    rows: DataFrame,
+    master: DataFrame,
+    *,
+    horizons: Sequence[int] = HORIZONS,
+    thresholds: Sequence[tuple[int, float]] = THRESHOLDS,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Labels of events that carry the columns of ``label_family``, and the columns ``keep``."""
+    flags = delisting_flags(master).select("security_id", "is_delisted", "delisting_return_missing")
+    spine = rows.join(flags, "security_id", "left").selectExpr("*", "coalesce(is_delisted, false) AS __gone")
     out = ["event_id", "security_id", "crash_date", "crash_close"]
+    out += [c for c in keep if c not in out]
     out += ["crash_close IS NULL AS no_close_data", "delisting_return_missing"]
     for h in horizons:
         full = f"coalesce(__full_{h}, false)"
@@ -112,16 +148,30 @@ def build_labels(
             f"coalesce(__n_{h}, 0) AS n_forward_{h}d",
             f"crash_close IS NOT NULL AND NOT __gone AND NOT {full} AS censored_{h}d",
         ]
-        for name, m in zip(outcome_columns(h), ("end", "max_close", "min_close")):
+        for name, m in zip(outcome_columns(h), ("end", "best_close", "worst_close")):
             out.append(f"CASE WHEN {known} THEN {change(f'__{m}_{h}', 'crash_close')} END AS {name}")
         for percent, fraction in thresholds:
             target = f"crash_close * {number(1.0 + fraction)}"
-            for best, intraday in (("max_close", False), ("max_high", True)):
+            for best, intraday in (("best_close", False), ("best_high", True)):
                 hit = f"cast(__{best}_{h} >= {target} AS tinyint)"
                 out.append(f"CASE WHEN {known} THEN {hit} END AS {hit_column(percent, h, intraday)}")
     return spine.selectExpr(*out)
 
 
+def build_labels(
+    events: DataFrame,
+    prices: DataFrame,
+    master: DataFrame,
+    *,
+    horizons: Sequence[int] = HORIZONS,
+    thresholds: Sequence[tuple[int, float]] = THRESHOLDS,
+) -> DataFrame:
+    """Hit grid (close-based and intraday), forward returns and censoring flags per event."""
+    spine = events.select("event_id", "security_id", "crash_date", "crash_close")
+    rows = pass_at_events(spine, prices, [label_family(master, horizons)])
+    return labels_of(rows, master, horizons=horizons, thresholds=thresholds)
+
+
 def label_summary(labels: DataFrame, events: DataFrame, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """One row: size of the pools, censored events per horizon and the primary base rate, all and clean."""
     flags = events.selectExpr("event_id", f"coalesce({CLEAN}, false) AS __clean")

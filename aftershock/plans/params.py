@@ -1,6 +1,7 @@
 """Parameters of the registered queries."""
 
 MIN_PRICE = 5.0
+HORIZONS = (5, 60, 252)
 RECENT_START = "1999-01-01"  # start of the recent regime on the example calendar
 REGIMES = [
     ("one_week", 5, None),

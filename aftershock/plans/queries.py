@@ -35,7 +35,6 @@ def shown(df: DataFrame) -> DataFrame:
     )
 
 
-PANEL = ("daily_prices",)
 BOTH = ("daily_prices", "crash_events")
 
 
@@ -243,22 +242,22 @@ def consecutive_events(s: Study) -> DataFrame:
 # --- features and labels
 
 
-@_query(PANEL)
+@_query(BOTH)
 def price_features(s: Study) -> DataFrame:
     return s.price
 
 
-@_query(PANEL)
+@_query(BOTH)
 def recent_features(s: Study) -> DataFrame:
     return s.recent
 
 
-@_query(PANEL)
+@_query(BOTH)
 def prior_count_hist(s: Study) -> DataFrame:
     return stats.value_counts(s.recent, "prior_crash_count_20d")
 
 
-@_query(PANEL)
+@_query(BOTH)
 def recent_summary(s: Study) -> DataFrame:
     return stats.recent_summary(s.recent)
 
@@ -268,17 +267,17 @@ def market_features(s: Study) -> DataFrame:
     return features.market_series(s.prices)
 
 
-@_query(PANEL)
+@_query(BOTH)
 def sector_features(s: Study) -> DataFrame:
     return s.market_sector.select("event_id", *MARKET_FEATURES)
 
 
-@_query(PANEL)
+@_query(BOTH)
 def labels_grid(s: Study) -> DataFrame:
     return s.labels
 
 
-@_query(PANEL)
+@_query(BOTH)
 def labels_base_rate(s: Study) -> DataFrame:
     return labels.label_summary(s.labels, s.events)
 
@@ -308,7 +307,7 @@ def ebitda_margin(s: Study) -> DataFrame:
     return fundamentals.event_ebitda_margin(events.clean_pool(s.events), s.fundamentals, s.link)
 
 
-@_query(PANEL)
+@_query(BOTH)
 def event_beta(s: Study) -> DataFrame:
     return features.event_beta(events.clean_pool(s.events), s.prices)
 
@@ -316,32 +315,32 @@ def event_beta(s: Study) -> DataFrame:
 # --- outcomes
 
 
-@_query(PANEL)
+@_query(BOTH)
 def forward_return_5(s: Study) -> DataFrame:
     return outcomes.forward_returns(s.events, s.prices, 5)
 
 
-@_query(PANEL)
+@_query(BOTH)
 def forward_return_60(s: Study) -> DataFrame:
     return outcomes.forward_returns(s.events, s.prices, 60)
 
 
-@_query(PANEL)
+@_query(BOTH)
 def forward_return_252(s: Study) -> DataFrame:
     return outcomes.forward_returns(s.events, s.prices, 252)
 
 
-@_query(PANEL)
+@_query(BOTH)
 def base_rate_regimes(s: Study) -> DataFrame:
     return stats.regime_stats(s.outcomes(5, 60, 252), REGIMES)
 
 
-@_query(PANEL)
+@_query(BOTH)
 def base_rate_tails(s: Study) -> DataFrame:
     return stats.tail_stats(s.outcomes(252), 252)
 
 
-@_query(PANEL)
+@_query(BOTH)
 def severity_returns_60d(s: Study) -> DataFrame:
     returns = outcomes.forward_returns(s.events, s.prices, 60).select("event_id", "ret")
     sizes = s.events.select("event_id", "crash_return")
@@ -354,9 +353,9 @@ def _histogram(horizon: int, spec: stats.HistogramSpec):
     return lambda s: stats.return_histogram(outcomes.forward_returns(s.events, s.prices, horizon), spec)
 
 
-_query(PANEL, "return_histogram_one_year")(_histogram(252, stats.ONE_YEAR))
-_query(PANEL, "return_histogram_sixty_day")(_histogram(60, stats.SIXTY_DAY))
-_query(PANEL, "return_histogram_one_week")(_histogram(5, stats.ONE_WEEK))
+_query(BOTH, "return_histogram_one_year")(_histogram(252, stats.ONE_YEAR))
+_query(BOTH, "return_histogram_sixty_day")(_histogram(60, stats.SIXTY_DAY))
+_query(BOTH, "return_histogram_one_week")(_histogram(5, stats.ONE_WEEK))
 
 
 # --- dataset and reports
@@ -378,17 +377,17 @@ def feature_missingness(s: Study) -> DataFrame:
     return stats.missing_shares(clean, dataset.FEATURE_COLUMNS)
 
 
-@_query(PANEL)
+@_query(BOTH)
 def overall_rate(s: Study) -> DataFrame:
     return stats.overall_rate(s.clean_with(s.labels), dataset.PRIMARY_TARGET)
 
 
-@_query(PANEL)
+@_query(BOTH)
 def recovery_grid(s: Study) -> DataFrame:
     return stats.recovery_grid(s.clean_with(s.labels))
 
 
-@_query(PANEL)
+@_query(BOTH)
 def grouped_rate_magnitude(s: Study) -> DataFrame:
     return stats.slice_rates(s.clean_with(s.labels), "magnitude", dataset.PRIMARY_TARGET)
 
@@ -418,7 +417,7 @@ def grouped_rate_market_day(s: Study) -> DataFrame:
     return stats.slice_rates(s.clean_with(s.labels, s.market_sector), "market_day", dataset.PRIMARY_TARGET)
 
 
-@_query(PANEL)
+@_query(BOTH)
 def grouped_rate_sector(s: Study) -> DataFrame:
     sic = s.master.groupBy("security_id").agg(F.expr(f"{universe.earliest(s.master, 'sic_code')} AS sic"))
     named = s.clean_with(s.labels).join(
@@ -433,24 +432,16 @@ def headline_rates(s: Study) -> DataFrame:
     return stats.headline_rates(clean, dataset.PRIMARY_TARGET)
 
 
-@_query(PANEL)
+@_query(BOTH)
 def quantile_buckets(s: Study) -> DataFrame:
     labelled = stats.quantile_buckets(s.price.select("event_id", "volatility_20d"), "volatility_20d", 5, "vol")
     return stats.value_counts(labelled, "bucket")
 
 
-def _bucket_table(s: Study, since: str | None, *horizons: int) -> DataFrame:
-    """Returns of the events with the features that buckets are made of."""
-    table = s.outcomes(*horizons)
-    if since is not None:
-        table = table.filter(f"crash_date >= DATE '{since}'")
-    return table.select("event_id", *[f"ret_{h}" for h in horizons]).join(s.bucket_features(), "event_id")
-
-
 def _report(s: Study, named: dict[str, str], since: str | None) -> DataFrame:
     """Buckets on one-year returns and, for the crash sizes, on sixty-day returns too."""
     return buckets.bucket_outcomes(
-        _bucket_table(s, since, 60, 252), {"ret_252": named, "ret_60": buckets.severity_buckets(named, "_60d")}
+        s.bucket_table(since, 60, 252), {"ret_252": named, "ret_60": buckets.severity_buckets(named, "_60d")}
     )
 
 
@@ -466,21 +457,21 @@ def bucket_outcomes_recent(s: Study) -> DataFrame:
 
 @_query(BOTH)
 def bucket_outcomes_5d(s: Study) -> DataFrame:
-    return buckets.bucket_outcomes(_bucket_table(s, None, 5), {"ret_5": buckets.recent_buckets()})
+    return buckets.bucket_outcomes(s.bucket_table(None, 5), {"ret_5": buckets.recent_buckets()})
 
 
 @_query(BOTH)
 def bucket_histograms_full(s: Study) -> DataFrame:
-    return buckets.bucket_histograms(_bucket_table(s, None, 252), buckets.full_buckets(), "ret_252", stats.ONE_YEAR)
+    return buckets.bucket_histograms(s.bucket_table(None, 252), buckets.full_buckets(), "ret_252", stats.ONE_YEAR)
 
 
 @_query(BOTH)
 def bucket_histograms_recent(s: Study) -> DataFrame:
     # sixty days: on the example calendar a year ahead of the recent events lies beyond the data
-    table = _bucket_table(s, RECENT_START, 60)
+    table = s.bucket_table(RECENT_START, 60)
     return buckets.bucket_histograms(table, buckets.recent_buckets(), "ret_60", stats.SIXTY_DAY)
 
 
 @_query(BOTH)
 def bucket_histograms_5d(s: Study) -> DataFrame:
-    return buckets.bucket_histograms(_bucket_table(s, None, 5), buckets.recent_buckets(), "ret_5", stats.ONE_WEEK)
+    return buckets.bucket_histograms(s.bucket_table(None, 5), buckets.recent_buckets(), "ret_5", stats.ONE_WEEK)

@@ -6,12 +6,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import dataset, events, features, fundamentals, labels, outcomes
+from ..operators import dataset, events, features, fundamentals, labels, outcomes, passes
 from ..session import configure, staged
 from ..sources import tables
 from ..sources.normalize import normalize_prices, normalize_unrestated
 from . import demo
-from .params import MIN_PRICE
+from .params import HORIZONS, MIN_PRICE
 
 
 class Study:
@@ -90,11 +90,23 @@ class Study:
     def fundamental(self) -> DataFrame:
         return fundamentals.build_fundamental_features(self.events, self.fundamentals, self.link)
 
+    def rows(self, *families: str, pool: DataFrame | None = None) -> DataFrame:
+        """Events, or those of a pool, with the columns of some families, from one pass over the panel."""
+        made = {
+            "price": features.price_family,
+            "recent": lambda: features.recent_family(self.events),
+            "labels": lambda: labels.label_family(self.master),
+            "beta": lambda: features.beta_family(self.prices),
+            "outcomes": lambda: outcomes.outcome_family(HORIZONS),
+        }
+        events_ = self.events if pool is None else pool
+        return passes.pass_at_events(events_, self.prices, [made[f]() for f in families])
+
     @cached_property
     def dataset(self) -> DataFrame:
-        return dataset.assemble_events(
-            self.events, self.labels, self.price, self.recent, self.market_sector, self.fundamental
-        )
+        kept = [*features.PRICE_FEATURES, *features.RECENT_FEATURES]
+        wide = labels.labels_of(self.rows("price", "recent", "labels"), self.master, keep=kept)
+        return dataset.assemble_events(self.events, wide, wide, wide, self.market_sector, self.fundamental)
 
     def clean_with(self, *families: DataFrame) -> DataFrame:
         """Clean events with only the families a report needs; columns they share are taken once."""
@@ -107,15 +119,24 @@ class Study:
     def outcomes(self, *horizons: int) -> DataFrame:
         return outcomes.outcome_table(self.events, self.prices, horizons)
 
-    def bucket_features(self) -> DataFrame:
-        """Event features that the bucket reports read."""
-        beta = features.event_beta(events.clean_pool(self.events), self.prices)
-        margin = fundamentals.event_ebitda_margin(events.clean_pool(self.events), self.fundamentals, self.link)
-        return self.clean_with(
-            self.fundamental.select("event_id", "market_cap", "pe", "revenue_growth_yoy"),
-            self.recent.select("event_id", "prior_crash_count_20d"),
-            self.price.select("event_id", "return_252d_pre"),
-            self.market_sector.select("event_id", "market_return_20d", "sector_return_1d"),
-            beta,
-            margin,
-        ).selectExpr("*", "crash_return - sector_return_1d AS rel_sector")
+    def bucket_table(self, since: str | None, *horizons: int) -> DataFrame:
+        """Returns of the clean events with the features that buckets are made of, written once.
+
+        Crash history, earlier return, beta and outcomes come from one pass over the panel.
+        """
+        pool = events.clean_pool(self.events)
+        kept = ["event_id", "crash_date", "crash_return", "prior_crash_count_20d", "return_252d_pre", "beta"]
+        out = outcomes.outcomes_of(self.rows("price", "recent", "beta", "outcomes", pool=pool), self.prices, horizons, kept)
+        if since is not None:
+            out = out.filter(f"crash_date >= DATE '{since}'")
+        for family in (
+            fundamentals.build_fundamental_features(pool, self.fundamentals, self.link).select(
+                "event_id", "market_cap", "pe", "revenue_growth_yoy"
+            ),
+            features.build_market_sector_features(pool, self.prices, self.master).select(
+                "event_id", "market_return_20d", "sector_return_1d"
+            ),
+            fundamentals.event_ebitda_margin(pool, self.fundamentals, self.link),
+        ):
+            out = out.join(family, "event_id", "left")
+        return staged(out.selectExpr("*", "crash_return - sector_return_1d AS rel_sector"), "buckets")

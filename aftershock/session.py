@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A window over security_id leaves the panel hash-partitioned by that column alone. With this
 # setting a later join on (security_id, date) keeps that placement and only moves the events.
@@ -34,6 +35,7 @@ def local_session(cpus: int | str = 8, memory: str = "8g", shuffle_partitions: i
         .appName("aftershock")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -70,3 +72,11 @@ def staged(df, name: str):
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_small(df: DataFrame, name: str, limit: int, other: str | None = None) -> DataFrame:
+    """``df`` written once and counted: marked for broadcast up to ``limit`` rows, beyond that with the hint ``other``."""
+    df = staged(df, name)
+    if df.count() <= limit:
+        return F.broadcast(df)
+    return df if other is None else df.hint(other)

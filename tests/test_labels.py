@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import by_id, day
 
@@ -82,3 +84,48 @@ def test_terminal_row_follows_a_real_row_of_its_date(panel, master):
         (day(2), True, 18.0),
         (day(3), False, None),
     ]
+
+
+def test_labels_equal_frames_over_paths_with_their_final_row(spark, panel, events):
+    """The final row as a value against paths that hold it as a row."""
+    rng = random.Random(11)
+    paths, gone = {}, []
+    for s in range(1, 41):
+        n = rng.randint(1, 14)
+        close = [None if rng.random() < 0.25 else round(rng.uniform(5, 30), 2) for _ in range(n)]
+        if s % 3 == 0:
+            close[-rng.randint(1, n) :] = [None] * rng.randint(1, n)
+            close = close[:n]
+        paths[s] = {"close": close, "high": [round(rng.uniform(5, 60), 2) for _ in close]}
+        if s % 2:
+            gone.append((s, day(rng.randint(0, 20)), rng.choice([None, -0.9, 0.3, 4.0])))
+        else:
+            gone.append((s, None, None))
+    master = spark.createDataFrame(gone, "security_id long, delisting_date date, delisting_return double")
+    prices = panel(paths)
+    given = [(f"{s}-{i}", s, i, -0.2, c) for s, p in paths.items() for i, c in enumerate(p["close"])]
+    horizons = (1, 2, 5, 9)
+    got = by_id(build_labels(events(given), prices, master, horizons=horizons, thresholds=T))
+    full = {}
+    for r in with_terminal_rows(prices, master).collect():
+        full.setdefault(r["security_id"], []).append((r["date"], r["is_terminal"], r["close"], r["high"]))
+    delisted = {s for s, d, _ in gone if d is not None}
+    for eid, s, i, _, p0 in given:
+        path = sorted(full[s])
+        at = [k for k, x in enumerate(path) if not x[1]][i]
+        for h in horizons:
+            frame = path[at + 1 : at + 1 + h]
+            closes, highs = [x[2] for x in frame if x[2] is not None], [x[3] for x in frame if x[3] is not None]
+            r = got[eid]
+            assert r[f"n_forward_{h}d"] == len(closes)
+            known = p0 is not None and (s in delisted or len(frame) == h)
+            assert r[f"censored_{h}d"] == (p0 is not None and not known)
+            want = closes[-1] / p0 - 1 if known and closes else None
+            assert r[f"return_{h}d"] == (None if want is None else pytest.approx(want))
+            for name, best in (("max_rebound", max), ("max_drawdown", min)):
+                want = best(closes) / p0 - 1 if known and closes else None
+                assert r[f"{name}_{h}d"] == (None if want is None else pytest.approx(want)), (eid, h, name)
+            for percent, fraction in T:
+                for column, values in ((f"hit_{percent}pct_{h}d", closes), (f"hit_{percent}pct_{h}d_hi", highs)):
+                    want = int(max(values) >= p0 * (1 + fraction)) if known and values else None
+                    assert r[column] == want, (eid, h, column)

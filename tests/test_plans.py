@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from aftershock.operators import features, labels, outcomes
+from aftershock.operators import features, labels, outcomes, passes
 from aftershock.plans import oracle, queries
 from aftershock.plans.study import Study
 from compare import connect, rows
@@ -32,21 +32,83 @@ def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_panel_passes_move_the_panel_once(study, no_broadcast):
+def _below(plan):
+    """Each line of a plan with the lines of its subtree."""
+    lines = [x for x in plan.splitlines() if x.strip()]
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, line in enumerate(lines):
+        end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+        yield line, lines[i + 1 : end]
+
+
+def _panel_moves(plan):
+    """Exchanges of rows of the panel itself: read from it, neither aggregated nor moved before."""
+    moves = []
+    for line, subtree in _below(plan):
+        own = list(subtree)
+        if "Exchange hashpartitioning" in line and any("daily_prices-" in x for x in own):
+            if not any("Aggregate" in x or "Exchange hashpartitioning" in x for x in own):
+                moves.append(line.strip())
+    return moves
+
+
+def _panel_sorts(plan):
+    return re.findall(r"\bSort \[security_id#\d+L ASC NULLS FIRST, date#", plan)
+
+
+@pytest.fixture(scope="module")
+def long_paths(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    yield
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_panel_passes_move_and_sort_the_panel_once(study, no_broadcast, long_paths):
     families = {
         "price": features.build_price_features(study.events, study.prices),
         "recent": features.build_recent_crash_features(study.events, study.prices),
         "beta": features.event_beta(study.events, study.prices),
+        "labels": labels.build_labels(study.events, study.prices, study.master),
         "outcomes": outcomes.outcome_table(study.events, study.prices, (5, 252)),
     }
     for name, df in families.items():
         plan = _plan(df)
-        panel_moves = len(re.findall(r"Exchange hashpartitioning\(security_id#\d+L, \d+\), ENSURE_REQUIREMENTS", plan))
-        assert "hashpartitioning(security_id" in plan, name
-        assert not re.search(r"Exchange hashpartitioning\(security_id#\d+L, date", plan), name
-        # the panel once; the outcome pass also places its per-security ends and event keys for the edge
-        assert panel_moves <= (3 if name == "outcomes" else 1), (name, panel_moves)
-        assert len(re.findall(r"\bSort \[security_id#\d+L ASC NULLS FIRST, date#", plan)) <= 1, name
+        assert len(_panel_moves(plan)) == 1, (name, _panel_moves(plan))
+        assert len(_panel_sorts(plan)) == 1, name
+
+
+def test_all_families_share_one_move_and_one_sort(study, no_broadcast, long_paths):
+    wide = study.rows("price", "recent", "labels", "beta", "outcomes")
+    tables = {"dataset": study.dataset, "all": wide}
+    for name, df in tables.items():
+        plan = _plan(df)
+        assert len(_panel_moves(plan)) == 1, (name, _panel_moves(plan))
+        assert len(_panel_sorts(plan)) == 1, name
+
+
+def test_panel_is_cut_to_securities_with_events_before_it_moves(study, long_paths):
+    some = study.events.filter("security_id % 3 = 0")
+    for df in (
+        features.event_beta(some, study.prices),
+        outcomes.outcome_table(some, study.prices, (5,)),
+        features.build_price_features(some, study.prices),
+    ):
+        plan = _plan(df)
+        moved = [
+            subtree for line, subtree in _below(plan)
+            if "Exchange hashpartitioning(security_id" in line and any("daily_prices-" in x for x in subtree)
+        ]
+        assert moved and all(any("LeftSemi" in x for x in subtree) for subtree in moved)
+    ids = some.select("security_id").distinct().count()
+    assert passes.of_securities(study.prices, some).select("security_id").distinct().count() == ids
+
+
+def test_large_id_sets_cut_the_panel_where_it_is_placed(study, monkeypatch):
+    monkeypatch.setattr(passes, "BROADCAST_ROWS", 0)
+    some = study.events.filter("security_id % 3 = 0")
+    cut = passes.of_securities(study.prices, some)
+    assert "ShuffledHashJoin" in _plan(cut)
+    assert cut.count() == study.prices.join(some.select("security_id"), "security_id", "left_semi").count()
 
 
 def test_no_choice_of_columns_moves_the_panel_again(study, no_broadcast):
