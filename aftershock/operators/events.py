@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.arith import number
 from ..sources.schemas import CRASH_EVENT, conform
 from .pit import interval_join
+from .profile import distinct_ids
 
 THRESHOLD = -0.10
 CLEAN = "in_universe_at_event AND passes_min_price"
@@ -69,9 +71,8 @@ def consecutive_events(events: DataFrame) -> DataFrame:
 
 def event_summary(events: DataFrame) -> DataFrame:
     """One row of counts over an event table."""
-    return events.selectExpr(
+    measured = events.selectExpr(
         "count(*) AS events",
-        "count(DISTINCT security_id) AS securities",
         "min(crash_date) AS date_min",
         "max(crash_date) AS date_max",
         "count_if(in_universe_at_event) AS in_universe",
@@ -79,3 +80,4 @@ def event_summary(events: DataFrame) -> DataFrame:
         f"count_if({CLEAN}) AS clean",
         "count_if(crash_close IS NULL) AS null_crash_close",
     )
+    return measured.crossJoin(F.broadcast(distinct_ids(events, {"securities": "security_id"})))  # one row each

@@ -10,6 +10,7 @@ from .pit import asof_join, link_companies
 
 STALE_DAYS = 200
 
+# Names and order of the ratios, and of what is known about the statement they come from.
 FUNDAMENTAL_RATIOS = (
     "revenue_growth_yoy",
     "revenue_growth_qoq",
@@ -40,7 +41,7 @@ FUNDAMENTAL_META = (
     "fundamentals_rdq_available",
 )
 
-# trailing-year sum -> quarterly column
+# Trailing-year sum -> quarterly column.
 _TRAILING = {
     "revenue_ttm": "revenue",
     "ni_ttm": "net_income",

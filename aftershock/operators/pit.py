@@ -1,7 +1,8 @@
 """Point-in-time joins: what was known, or valid, on the day of an event.
 
-All of them are equi-joins on an entity key with a date range as residual condition, so Spark picks
-the strategy from the sizes it sees and adaptive execution splits a key that holds many events.
+All of them are equi-joins with a date range as residual condition, so Spark picks the strategy from the sizes it
+sees. Interval joins are on key and year, so that a key that holds many events is dealt over as many tasks as it has
+years; in the as-of join adaptive execution splits such a key.
 """
 
 from __future__ import annotations
@@ -51,10 +52,16 @@ def interval_join(
     """``left`` with the best ``right`` row whose closed interval contains ``at``.
 
     Every left row appears once, as spans do not overlap. ``take`` maps right columns to output
-    names; they are null where no interval fits.
+    names; they are null where no interval fits. Spans are repeated for each year of ``left`` that they touch.
     """
     spans = disjoint_spans(right, key=key, start=start, end=end, prefer=prefer, open_end=open_end)
-    fits = f"{key} = r_{key} AND {at} >= r_from AND (r_until IS NULL OR {at} < r_until)"
+    # one row: the years in use, which bound an open span
+    years = left.selectExpr(f"year(min({at})) AS r_least", f"year(max({at})) AS r_most")
+    first, last = "greatest(year(r_from), r_least)", "least(coalesce(year(date_sub(r_until, 1)), r_most), r_most)"
+    spans = spans.crossJoin(F.broadcast(years)).filter(f"{first} <= {last}")
+    # the windows left the spans placed by key alone, and the other side would follow them
+    spans = spans.selectExpr("*", f"explode(sequence({first}, {last})) AS r_year").repartition(f"r_{key}", "r_year")
+    fits = f"{key} = r_{key} AND year({at}) = r_year AND {at} >= r_from AND (r_until IS NULL OR {at} < r_until)"
     return left.join(spans, F.expr(fits), "left").selectExpr(
         *left.columns, *[f"r_{c} AS {name}" for c, name in take.items()]
     )

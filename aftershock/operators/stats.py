@@ -131,6 +131,7 @@ def return_stats(df: DataFrame, keys: Sequence[str], value: str = "ret") -> Data
 def tail_stats(outcomes: DataFrame, horizon: int) -> DataFrame:
     """One row over an outcome table: pool, censored, observed and the tails of the return."""
     r = f"ret_{horizon}"
+    middle = distribution(outcomes, [], r).selectExpr("q0 AS median")
     return outcomes.selectExpr(
         "count(*) AS events",
         f"count_if(censored_{horizon}) AS censored",
@@ -139,7 +140,7 @@ def tail_stats(outcomes: DataFrame, horizon: int) -> DataFrame:
         f"avg(cast({r} >= 0.10D AS int)) AS p_up_10",
         f"avg(cast({r} <= -0.50D AS int)) AS p_down_50",
         f"avg({r}) AS mean",
-    )
+    ).join(F.broadcast(middle), F.lit(True), "left")  # one row each
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .profile import distinct_ids
+
 
 def earliest(df: DataFrame, column: str) -> str:
     """Aggregate text: the non-null ``column`` of the earliest name period (ties: the smallest value)."""
@@ -17,9 +19,6 @@ def master_summary(master: DataFrame) -> DataFrame:
     """One row: sizes, active and delisted securities, covered dates and exchanges."""
     counted = master.selectExpr(
         "count(*) AS rows",
-        "count(DISTINCT security_id) AS securities",
-        "count(DISTINCT company_id) AS companies",
-        "count(DISTINCT CASE WHEN delisting_date IS NOT NULL THEN security_id END) AS with_delisting",
         "min(ticker_start) AS date_min",
         "max(ticker_end) AS date_max",
     )
@@ -27,7 +26,17 @@ def master_summary(master: DataFrame) -> DataFrame:
     exchanges = master.select("exchange").distinct().selectExpr(
         "array_join(array_sort(collect_list(exchange)), ',') AS exchanges"
     )
-    return counted.crossJoin(F.broadcast(exchanges)).selectExpr("*", "securities - with_delisting AS active")
+    ids = distinct_ids(
+        master,
+        {
+            "securities": "security_id",
+            "companies": "company_id",
+            "with_delisting": "CASE WHEN delisting_date IS NOT NULL THEN security_id END",
+        },
+    )
+    return counted.crossJoin(F.broadcast(ids)).crossJoin(F.broadcast(exchanges)).selectExpr(
+        "*", "securities - with_delisting AS active"
+    )  # one row each
 
 
 def delisting_class(code: str) -> str:

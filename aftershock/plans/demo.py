@@ -72,7 +72,7 @@ def raw_names(spark: SparkSession, folder: str) -> DataFrame:
     )
     return base.selectExpr(
         "sid AS permno",
-        "100000 + sid AS permco",
+        "1000 + sid AS permco",
         "start AS namedt",
         "stop AS nameenddt",
         "concat('S', sid, letter) AS ticker",
@@ -127,7 +127,7 @@ def _statement_sums(spark: SparkSession, folder: str, unit: str) -> DataFrame:
             "(0.5D * ebitda - 0.02D * sales) * CASE WHEN sid % 6 = 5 THEN -0.3D ELSE 1D END AS income",
             "4D * sales + 50D AS assets",
             "2D * sales AS owed",
-            "cast(100000 + sid AS string) AS gvkey",
+            "lpad(cast(1000 + sid AS string), 6, '0') AS gvkey",
         )
     )
 
@@ -204,7 +204,7 @@ def link(spark: SparkSession, folder: str) -> DataFrame:
     begun = "DATE '1990-01-01' AS linkdt"
     ended = "CASE WHEN lpermno % 11 = 0 THEN DATE '1998-12-31' END AS linkenddt"
     kind = "CASE WHEN lpermno % 13 = 0 THEN 'NR' ELSE 'LC' END AS linktype"
-    main = f"struct(cast(100000 + lpermno AS string) AS gvkey, {kind}, 'P' AS linkprim, {begun}, {ended})"
+    main = f"struct(lpad(cast(1000 + lpermno AS string), 6, '0') AS gvkey, {kind}, 'P' AS linkprim, {begun}, {ended})"
     second = (
         "struct(cast(200000 + lpermno AS string) AS gvkey, 'LU' AS linktype, 'C' AS linkprim, "
         f"{begun}, cast(null AS date) AS linkenddt)"

@@ -6,7 +6,6 @@ frames, fan-out joins and as-of joins.
 
 from __future__ import annotations
 
-from ..operators.buckets import FULL_OPEN_LOW, RECENT_RANGES
 from ..operators.dataset import (
     FEATURE_COLUMNS,
     HIT_COLUMNS,
@@ -14,10 +13,33 @@ from ..operators.dataset import (
 )
 from ..operators.features import MARKET_FEATURES, PRICE_FEATURES, RECENT_FEATURES
 from ..operators.fundamentals import FUNDAMENTAL_META, FUNDAMENTAL_RATIOS
-from ..operators.labels import HORIZONS, THRESHOLDS
-from ..sources.normalize import SIC_DIVISIONS
 from ..sources.schemas import DAILY_PRICE, FUNDAMENTALS, UNRESTATED_FUNDAMENTALS
-from .params import MIN_PRICE, RECENT_START, REGIMES, SAMPLE_END, SAMPLE_START, SAMPLE_TICKER
+
+# Fixed values, stated here once more so that a wrong one in the operators shows.
+MIN_PRICE, RECENT_START = "5.0", "1997-06-01"
+SAMPLE_TICKER, SAMPLE_START, SAMPLE_END = "S1A", "1997-01-01", "1998-03-31"
+HORIZONS = (5, 20, 60)
+THRESHOLDS = ((5, 0.05), (10, 0.10), (20, 0.20))
+REGIMES = (
+    ("one_week", 5, None),
+    ("sixty_day", 60, None),
+    ("one_year", 252, None),
+    ("one_year_later", 252, "1998-01-01"),
+    ("sixty_day_recent", 60, RECENT_START),
+    ("one_year_recent", 252, RECENT_START),
+)
+_DIVISIONS = """
+WHEN {c} >= 100 AND {c} < 1000 THEN 'Agriculture, Forestry & Fishing'
+WHEN {c} >= 1000 AND {c} < 1500 THEN 'Mining'
+WHEN {c} >= 1500 AND {c} < 1800 THEN 'Construction'
+WHEN {c} >= 2000 AND {c} < 4000 THEN 'Manufacturing'
+WHEN {c} >= 4000 AND {c} < 5000 THEN 'Transportation & Public Utilities'
+WHEN {c} >= 5000 AND {c} < 5200 THEN 'Wholesale Trade'
+WHEN {c} >= 5200 AND {c} < 6000 THEN 'Retail Trade'
+WHEN {c} >= 6000 AND {c} < 6800 THEN 'Finance, Insurance & Real Estate'
+WHEN {c} >= 7000 AND {c} < 9000 THEN 'Services'
+WHEN {c} >= 9100 AND {c} < 9730 THEN 'Public Administration'
+"""
 
 LONG_COLUMNS = {
     "prior_crash_count_5d",
@@ -41,8 +63,7 @@ def doubles(*names: str, table: str = "") -> str:
 
 
 def _sic_division(c: str) -> str:
-    tests = " ".join(f"WHEN {c} BETWEEN {lo} AND {hi} THEN '{name}'" for lo, hi, name in SIC_DIVISIONS)
-    return f"CASE WHEN {c} IS NULL THEN 'Unknown' {tests} ELSE 'Nonclassifiable' END"
+    return f"CASE WHEN {c} IS NULL THEN 'Unknown' {_DIVISIONS.format(c=c)} ELSE 'Nonclassifiable' END"
 
 
 def _log(c: str) -> str:
@@ -100,7 +121,7 @@ px AS (
     factor AS cum_factor_price, factor AS cum_factor_shares, shrout AS shares_outstanding
   FROM bars),
 names AS (
-  SELECT s_suppkey::BIGINT AS permno, 100000 + s_suppkey::BIGINT AS permco, p.start AS namedt, p.stop AS nameenddt,
+  SELECT s_suppkey::BIGINT AS permno, 1000 + s_suppkey::BIGINT AS permco, p.start AS namedt, p.stop AS nameenddt,
     'S' || s_suppkey || p.letter AS ticker, s_name AS issuernm, ['N', 'A', 'Q', 'X'][s_suppkey % 4 + 1] AS primaryexch,
     'EQTY' AS securitytype, 'COM' AS securitysubtype,
     CASE WHEN s_suppkey % 23 = 0 THEN 'AD' ELSE 'NS' END AS sharetype,
@@ -143,7 +164,7 @@ quarter_base AS (
     net / 1e7 AS sales, 6e-1 * (cents / 1e5) AS cogs,
     net / 1e7 - 6e-1 * (cents / 1e5) - taxed / 1e7 AS ebitda FROM quarter_sums),
 quarters AS (
-  SELECT 100000 + sid AS company_id, sid, datadate, q, y, sales, cogs, ebitda,
+  SELECT 1000 + sid AS company_id, sid, datadate, q, y, sales, cogs, ebitda,
     CASE WHEN (sid + q) % 5 <> 0 THEN datadate + (20 + sid % 40)::INTEGER END AS rdq,
     (5e-1 * ebitda - 2e-2 * sales) * CASE WHEN sid % 6 = 5 THEN -3e-1 ELSE 1e0 END AS income,
     CASE WHEN sid % 17 = 0 THEN 0e0 ELSE 1e-2 * sales END AS interest,
@@ -156,7 +177,7 @@ year_base AS (
   SELECT sid, last_day(period + INTERVAL 11 MONTH)::DATE AS datadate, year(period) AS y, net / 1e7 AS sales,
     net / 1e7 - 6e-1 * (cents / 1e5) - taxed / 1e7 AS ebitda FROM year_sums),
 link AS (
-  SELECT (100000 + s_suppkey)::BIGINT AS company_id, s_suppkey::BIGINT AS lpermno,
+  SELECT (1000 + s_suppkey)::BIGINT AS company_id, s_suppkey::BIGINT AS lpermno,
     CASE WHEN s_suppkey % 13 = 0 THEN 'NR' ELSE 'LC' END AS linktype, 'P' AS linkprim, DATE '1990-01-01' AS linkdt,
     CASE WHEN s_suppkey % 11 = 0 THEN DATE '1998-12-31' END AS linkenddt FROM supplier
   UNION ALL
@@ -432,15 +453,6 @@ def _stats(source: str, keys: str) -> str:
         avg((ret > 0)::INT) AS p_positive FROM ({source}) GROUP BY {keys})"""
 
 
-def _range(c: str, lo: float, hi: float, lo_in: bool, hi_in: bool) -> str:
-    tests = []
-    if lo != float("-inf"):
-        tests.append(f"{c} {'>=' if lo_in else '>'} {lo!r}::DOUBLE")
-    if hi != float("inf"):
-        tests.append(f"{c} {'<=' if hi_in else '<'} {hi!r}::DOUBLE")
-    return " AND ".join(tests)
-
-
 _FIXED_BUCKETS = {
     "mcap_micro": "market_cap > 0 AND market_cap < 100",
     "mcap_small": "market_cap >= 100 AND market_cap < 1000",
@@ -452,18 +464,70 @@ _FIXED_BUCKETS = {
 }
 
 
+_SIZE_BUCKETS = {
+    "sev_10_15": "crash_return > -0.15::DOUBLE AND crash_return <= -0.10::DOUBLE",
+    "sev_15_20": "crash_return > -0.20::DOUBLE AND crash_return <= -0.15::DOUBLE",
+    "sev_20_30": "crash_return > -0.30::DOUBLE AND crash_return <= -0.20::DOUBLE",
+    "sev_30plus": "crash_return <= -0.30::DOUBLE",
+    "premom_dn": "return_252d_pre <= -0.5::DOUBLE",
+    "premom_mild": "return_252d_pre > -0.5::DOUBLE AND return_252d_pre <= 0",
+    "premom_up": "return_252d_pre > 0 AND return_252d_pre <= 0.5::DOUBLE",
+    "premom_hot": "return_252d_pre > 0.5::DOUBLE",
+    "beta_hi": "beta > 1.2::DOUBLE AND beta <= 1.8::DOUBLE",
+    "beta_vhi": "beta > 1.8::DOUBLE",
+    "ebm_mid": "ebitda_margin > 0.10::DOUBLE AND ebitda_margin <= 0.25::DOUBLE",
+    "ebm_hi": "ebitda_margin > 0.25::DOUBLE",
+    "revg_mid": "revenue_growth_yoy > 0.10::DOUBLE AND revenue_growth_yoy <= 0.30::DOUBLE",
+    "revg_hi": "revenue_growth_yoy > 0.30::DOUBLE",
+}
+
+# the two sets differ at these edges
+_FULL_EDGES = {
+    "beta_lo": "beta <= 0.8::DOUBLE",
+    "beta_mkt": "beta > 0.8::DOUBLE AND beta <= 1.2::DOUBLE",
+    "ebm_neg": "ebitda_margin <= 0",
+    "ebm_lo": "ebitda_margin > 0 AND ebitda_margin <= 0.10::DOUBLE",
+    "revg_dn": "revenue_growth_yoy <= 0",
+    "revg_lo": "revenue_growth_yoy > 0 AND revenue_growth_yoy <= 0.10::DOUBLE",
+    "mkt_crash": "market_return_20d <= -0.10::DOUBLE",
+    "mkt_dn": "market_return_20d > -0.10::DOUBLE AND market_return_20d <= -0.03::DOUBLE",
+    "mkt_flat": "market_return_20d > -0.03::DOUBLE AND market_return_20d <= 0",
+    "mkt_up": "market_return_20d > 0",
+    "relsec_worse": "rel_sector <= -0.10::DOUBLE",
+    "relsec_mid": "rel_sector > -0.10::DOUBLE AND rel_sector <= -0.03::DOUBLE",
+    "relsec_with": "rel_sector > -0.03::DOUBLE",
+    "prior_0": "coalesce(prior_crash_count_20d, 0) = 0",
+    "prior_1": "prior_crash_count_20d = 1",
+    "prior_2plus": "prior_crash_count_20d >= 2",
+    "mcap_mega": "market_cap >= 10000 AND market_cap < 1e12",
+}
+_RECENT_EDGES = {
+    "beta_lo": "beta < 0.8::DOUBLE",
+    "beta_mkt": "beta >= 0.8::DOUBLE AND beta <= 1.2::DOUBLE",
+    "ebm_neg": "ebitda_margin < 0",
+    "ebm_lo": "ebitda_margin >= 0 AND ebitda_margin <= 0.10::DOUBLE",
+    "revg_dn": "revenue_growth_yoy < 0",
+    "revg_lo": "revenue_growth_yoy >= 0 AND revenue_growth_yoy <= 0.10::DOUBLE",
+    "mkt_crash": "market_return_20d < -0.10::DOUBLE",
+    "mkt_dn": "market_return_20d >= -0.10::DOUBLE AND market_return_20d < -0.03::DOUBLE",
+    "mkt_flat": "market_return_20d >= -0.03::DOUBLE AND market_return_20d < 0",
+    "mkt_up": "market_return_20d >= 0",
+    "relsec_worse": "rel_sector < -0.10::DOUBLE",
+    "relsec_mid": "rel_sector >= -0.10::DOUBLE AND rel_sector < -0.03::DOUBLE",
+    "relsec_with": "rel_sector >= -0.03::DOUBLE",
+    "prior_0": "prior_crash_count_20d = 0",
+    "prior_1": "prior_crash_count_20d = 1",
+    "prior_2plus": "prior_crash_count_20d >= 2",
+    "mcap_mega": "market_cap >= 10000",
+}
+
+
 def _full_buckets() -> dict[str, str]:
-    out = {k: _range(c, lo, hi, False, True) for c, rs in FULL_OPEN_LOW.items() for k, lo, hi in rs}
-    n = "coalesce(prior_crash_count_20d, 0)"
-    out |= {"prior_0": f"{n} = 0", "prior_1": f"{n} = 1", "prior_2plus": f"{n} >= 2"}
-    return out | _FIXED_BUCKETS | {"mcap_mega": "market_cap >= 10000 AND market_cap < 1e12"}
+    return _SIZE_BUCKETS | _FULL_EDGES | _FIXED_BUCKETS
 
 
 def _recent_buckets() -> dict[str, str]:
-    out = {k: _range(c, lo, hi, li, hi_in) for c, rs in RECENT_RANGES.items() for k, lo, hi, li, hi_in in rs}
-    n = "prior_crash_count_20d"
-    out |= {"prior_0": f"{n} = 0", "prior_1": f"{n} = 1", "prior_2plus": f"{n} >= 2"}
-    return out | _FIXED_BUCKETS | {"mcap_mega": "market_cap >= 10000"}
+    return _SIZE_BUCKETS | _RECENT_EDGES | _FIXED_BUCKETS
 
 
 def _bucketed(buckets: dict[str, str], horizon: int, since: str | None) -> str:
@@ -539,6 +603,12 @@ def oracle_sql() -> dict[str, str]:
     q["panel_write_manifest"] = """SELECT year(date)::INTEGER AS year, count(*) AS rows,
       count(DISTINCT security_id) AS securities FROM px GROUP BY 1"""
     q["scan_stored_panel"] = f"SELECT {price_types} FROM px WHERE year(date) BETWEEN 1997 AND 1998"
+    q["stored_panel_ranges"] = f"""SELECT year(date)::INTEGER AS year, count(*) AS n_rows, count(close) AS n_closes,
+      min(date) AS min_date, max(date) AS max_date, {r6('min(daily_return)', 'lowest_return')},
+      {r6('max(daily_return)', 'highest_return')} FROM px GROUP BY 1"""
+    q["panel_around_severe_events"] = f"""SELECT event_id, count(*) AS days, {r6('min(close)', 'lowest')}, {r6('max(close)', 'highest')}
+      FROM clean c JOIN px p ON p.security_id = c.security_id AND p.date BETWEEN c.crash_date - 60 AND c.crash_date
+      WHERE crash_return <= -0.33 AND crash_date < DATE '1997-01-01' GROUP BY 1"""
     q["versioned_write_fingerprint"] = """SELECT 'crash_events' AS name, 'v1' AS version, count(*) AS row_count,
       'event_id,security_id,company_id,ticker_as_of_event,crash_date,crash_return,crash_close,crash_volume,in_universe_at_event,passes_min_price'
       AS columns, true AS same_content, true AS has_bytes FROM ev"""
@@ -568,16 +638,16 @@ def oracle_sql() -> dict[str, str]:
         cash, coalesce(long_debt, 0) + coalesce(short_debt, 0) AS total_debt, shares AS shares_outstanding
       FROM quarters LEFT JOIN {one_link} USING (company_id) WHERE sid % 29 <> 0)"""
     q["prices_by_id_list"] = f"SELECT {price_types} FROM px WHERE security_id IN (1, 3, 5)"
-    q["fund_by_company_ids"] = f"SELECT * FROM ({q['normalize_fund_q']}) WHERE company_id IN (100002, 100004, 100010)"
+    q["fund_by_company_ids"] = f"SELECT * FROM ({q['normalize_fund_q']}) WHERE company_id IN (1002, 1004, 1010)"
     q["fund_by_company_table"] = f"SELECT * FROM ({q['normalize_fund_q']}) WHERE company_id % 4 = 2"
     q["normalize_fund_a"] = f"""SELECT {basic} FROM (
-      SELECT 100000 + sid AS company_id, security_id, datadate AS period_end, datadate + (60 + sid % 30)::INTEGER AS public_date,
+      SELECT 1000 + sid AS company_id, security_id, datadate AS period_end, datadate + (60 + sid % 30)::INTEGER AS public_date,
         'A' AS freq, y AS fiscal_year, NULL::BIGINT AS fiscal_quarter, sales AS revenue,
         (5e-1 * ebitda - 2e-2 * sales) * CASE WHEN sid % 6 = 5 THEN -3e-1 ELSE 1e0 END AS net_income,
         4e0 * sales + 5e1 AS total_assets, 2e0 * sales AS total_liabilities, 3e-1 * sales AS cash,
         CASE WHEN sid % 3 <> 0 THEN 5e-1 * sales ELSE 0 END + CASE WHEN sid % 6 <> 0 THEN 2e-1 * sales ELSE 0 END AS total_debt,
         (1 + sid % 97)::DOUBLE AS shares_outstanding
-      FROM year_base LEFT JOIN {one_link} ON 100000 + sid = company_id WHERE sid % 29 <> 0)"""
+      FROM year_base LEFT JOIN {one_link} ON 1000 + sid = company_id WHERE sid % 29 <> 0)"""
     q["fund_of_universe"] = f"""SELECT {basic} FROM (
       SELECT company_id, security_id, datadate AS period_end, rdq AS public_date, 'Q' AS freq, y AS fiscal_year,
         q AS fiscal_quarter, sales AS revenue, income AS net_income, assets AS total_assets, owed AS total_liabilities,
@@ -607,7 +677,7 @@ def oracle_sql() -> dict[str, str]:
       AND date BETWEEN DATE '{SAMPLE_START}' AND DATE '{SAMPLE_END}'
       UNION ALL SELECT {price_types} FROM px WHERE security_id IN (SELECT permno FROM delistings WHERE dlstcd >= 200)
       AND date BETWEEN DATE '{SAMPLE_START}' AND DATE '{SAMPLE_END}'"""
-    q["latest_quarters"] = f"""SELECT (100000 + sid)::VARCHAR AS gvkey, datadate, rdq, y AS fyearq, q AS fqtr,
+    q["latest_quarters"] = f"""SELECT lpad((1000 + sid)::VARCHAR, 6, '0') AS gvkey, datadate, rdq, y AS fyearq, q AS fqtr,
       {r6('sales', 'saleq')}, {r6('income', 'niq')} FROM quarters
       QUALIFY row_number() OVER (PARTITION BY sid ORDER BY datadate DESC) <= 4"""
 
@@ -673,7 +743,7 @@ def oracle_sql() -> dict[str, str]:
     )
     q["base_rate_tails"] = f"""SELECT count(*) AS events, count(*) FILTER (censored) AS censored, count(r) AS observed,
       {r6('avg((r > 0)::INT)', 'p_positive')}, {r6('avg((r >= 0.10)::INT)', 'p_up_10')},
-      {r6('avg((r <= -0.50)::INT)', 'p_down_50')}, {r6('avg(r)', 'mean')}
+      {r6('avg((r <= -0.50)::INT)', 'p_down_50')}, {r6('avg(r)', 'mean')}, {r6('quantile_cont(r, 0.5)', 'median')}
       FROM (SELECT censored, CASE WHEN NOT censored AND NOT isnan(ret) THEN ret END AS r FROM fwd WHERE h = 252)"""
 
     exact = set(LONG_COLUMNS) | set(FUNDAMENTAL_META) | set(HIT_COLUMNS)
@@ -737,7 +807,11 @@ def oracle_sql() -> dict[str, str]:
     for name, h in (("one_year", 252), ("sixty_day", 60), ("one_week", 5)):
         q[f"return_histogram_{name}"] = _histogram(f"SELECT ret FROM seen WHERE h = {h}", h)
     q["bucket_histograms_full"] = _histogram(_bucketed(full, 252, None), 252, "bucket")
-    q["bucket_histograms_recent"] = _histogram(_bucketed(recent, 60, RECENT_START), 60, "bucket")
+    q["bucket_histograms_recent"] = (
+        _histogram(_bucketed(recent, 252, RECENT_START), 252, "bucket")
+        + " UNION ALL "
+        + _histogram(_bucketed(_severity(recent, "_60d"), 60, RECENT_START), 60, "bucket")
+    )
     q["bucket_histograms_5d"] = _histogram(_bucketed(recent, 5, None), 5, "bucket")
     q["severity_returns_60d"] = _stats(
         " UNION ALL ".join(

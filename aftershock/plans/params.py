@@ -2,7 +2,7 @@
 
 MIN_PRICE = 5.0
 HORIZONS = (5, 60, 252)
-RECENT_START = "1999-01-01"  # start of the recent regime on the example calendar
+RECENT_START = "1997-06-01"  # start of the recent regime on the example calendar, with 252 rows ahead
 REGIMES = [
     ("one_week", 5, None),
     ("sixty_day", 60, None),

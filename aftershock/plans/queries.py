@@ -75,6 +75,26 @@ def scan_stored_panel(s: Study) -> DataFrame:
     return tables.scan_prices(s.spark, path).filter("year BETWEEN 1997 AND 1998").drop("year")
 
 
+@_query()
+def stored_panel_ranges(s: Study) -> DataFrame:
+    path = stage_path(s.spark, "panel")
+    writers.write_prices(s.prices, path)
+    return tables.stored_ranges(s.spark, path)
+
+
+@_query(("crash_events",))
+def panel_around_severe_events(s: Study) -> DataFrame:
+    path = stage_path(s.spark, "panel")
+    writers.write_prices(s.prices, path)
+    severe = events.clean_pool(s.events).filter("crash_return <= -0.33D AND crash_date < DATE '1997-01-01'")
+    panel = tables.prices_of_years(s.spark, path, severe, back=1).select("security_id", "date", "close")
+    near = F.expr("security_id = __sid AND date BETWEEN date_sub(crash_date, 60) AND crash_date")
+    rows = severe.selectExpr("event_id", "security_id AS __sid", "crash_date").join(panel, near)
+    return rows.groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("days"), F.min("close").alias("lowest"), F.max("close").alias("highest")
+    )
+
+
 @_query()
 def versioned_write_fingerprint(s: Study) -> DataFrame:
     described = writers.write_versioned(s.events, stage_path(s.spark, "artifacts"), "crash_events", "v1")
@@ -151,7 +171,7 @@ def normalize_fund_a(s: Study) -> DataFrame:
 
 @_query()
 def fund_of_universe(s: Study) -> DataFrame:
-    members = s.names.filter(tables.US_COMMON_STOCK.condition()).select("permno")
+    members = s.names.filter(tables.in_universe(tables.US_COMMON_STOCK)).select("permno")
     return tables.fundamentals(s.quarters, s.link, security_ids=members)
 
 
@@ -165,7 +185,7 @@ def prices_by_id_list(s: Study) -> DataFrame:
 
 @_query()
 def fund_by_company_ids(s: Study) -> DataFrame:
-    return tables.fundamentals(s.quarters, s.link, company_ids=[100002, 100004, 100010])
+    return tables.fundamentals(s.quarters, s.link, company_ids=[1002, 1004, 1010])
 
 
 @_query()
@@ -467,9 +487,11 @@ def bucket_histograms_full(s: Study) -> DataFrame:
 
 @_query(BOTH)
 def bucket_histograms_recent(s: Study) -> DataFrame:
-    # sixty days: on the example calendar a year ahead of the recent events lies beyond the data
-    table = s.bucket_table(RECENT_START, 60)
-    return buckets.bucket_histograms(table, buckets.recent_buckets(), "ret_60", stats.SIXTY_DAY)
+    table, named = s.bucket_table(RECENT_START, 60, 252), buckets.recent_buckets()
+    sizes = buckets.severity_buckets(named, "_60d")
+    return buckets.bucket_histograms(table, named, "ret_252", stats.ONE_YEAR).unionByName(
+        buckets.bucket_histograms(table, sizes, "ret_60", stats.SIXTY_DAY)
+    )
 
 
 @_query(BOTH)

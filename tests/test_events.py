@@ -2,7 +2,10 @@ from datetime import date
 
 import pytest
 from conftest import by_id
+from pyspark.sql import functions as F
 
+
+from aftershock.operators import pit
 from aftershock.operators.events import build_crash_events, clean_pool, consecutive_events, event_summary
 from aftershock.sources.schemas import CRASH_EVENT
 
@@ -72,3 +75,29 @@ def test_threshold_parameter(spark):
     master = spark.createDataFrame([], MASTER)
     assert build_crash_events(prices, master, threshold=-0.05).count() == 1
     assert build_crash_events(prices, master, threshold=-0.06).count() == 0
+
+
+def test_interval_join_deals_a_heavy_key_over_its_years(spark):
+    """Seven of ten events belong to one security; with every side shuffled they still spread over tasks."""
+    days = "date_add(DATE '1990-01-01', cast(id * 37 % 9000 AS int)) AS at"
+    left = spark.range(10_000).selectExpr("if(id % 10 < 7, 1L, id % 50) AS key", days, "id AS n")
+    spans = [(k, date(1985 + 3 * i, 1, 1), None if i == 9 else date(1987 + 3 * i, 6, 30), f"{k}-{i}") for k in range(50) for i in range(10)]
+    right = spark.createDataFrame(spans, "key long, start date, end date, name string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = pit.interval_join(
+            left, right, key="key", at="at", start="start", end="end", prefer="r_start DESC", take={"name": "name"}, open_end=True
+        )
+        per_task = joined.groupBy(F.spark_partition_id().alias("t")).count().collect()
+        rows = joined.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(rows) == 10_000 and max(r["count"] for r in per_task) < 3_500
+    for r in rows[::7]:
+        fits = [x for x in spans if x[0] == r["key"] and x[1] <= r["at"] and (x[2] is None or r["at"] <= x[2])]
+        assert r["name"] == (max(fits, key=lambda x: x[1])[3] if fits else None)

@@ -157,13 +157,18 @@ def test_event_scan_is_pushed_down_and_pruned(study):
     assert re.search(r"ReadSchema: struct<date:date,security_id:bigint,daily_return:double>", plan)
 
 
-def test_distribution_reads_its_counts_once(spark, study):
-    from aftershock.operators.quantiles import distribution
-
-    df = distribution(study.events, ["in_universe_at_event"], "crash_return")
-    df.collect()
-    plan = _plan(df).split("== Initial Plan ==")[0]
-    assert "ReusedExchange" in plan or plan.count("FileScan") == 1
+def test_a_wrong_edge_shows(study, duck, monkeypatch):
+    """The SQL has its own constants: a changed one in the operators makes the results differ."""
+    from aftershock.operators import buckets
+
+    wrong = dict(buckets.FULL_OPEN_LOW, crash_return=[("sev_10_15", -0.18, -0.10), *buckets.FULL_OPEN_LOW["crash_return"][1:]])
+    sql = oracle.oracle_sql()["bucket_outcomes_full"]
+    want = {r[0]: r[1] for r in duck.execute(f"SELECT bucket, n FROM ({sql})").fetchall()}
+    table = study.bucket_table(None, 60, 252)
+    for ranges, same in ((buckets.FULL_OPEN_LOW, True), (wrong, False)):
+        monkeypatch.setattr(buckets, "FULL_OPEN_LOW", ranges)
+        got = {r["bucket"]: r["n"] for r in buckets.bucket_outcomes(table, {"ret_252": buckets.full_buckets()}).collect()}
+        assert (got["sev_10_15"] == want["sev_10_15"]) is same
 
 
 def test_labels_keep_every_event(study):

@@ -1,6 +1,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aftershock.sources import normalize, schemas, tables, writers
@@ -71,8 +72,8 @@ def test_delisting_fields_need_a_real_code(names, delistings):
 def test_universe_filter(names, bars, delistings):
     kept = tables.security_master(names, delistings, universe=tables.US_COMMON_STOCK)
     assert {r["security_id"] for r in kept.collect()} == {3}
-    assert tables.security_master(names, universe=tables.UniverseFilter()).count() == 4
-    assert tables.security_master(names, universe=tables.UniverseFilter(exchanges=("A", "Z"))).count() == 2
+    assert tables.security_master(names, universe={}).count() == 4
+    assert tables.security_master(names, universe={"primaryexch": ("A", "Z"), "sharetype": ()}).count() == 2
     assert tables.daily_prices(bars, names, universe=tables.US_COMMON_STOCK).count() == 2
 
 
@@ -206,3 +207,50 @@ def test_year_filter_prunes_folders(spark, bars, tmp_path):
     writers.write_prices(normalize.normalize_prices(bars), str(tmp_path / "panel"))
     plan = tables.scan_prices(spark, str(tmp_path / "panel")).filter("year = 2019")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
+
+
+def test_versioned_table_without_rows(spark, tmp_path):
+    described = writers.write_versioned(spark.createDataFrame([], "a long, b string"), str(tmp_path), "none", "v1").first()
+    assert described["row_count"] == 0 and described["content"] == "0"
+
+
+def test_written_fingerprint_is_that_of_the_stored_rows(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x"), (None, "y"), (1, "x"), (2, None)], "a long, b string")
+    described = writers.write_versioned(df.repartition(3), str(tmp_path), "some", "v1").first()
+    stored = writers.fingerprint(spark.read.parquet(described["path"])).first()
+    assert (described["row_count"], described["content"]) == (stored["row_count"], stored["content"]) == (4, stored["content"])
+
+
+def test_years_of_events_prune_the_stored_panel(spark, tmp_path):
+    rows = [(d, 1, float(i)) for i, d in enumerate([date(y, 6, 1) for y in range(1990, 2000)])]
+    panel = spark.createDataFrame(rows, "date date, security_id long, close double").withColumn("year", F.year("date"))
+    path = str(tmp_path / "panel")
+    schemas.conform(panel.select("*", *[F.lit(1.0).alias(c) for c in schemas.DAILY_PRICE.names if c not in panel.columns]), schemas.DAILY_PRICE).withColumn(
+        "year", F.year("date")
+    ).write.partitionBy("year").parquet(path)
+    events = spark.createDataFrame([(date(1995, 3, 1), -0.5), (date(1998, 3, 1), -0.05)], "crash_date date, crash_return double")
+    events.write.parquet(str(tmp_path / "events"))
+    severe = spark.read.parquet(str(tmp_path / "events")).filter("crash_return <= -0.3")
+    found = tables.prices_of_years(spark, path, severe, back=2, ahead=1)
+    assert sorted(r["year"] for r in found.select("year").collect()) == [1993, 1994, 1995, 1996]
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_ranges_come_from_the_footers(spark, tmp_path):
+    rows = [(date(1990 + i % 3, 1 + i % 12, 1 + i % 28), i % 5, None if i % 4 == 0 else float(i), -0.01 * i) for i in range(60)]
+    panel = spark.createDataFrame(rows, "date date, security_id long, close double, daily_return double")
+    filled = panel.select("*", *[F.lit(1.0).alias(c) for c in schemas.DAILY_PRICE.names if c not in panel.columns])
+    path = str(tmp_path / "panel")
+    writers.write_prices(filled.dropDuplicates(["security_id", "date"]), path)
+    found = tables.stored_ranges(spark, path)
+    assert "PushedAggregation: [COUNT(*)" in found._jdf.queryExecution().executedPlan().toString()
+    plain = tables.scan_prices(spark, path).groupBy("year").agg(
+        F.count(F.lit(1)), F.count("close"), F.min("date"), F.max("date"), F.min("daily_return"), F.max("daily_return")
+    )
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_company_ids_are_padded(spark):
+    raw = spark.createDataFrame([("001002", 1), ("1002", 2), ("200001", 3)], "gvkey string, n int")
+    for ids in ([1002], spark.createDataFrame([(1002,)], "id long")):
+        assert [r["n"] for r in tables.restrict(raw, "gvkey", tables._padded(ids)).collect()] == [1]

@@ -6,7 +6,7 @@ import pytest
 from conftest import by_id, day
 from pyspark.sql import functions as F
 
-from aftershock.operators import buckets, dataset, outcomes, profile, stats, universe
+from aftershock.operators import buckets, dataset, outcomes, profile, quantiles, stats, universe
 from aftershock.operators.quantiles import distribution
 
 
@@ -201,3 +201,58 @@ def test_master_summaries(spark):
     assert [tuple(r) for r in universe.renamed_securities(m, top=1).collect()] == [(1, 2)]
     first = m.groupBy("security_id").agg(F.expr(f"{universe.earliest(m, 'sic_code')} AS sic"))
     assert {tuple(r) for r in first.collect()} == {(1, 11), (2, None), (3, None)}
+
+
+# --- order statistics of crowded values
+
+
+def _quantile(values, p):
+    values = sorted(values)
+    at = (len(values) - 1) * p
+    low, high = values[int(at)], values[-int(-at // 1)]
+    return low if low == high else low + (high - low) * (at - int(at))
+
+
+def test_crowded_bins_are_cut_until_they_are_small(spark, monkeypatch):
+    """A million different values that share one of the coarse bins."""
+    monkeypatch.setattr(quantiles, "MOST_VALUES", 2_000)
+    monkeypatch.setattr(quantiles, "PARTS", 64)
+    df = spark.range(1_000_000).selectExpr("id % 2 AS k", "1D + id * 1e-10D AS v")
+    ranked, real = [], quantiles.opened_bins
+    monkeypatch.setattr(quantiles, "opened_bins", lambda c, k, w: ranked.append((c, real(c, k, w))) or ranked[-1][1])
+    got = {r["k"]: r for r in quantiles.distribution(df, ["k"], "v", (0.1, 0.5, 0.999)).collect()}
+    for k in (0, 1):
+        values = [1.0 + i * 1e-10 for i in range(k, 1_000_000, 2)]
+        for i, p in enumerate((0.1, 0.5, 0.999)):
+            assert got[k][f"q{i}"] == pytest.approx(_quantile(values, p), abs=1e-15)
+        assert got[k]["n"] == 500_000
+    counts, bins = ranked[0]
+    sizes = quantiles._inside(counts, bins, ["k"]).groupBy("k", "lo").count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert sizes[0] <= 2_000 and sizes[1] <= 12
+
+
+def test_cut_bins_keep_ties_and_extremes(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "MOST_VALUES", 3)
+    monkeypatch.setattr(quantiles, "PARTS", 2)
+    rng = random.Random(5)
+    values = [rng.choice([0.0, -0.0, 1e-9, -1e-9, 5e-7, 2.0, 2.0000001, 1e300, -1e300, float("inf"), float("-inf")]) for _ in range(400)]
+    values += [rng.uniform(1.999, 2.001) for _ in range(100)] + [None, float("nan")]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 7.5)], "k string, v double")
+    probabilities = (0.0, 0.05, 0.3, 0.5, 0.71, 0.95, 1.0)
+    got = {r["k"]: r for r in quantiles.distribution(df, ["k"], "v", probabilities).collect()}
+    kept = [v for v in values if v is not None and v == v]
+    for i, p in enumerate(probabilities):
+        want, have = _quantile(kept, p), got["a"][f"q{i}"]
+        assert have == want or have == pytest.approx(want, rel=1e-12), p
+        assert got["b"][f"q{i}"] == 7.5
+    whole = quantiles.distribution(df.filter("k = 'a'"), [], "v", (0.5,)).first()
+    assert whole["q0"] == pytest.approx(_quantile(kept, 0.5), rel=1e-12)
+
+
+def test_distinct_ids_are_exact(spark):
+    ids = [None, 0, 1, 1, -5, -5, 32768, 32769, 65536, 10**9, 10**9, 7] + list(range(40_000))
+    df = spark.createDataFrame([(i, i if i and i % 2 else None) for i in ids], "a long, b long")
+    got = profile.distinct_ids(df, {"all_ids": "a", "odd": "b", "none": "CASE WHEN a < -10 THEN a END"}).first()
+    assert (got["all_ids"], got["odd"], got["none"]) == (len({i for i in ids if i is not None}), len({i for i in ids if i and i % 2}), 0)
+    assert "Expand" not in profile.distinct_ids(df, {"a": "a", "b": "b"})._jdf.queryExecution().executedPlan().toString()
+    assert profile.distinct_ids(df.limit(0), {"a": "a"}).first()["a"] == 0
