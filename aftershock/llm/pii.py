@@ -104,6 +104,12 @@ PLAIN_FORMS = ("555 0143", "5550143", "12", "2024", "1,234", "3.14", "56%", "12-
 PLAIN_SENTENCES = ("items {} were sold", "order {} of may", "about {} people", "page {} of the book", "in {} it rained", "the total was {} units",
                    "{} more words", "then {} and so on", "part {}", "it has {} rows", "id {} in the list", "see {} there", "of {} the",
                    "lot {} arrived")
+#: Ids of other sorts, in sentences that name them, and with what a kind is named by beside them.
+OTHER_FORMS = ("123-45-6780", "555-0143", "212-555-0187", "98-7600321", "0800 1234 55", "5551234567", "12-3456", "AB 120 45 67", "4000 1200 3400")
+OTHER_SENTENCES = ("my ssn is {}", "my ssn is {} thanks", "section {} is closed", "invoice {} was paid", "serial no. {}", "account number {} at the bank",
+                   "tracking number {} please", "passport {} expires soon", "my order number is {} thanks", "tax id {} today", "sold {} today",
+                   "ticket {} please", "case {} now", "reference number: {}", "order {} again", "room {} or write", "social security number {}",
+                   "the part number is {} then", "batch {} did not arrive", "call about order {} now")
 LABELLED = (
     "version 4.0 of 2024 has 12 parts",
     "Licensed under CC BY-NC 4.0. in 1999",
@@ -145,6 +151,7 @@ def _marked(form: str, kind: int) -> str:
 
 LABELLED += tuple(s.format(_marked(f, k)) for k in FORMS for s in SENTENCES[k] for f in FORMS[k])
 LABELLED += tuple(s.format(f) for s in PLAIN_SENTENCES for f in PLAIN_FORMS)
+LABELLED += tuple(s.format(f) for s in OTHER_SENTENCES for f in OTHER_FORMS)
 
 #: What a word must have to be part of personal data.
 _MARK = re.compile(r"[0-9@]|[(\[][Aa][Tt][)\]]|\*{4}|X{4}")
@@ -416,6 +423,12 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
+@lru_cache(4)
+def trained(labelled: tuple[str, ...] = LABELLED) -> Field:
+    """The field of a table, trained once in a driver."""
+    return train(labelled)
+
+
 def personal_data(documents: DataFrame, labelled=LABELLED) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every whole text.
 
@@ -423,7 +436,7 @@ def personal_data(documents: DataFrame, labelled=LABELLED) -> DataFrame:
     texts have none; repeated rows are each reported; other columns are ignored. Places are code points, ends exclusive.
     """
     spark = prepare(documents.sparkSession)
-    shared = spark.sparkContext.broadcast(train(labelled))
+    shared = spark.sparkContext.broadcast(trained(labelled))
 
     def run(batches):
         for batch in batches:

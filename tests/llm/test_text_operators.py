@@ -1,6 +1,7 @@
 """Decontamination, Jaccard join, personal data and chat formatting against plain versions and odd input."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -177,6 +178,42 @@ def test_field_finds_all_kinds_by_context_in_forms_beside_its_table():
         assert base == [] and pii.written(every) == want, text
 
 
+# frames and values that are not in the table
+HELD_OUT = {
+    0: (["write to {} today", "mail {}", "my email is {}", "contact {} please", "send to {} now"],
+        ["olga@intranet", "max.m@server1", "tina(at)shop.example", "pia[at]mail.example"]),
+    1: (["the server {} is slow", "ping {} now", "connected from ip {}", "host {} went down", "client ip {}"],
+        ["2a02:8108:9:1f::2", "fe80::2aa:ff:fe9a:4ca2", "10[.]9[.]8[.]7", "172.16.4.x"]),
+    2: (["please bill card {}", "my visa is {}", "paid by mastercard {} yesterday", "card no. {}", "amex card {} on file"],
+        ["4111 2222 3333 4449", "4111-2222-3333-4449", "4111222233334449", "3799 123456 78909", "**** **** **** 4449"]),
+    3: (["reach us under {}", "the hotline is {} daily", "please phone {} tomorrow", "her mobile number: {}", "my cell is {}", "ring {} tonight"],
+        ["444 0199", "0221 4440 197", "646-555-0123", "(030) 555-0177", "5550188", "0171/5550188"]),
+}
+HELD_OUT_NUMBERS = (
+    ["my ssn is {}", "paragraph {} applies", "order {}", "sold {} pieces", "isbn {}", "version {} came out", "lot number {}", "the score was {}",
+     "claim {} was filed", "the population of {} grew", "my student id is {}", "zip {}", "invoice number {}"],
+    ["123-45-6789", "555-0143", "212-555-0199", "4155552671", "978-0-306-40615-7", "444 0199", "4111222233334449", "12:44:10", "1,555,019"],
+)
+
+
+def test_field_on_held_out_sentences():
+    field = pii.trained()
+    assert pii.trained() is field  # trained once
+    found, asked, wrong = 0, 0, []
+    for kind, (frames, values) in HELD_OUT.items():
+        for frame, value in itertools.product(frames, values):
+            text = frame.format(value)
+            assert text not in "\n".join(pii.LABELLED)
+            ((_, every),) = pii.all_spans([text], field)
+            at = text.index(value)
+            found, asked = found + ((kind, at, at + len(value)) in set(map(tuple, every))), asked + 1
+    for frame, value in itertools.product(*HELD_OUT_NUMBERS):
+        ((base, every),) = pii.all_spans([frame.format(value)], field)
+        wrong += [frame.format(value)] * bool(set(every) - set(base))
+    assert found / asked > 0.9
+    assert len(wrong) <= 3
+
+
 def test_table_labels_every_kind():
     labels = {n for _, path in pii.labelled_runs() for n in path}
     assert {1 + 2 * k for k in range(len(pii.KINDS))} <= labels
