@@ -71,10 +71,11 @@ FROM m GROUP BY conv_id
 
 _OP9 = """
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, length(text) AS chars
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, length(text) AS chars,
+    md5(coalesce(text, '')) AS tie
   FROM documents
 ), k AS (
-  SELECT doc_id, source, size,
+  SELECT doc_id, source, size, tie,
     -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':17'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
       / coalesce(1.0::DOUBLE / (1.0::DOUBLE + abs(CAST(chars AS DOUBLE) / greatest(size, 1) - 6.0::DOUBLE)), 1.0::DOUBLE) AS key
   FROM d
@@ -93,7 +94,7 @@ e AS (
   SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t
 ), o AS (
   SELECT k.*, e.source_size, e.target, e.epochs,
-    coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle
+    coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle
   FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
 )
 SELECT doc_id, size, source_size, target,

@@ -1,5 +1,6 @@
 """Token ids, token counts, top-k search, mixing, graded models and the pipeline."""
 
+import math
 import os
 import random
 import zlib
@@ -51,7 +52,7 @@ def same_ids(encoder, texts, plain=False):
     assert [x.tolist() for x in np.split(ids, ends[:-1])] == [i + [2] for i in library_ids(texts, plain)]
 
 
-@pytest.mark.parametrize("remembered", [400, 40_000, 24_000_000])
+@pytest.mark.parametrize("remembered", [400, 40_000, 10_000_000])
 def test_encoder_equals_the_library(remembered):
     rng = random.Random(2)
     parts = [" ", "  ", "\n", "a", "B", "é", "ß×÷", "'s", "'", ",", ".", "1", "²", "_", "\t", "　", "\xa0", "漢", "́", "\x1c", "!", "ł", "ж"]
@@ -67,6 +68,16 @@ def test_encoder_equals_the_library(remembered):
     assert encoder.encode(pa.array([], pa.string()), 2)[0].size == 0
 
 
+def test_long_texts_are_encoded_in_parts():
+    rng = random.Random(9)
+    parts = [" ", "  ", "\n", "ab", "Cd", "é", "'s", ",", "12", "漢", " word", " more words"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 120))) for _ in range(300)] + ODD + SPECIAL + ["x" * 500, " ".join(SPECIAL) + "a b " * 50]
+    for window in (5, 60):
+        same_ids(byte_bpe.Encoder(BPE, window=window), texts)
+        ids, ends = byte_bpe.Encoder(BPE, window=window).encode(pa.array(texts, pa.large_string()))
+        assert ids.tolist() == [i for found in library_ids(texts) for i in found] and ends[-1] == len(ids)
+
+
 def test_encoder_takes_special_strings_as_text_on_request():
     same_ids(byte_bpe.Encoder(BPE, encode_special_tokens=True), SPECIAL + ODD, plain=True)
 
@@ -214,6 +225,81 @@ def test_mixing_takes_heavy_documents_first(spark):
     assert taken[0] > 3 * taken[1]
 
 
+@pytest.mark.parametrize("shared", ["no id", "one id", "equal rows", "long words"])
+def test_mixing_meets_targets_of_rows_alike(spark, monkeypatch, shared):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 100)
+    texts = {
+        "equal rows": lambda i: "some equal words",
+        "long words": lambda i: " ".join([f"{i}" + "x" * 100] * (1 + i % 40)),
+    }.get(shared, lambda i: f"w{i} " * (1 + i % 50))
+    ids = {"no id": lambda i: None, "one id": lambda i: 7, "equal rows": lambda i: 7}.get(shared, lambda i: i)
+    rows = [(ids(i), "hot", texts(i)) for i in range(2000)] + [(9000 + i, "cold", "a b c") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    for weights in ((2.0, 1.0),):
+        got = mixing.mix(df, weights=weights, share=1.3).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(df, weights=weights, share=1.3).collect()))
+        for source_size in {r.source_size for r in got}:
+            own = [r for r in got if r.source_size == source_size]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
+        times = sum(r.taken // r.size for r in got)
+        assert mixing.mixed_documents(df, weights=weights, share=1.3).count() == times
+
+
+def test_ranges_of_keys_stay_small(spark, monkeypatch):
+    """Long words put nearly all keys far out; the ranges follow them."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 500)
+    df = spark.range(8000).selectExpr("id AS doc_id", "'s' AS source", "repeat(concat(id, repeat('x', 100), ' '), 3) AS text")
+    sums = []
+    real = mixing.staged
+    monkeypatch.setattr(mixing, "staged", lambda d, name: sums.append(real(d, name)) or sums[-1] if name == "ranges" else real(d, name))
+    mixing.mix(df).collect()
+    largest = sums[0].groupBy("__range").count().agg(F.max("count")).first()[0]
+    assert largest < 1500
+
+
+# --- memories
+
+
+LONG_WORDS = ["".join(random.Random(i).choices([chr(c) for c in range(0x4E00, 0x4F00)], k=20_000)) for i in range(12)]
+
+
+def test_long_words_are_not_remembered():
+    counts = unigram.Counter([("▁a", -1.0), ("a", -2.0), ("<unk>", 0.0)])
+    assert counts.counts(pa.array(["a a", *LONG_WORDS])).tolist()[0] == 2
+    assert counts.memory.held < 1000
+    scorer = ordinal.Scorer(ordinal.unfitted(), quality.TEXT)
+    for text in LONG_WORDS:
+        scorer.score(text.encode())
+    assert scorer.memory.held < 1000
+
+
+@pytest.mark.parametrize("most", [0, 3000, 10**8])
+def test_results_do_not_depend_on_what_is_remembered(most):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abc", k=rng.randint(1, 6))) for _ in range(40)) for _ in range(60)]
+    pieces = [("▁a", -1.0), ("a", -2.0), ("b", -2.5), ("ab", -2.2), ("▁", -3.0), ("cab", -3.1), ("<unk>", 0.0)]
+    counter, plain = unigram.Counter(pieces, remembered=most), unigram.Counter(pieces)
+    model = ordinal.Model(np.random.default_rng(1).normal(size=ordinal.DIMENSIONS).astype(np.float32), np.zeros(1))
+    scorer, other = ordinal.Scorer(model, quality.TEXT, most), ordinal.Scorer(model, quality.TEXT)
+    for i in range(0, 60, 10):
+        assert counter.counts(pa.array(texts[i : i + 10])).tolist() == plain.counts(pa.array(texts[i : i + 10])).tolist()
+        for text in texts[i : i + 10]:
+            assert scorer.score(text.encode()) == other.score(text.encode())
+        assert counter.memory.held <= most + 300
+
+
+def test_counts_and_quality_of_empty_tables_and_long_texts(spark):
+    path = tokenizer_path("piece_bpe_32k.model")
+    df = spark.createDataFrame([(1, "word " * 100_000), (2, "漢字" * 10_000)], "doc_id long, text string").withColumn("n_tokens", F.lit("x"))
+    got = {r.doc_id: r.n_tokens for r in unigram.token_counts(df, path).collect()}
+    assert got[1] >= 100_000 and got[2] >= 10_000
+    assert unigram.token_counts(df.limit(0), path).count() == 0
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    model = quality.train(df, labels)
+    assert quality.quality(df, model).count() == 2
+    assert quality.quality(df.limit(0), model).count() == 0
+
+
 # --- graded models
 
 
@@ -230,6 +316,36 @@ def test_ordinal_regression_orders_grades():
     assert np.corrcoef(tails.sum(axis=1), grades)[0, 1] > 0.8
 
 
+def plain_loss(rows, columns, values, grades, weight, first, gaps):
+    """The penalised likelihood as the module states it, one row at a time."""
+    thresholds = [first + sum(math.exp(x) for x in gaps[:k]) for k in range(len(gaps) + 1)]
+    share = [list(grades).count(g) for g in range(len(gaps) + 2)]
+    total = 0.5 * ordinal.PENALTY * sum(w * w for w in weight.values())
+    for i, g in enumerate(grades):
+        score = sum(v * weight[int(c)] for r, c, v in zip(rows, columns, values) if r == i)
+        upto = [0.0, *[1 / (1 + math.exp(score - t)) for t in thresholds], 1.0]
+        total -= math.log(upto[g + 1] - upto[g]) / share[g] / sum(x > 0 for x in share)
+    return total
+
+
+@pytest.mark.parametrize("levels", [2, 4])
+def test_ordinal_regression_finds_the_best_of_a_plain_likelihood(levels):
+    rng = random.Random(levels)
+    texts = [" ".join(rng.choices(["bad", "good", "so", "fine", "word"], k=rng.randint(1, 7))).encode() for _ in range(24)]
+    grades = np.array([i % levels for i in range(24)])
+    features = ordinal.sparse(texts, quality.TEXT)
+    model = ordinal.fit(*features, grades, steps=20_000)
+    weight = {int(c): float(model.weights[c]) for c in features[1]}
+    first, gaps = float(model.thresholds[0]), np.log(np.diff(model.thresholds)).tolist()
+    least = plain_loss(*features, grades, weight, first, gaps)
+    assert least < plain_loss(*features, grades, dict.fromkeys(weight, 0.0), 0.0, [0.0] * len(gaps))
+    for step in (-0.05, 0.05):
+        around = [plain_loss(*features, grades, weight | {c: w + step}, first, gaps) for c, w in weight.items()]
+        around += [plain_loss(*features, grades, weight, first + step, gaps)]
+        around += [plain_loss(*features, grades, weight, first, [*gaps[:k], gaps[k] + step, *gaps[k + 1 :]]) for k in range(len(gaps))]
+        assert min(around) > least - 1e-5
+
+
 @pytest.mark.parametrize("module,column,flag", [(toxicity, "toxic", "rejected"), (quality, "quality", "kept")])
 def test_models_on_held_out_rows(spark, module, column, flag):
     folder = "/root/testdata/sf0.01"
