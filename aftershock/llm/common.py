@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -52,3 +53,31 @@ def rows_of(batches: Iterable[pa.RecordBatch], schema: pa.Schema, each) -> Itera
     for batch in batches:
         if batch.num_rows:
             yield pa.RecordBatch.from_pydict(each(batch), schema=schema)
+
+
+#: Longer words are not remembered: what stands between two spaces may be a whole text.
+LONGEST_WORD = 64
+
+
+class Memory:
+    """Words a worker remembers with what was found for them, bounded by their bytes."""
+
+    #: Bytes at most, and what an entry takes beside the word itself (its place in the table and its value).
+    BYTES = 40_000_000
+    ENTRY = 120
+
+    def __init__(self, most: int = BYTES):
+        self.most, self.held = most, 0
+        self.known: dict = {}
+
+    def fresh(self) -> dict:
+        """What is remembered; nothing, if it had become too much."""
+        if self.held > self.most:
+            self.known, self.held = {}, 0
+        return self.known
+
+    def keep(self, word: str | bytes, value) -> None:
+        """Remember a word unless it is long or there is no room left before the next ``fresh``."""
+        if len(word) <= LONGEST_WORD and self.held <= self.most:
+            self.known[word] = value
+            self.held += sys.getsizeof(word) + self.ENTRY

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts
+from .common import Memory, binary_texts
 
 DIMENSIONS = 1 << 18
 #: Labelled rows of each grade that a model is fitted on, at most (those with the smallest hashes of their ids).
@@ -26,8 +26,6 @@ ROWS_PER_GRADE = 1500
 MOST_GRADES = 64
 STEPS = 150
 PENALTY = 2e-4
-#: Words whose weights a worker remembers.
-REMEMBERED = 250_000
 
 Tokens = Callable[[bytes], list[bytes]]
 Features = Callable[[bytes], Iterable[bytes]]
@@ -104,15 +102,16 @@ def fit(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.nd
 def sparse(texts: list[bytes | None], text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, columns and values of the features of texts."""
     rows, columns, values = [], [], []
-    seen: dict[bytes, np.ndarray] = {}
+    memory = Memory()
     for i, content in enumerate(texts):
         counted = Counter(text.tokens(content or b""))
         total = sum(counted.values())
         sums: dict[int, float] = {}
         for word, times in counted.items():
-            found = seen.get(word)
+            found = memory.known.get(word)
             if found is None:
-                found = seen[word] = text.indices(word)
+                found = text.indices(word)
+                memory.keep(word, found)
             for column in found.tolist():
                 sums[column] = sums.get(column, 0.0) + times
         rows.append(np.full(len(sums), i, np.int32))
@@ -173,21 +172,19 @@ def train(documents: DataFrame, labels: DataFrame, grade: Column, text: Text, ro
 class Scorer:
     """Scores of texts in a worker, with remembered words."""
 
-    def __init__(self, model: Model, text: Text, remembered: int = REMEMBERED):
-        self.model, self.text, self.remembered = model, text, remembered
-        self.known: dict[bytes, float] = {}
+    def __init__(self, model: Model, text: Text, remembered: int = Memory.BYTES):
+        self.model, self.text, self.memory = model, text, Memory(remembered)
 
     def _weight(self, word: bytes) -> float:
-        value = self.known[word] = float(self.model.weights[self.text.indices(word)].sum())
+        value = float(self.model.weights[self.text.indices(word)].sum())
+        self.memory.keep(word, value)
         return value
 
     def score(self, content: bytes | None) -> float:
         words = self.text.tokens(content) if content else []
         if not words:
             return 0.0
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        found = [*map(self.known.get, words)]
+        found = [*map(self.memory.fresh().get, words)]
         if None in found:
             found = [self._weight(w) if v is None else v for w, v in zip(words, found)]
         return sum(found) / len(words) ** 0.5
@@ -200,7 +197,8 @@ def tails(model: Model, scores: list[float]) -> np.ndarray:
 def graded(documents: DataFrame, model: Model, text: Text) -> DataFrame:
     """doc_id, expected_grade and tail (P(grade > 0), P(grade > 1), ...) of every row.
 
-    A text without words, null included, has score 0. Repeated rows are each graded; other columns are ignored.
+    A text without words, null included, has score 0. Repeated rows are each graded, no rows give no rows; other columns are
+    ignored. Texts of any length are graded whole, each as a list of its words.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 

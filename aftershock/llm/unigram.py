@@ -17,12 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import Memory, prepare
 
 SPACE = "▁"
-#: What an unknown character scores below the lowest piece, and words whose counts a worker remembers.
+#: What an unknown character scores below the lowest piece.
 UNKNOWN = 10.0
-REMEMBERED = 400_000
 
 
 def read_vocabulary(path: str) -> tuple[list[tuple[str, float]], int]:
@@ -36,7 +35,7 @@ def read_vocabulary(path: str) -> tuple[list[tuple[str, float]], int]:
 class Counter:
     """Token counts of words and texts."""
 
-    def __init__(self, pieces: Iterable[tuple[str, float]], remembered: int = REMEMBERED):
+    def __init__(self, pieces: Iterable[tuple[str, float]], remembered: int = Memory.BYTES):
         pieces = list(pieces)
         scores: dict[str, float] = {}
         for piece, score in pieces:
@@ -49,8 +48,7 @@ class Counter:
         for piece, score in scores.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.remembered = remembered
-        self.known: dict[str, int] = {}
+        self.memory = Memory(remembered)
 
     def word(self, word: str) -> int:
         """Tokens of one word, its leading space included."""
@@ -93,13 +91,13 @@ class Counter:
         starts = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
         flat = cut.flatten().dictionary_encode()
         at = flat.indices.to_numpy(zero_copy_only=False)
-        if len(self.known) > self.remembered:
-            self.known.clear()
+        known = self.memory.fresh()
         sizes = np.zeros(len(flat.dictionary), np.int64)
         for i, piece in enumerate(flat.dictionary.to_pylist()):
-            found = self.known.get(piece)
+            found = known.get(piece)
             if found is None:
-                found = self.known[piece] = self.word(SPACE + piece)
+                found = self.word(SPACE + piece)
+                self.memory.keep(piece, found)
             sizes[i] = found
         each = sizes[at]
         # a text that starts with a space, or is empty, has no word before it
@@ -119,7 +117,12 @@ def counter(path: str) -> Counter:
 
 
 def token_counts(documents: DataFrame, vocabulary_path: str) -> DataFrame:
-    """doc_id and n_tokens of every whole text; null and empty texts have none, repeated rows are each counted."""
+    """doc_id and n_tokens of every whole text.
+
+    Null and empty texts have none, repeated rows are each counted, no rows give no rows, other columns are ignored. A text
+    of any length is counted whole; a word of n characters takes memory in proportion to n while it is counted, and words of more
+    than ``common.LONGEST_WORD`` characters are not remembered.
+    """
     prepare(documents.sparkSession)
 
     def run(batches):
