@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of pieces and ids that a worker remembers; longer pieces than that are never remembered.
-REMEMBERED_BYTES = 24_000_000
+REMEMBERED_BYTES = 10_000_000
 LONGEST = 64
+#: Longer texts are encoded part by part, so that what their pieces take in memory is bounded.
+WINDOW = 16_000_000
 #: Pieces sent to the library in one call.
 PIECES = 512
 
@@ -58,6 +62,8 @@ def _cuts() -> np.ndarray:
 
 
 _CLASS, _CUT = _byte_classes(), _cuts()
+#: The end of a word before a blank and another word, where the pattern must cut.
+_WORD_END = re.compile(r"[A-Za-z](?= [A-Za-z])")
 
 
 def _classes(data: np.ndarray) -> np.ndarray:
@@ -111,7 +117,9 @@ class Encoder:
     As there, the string of an added token inside a text is that token; with ``encode_special_tokens`` it is ordinary text.
     """
 
-    def __init__(self, path: str, encode_special_tokens: bool = False, remembered: int = REMEMBERED_BYTES):
+    def __init__(
+        self, path: str, encode_special_tokens: bool = False, remembered: int = REMEMBERED_BYTES, window: int = WINDOW
+    ):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
@@ -136,7 +144,7 @@ class Encoder:
         resize = getattr(self.merges.model, "_resize_cache", None)
         if resize is not None:
             resize(0)
-        self.remembered = remembered
+        self.remembered, self.window = remembered, window
         #: pieces met before, where their ids start in ``ids``, and how many they are
         self.pieces = pa.array([], pa.binary())
         self.first, self.sizes, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.dtype)
@@ -223,7 +231,34 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, ``end_id`` after each, and where each text's ids end. A null text is empty."""
-        texts = texts.fill_null("")
+        texts = texts.cast(pa.string()).fill_null("")
+        long = pc.greater(pc.binary_length(texts), self.window)
+        if not pc.any(long).as_py():
+            return self._encode(texts, end_id)
+        # runs of texts of usual length, and each longer one in parts
+        found, at, end = [], 0, [] if end_id is None else [end_id]
+        for i in [*np.flatnonzero(long.to_numpy(zero_copy_only=False)).tolist(), len(texts)]:
+            if i > at:
+                ids, ends = self._encode(texts[at:i], end_id)
+                found += np.split(ids, ends[:-1])
+            if i < len(texts):
+                parts = [self._encode(pa.array([p], pa.string()))[0] for p in self._parts(texts[i].as_py())]
+                found.append(np.concatenate([*parts, np.array(end, self.dtype)]))
+            at = i + 1
+        return np.concatenate(found), np.cumsum([len(f) for f in found])
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """The text in parts of about the window, each of which ends where a word does; whole if it holds an added token."""
+        at = 0
+        while len(text) - at > self.window and not any(content in text for content in self.added):
+            cut = _WORD_END.search(text, at + self.window)
+            if cut is None:
+                break
+            yield text[at : cut.end()]
+            at = cut.end()
+        yield text[at:]
+
+    def _encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         special = np.zeros(len(texts), bool)
         for content in self.added:
             special |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
