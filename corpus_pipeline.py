@@ -2,6 +2,11 @@
 
 Each stage takes (spark, documents, folder of the given tables) and returns a DataFrame. All but the last return the
 columns of documents.
+
+In every stage null and empty texts are texts without words: no model rejects them, no other is like them, they repeat no
+test item, and the mix, which takes words, leaves them out. Rows that share a doc_id, or have none, are rows of
+their own, except that of a group of near copies one row stays. Further columns are carried along, whatever their
+names, and no rows give no rows. Texts of any length are read whole.
 """
 
 from __future__ import annotations
