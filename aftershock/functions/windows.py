@@ -65,6 +65,11 @@ class Roll:
     need: int | None = None
     on: str | None = None
 
+    @classmethod
+    def at(cls, column: str, rows: int, name: str, ahead: bool = False) -> Roll:
+        """The value ``rows`` before, or ``ahead`` of, the current row, null beyond the timeline."""
+        return cls("max", column, 1, name, skip=rows, ahead=ahead, need=0)
+
     @property
     def part(self) -> str | None:
         """What has to be aggregated for it."""

@@ -85,31 +85,25 @@ def label_family(master: DataFrame, horizons: Sequence[int] = HORIZONS) -> Famil
             rolls.append(Roll("max", "high", h - 1, f"__max_high_before_{h}", skip=1, ahead=True, need=0))
     # rows from here to the final one, if there is one ahead
     to_final = "CASE WHEN __kept IS NOT NULL AND __to_day >= __row THEN __to_day - __row + 1 END"
-    levels: list[list[str]] = [[], []]
     out = {}
     for h in horizons:
-        reached = f"lead(__valid, {h}) {over()}"
-        levels[0] += [
-            f"coalesce(__to_final <= {h}, false) AS __ends_in_{h}",
-            f"{reached} IS NOT NULL AS __reached_{h}",
-            f"coalesce({reached}, __all_valid) - __valid AS __ahead_{h}",
-            f"coalesce(lead(__filled, {h}) {over()}, __final) AS __at_{h}",
-        ]
-        final = f"CASE WHEN __ends_in_{h} THEN __final * __kept END"
-        high = f"CASE WHEN __ends_in_{h} THEN {f'__max_high_before_{h}' if h > 1 else 'NULL'} ELSE __max_high_{h} END"
+        rolls += [Roll.at(c, h, f"{c}_{h}", ahead=True) for c in ("__valid", "__filled")]
+        ends_in, n_ahead = f"coalesce(__to_final <= {h}, false)", f"(coalesce(__valid_{h}, __all_valid) - __valid)"
+        final = f"CASE WHEN {ends_in} THEN __final * __kept END"
+        high = f"CASE WHEN {ends_in} THEN {f'__max_high_before_{h}' if h > 1 else 'NULL'} ELSE __max_high_{h} END"
         out |= {
             f"__best_close_{h}": f"greatest(__max_close_{h}, {final})",
             f"__worst_close_{h}": f"least(__min_close_{h}, {final})",
             f"__best_high_{h}": f"greatest({high}, {final})",
-            f"__full_{h}": f"__reached_{h}",
-            f"__n_{h}": f"__ahead_{h} + cast(__ends_in_{h} AS bigint)",
-            f"__end_{h}": f"CASE WHEN __ends_in_{h} THEN __final * __kept WHEN __ahead_{h} > 0 THEN __at_{h} END",
+            f"__full_{h}": f"__valid_{h} IS NOT NULL",
+            f"__n_{h}": f"{n_ahead} + cast({ends_in} AS bigint)",
+            f"__end_{h}": f"CASE WHEN {ends_in} THEN __final * __kept WHEN {n_ahead} > 0 THEN coalesce(__filled_{h}, __final) END",
         }
     return Family(
         "labels",
         ("close", "high"),
         joined=with_kept,
-        before=(
+        levels=(
             (
                 f"row_number() {over()} AS __row",
                 f"count(close) {running()} AS __valid",
@@ -122,7 +116,6 @@ def label_family(master: DataFrame, horizons: Sequence[int] = HORIZONS) -> Famil
             (f"{to_final} AS __to_final",),
         ),
         rolls=tuple(rolls),
-        after=(tuple(levels[0]),),
         out=out,
     )
 

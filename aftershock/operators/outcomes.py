@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arith import compounded, log_growth
-from ..functions.windows import over, running, whole
+from ..functions.windows import Roll, running, whole
 from .events import CLEAN, clean_pool
 from .passes import Family, at_events, of_securities, panel_pass
 
@@ -25,10 +25,11 @@ def outcome_family(horizons: Sequence[int]) -> Family:
     return Family(
         "outcomes",
         ("daily_return",),
-        before=(
+        levels=(
             (f"sum({log_growth('coalesce(daily_return, 0D)')}) {running()} AS __grown", f"max(date) {whole()} AS __ends"),
-            (f"last(__grown) {whole()} AS __grown_end", *[f"lead(__grown, {h}) {over()} AS __grown_{h}" for h in horizons]),
+            (f"last(__grown) {whole()} AS __grown_end",),
         ),
+        rolls=tuple(Roll.at("__grown", h, f"__grown_{h}", ahead=True) for h in horizons),
         out={"__log": "__grown", "__log_end": "__grown_end", "__last_date": "__ends", **{f"__log_{h}": f"__grown_{h}" for h in horizons}},
     )
 
@@ -71,7 +72,7 @@ def outcome_table(events: DataFrame, prices: DataFrame, horizons: Sequence[int])
     panel = of_securities(prices, events)
     family = outcome_family(horizons)
     # the edge is a single row
-    found = at_events(events, panel_pass(panel, [family]), list(family.out), how="inner").crossJoin(
+    found = at_events(events, panel_pass(panel, [family], events), list(family.out), how="inner").crossJoin(
         F.broadcast(data_edge(panel))
     )
     return found.selectExpr("event_id", "security_id", "crash_date", *outcome_columns(horizons))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arith import named
+from ..functions.frames import frames_at
 from ..functions.windows import Roll, rolling
 from ..session import broadcast_small
 
@@ -25,17 +26,17 @@ BROADCAST_ROWS = 500_000
 class Family:
     """Columns that one pass over the panel gives.
 
-    ``before`` are levels of expressions, each of which may use the ones before it; then come ``rolls``; then the levels
-    of ``after``; ``out`` names the result. Names of helper columns start with two underscores and belong to one family.
+    ``rolls`` are over columns that are read or joined. ``levels`` hold expressions, each of which may use the levels before
+    it; all windows of a level are one operator. ``out`` names the result: expressions without windows, as they are made
+    for wanted rows only. Names of helper columns start with two underscores and belong to one family.
     ``joined`` adds columns to the placed panel and keeps its rows, their place and, unless ``sorts``, their order.
     """
 
     name: str
     reads: tuple[str, ...]
     out: dict[str, str]
-    before: tuple[tuple[str, ...], ...] = ()
+    levels: tuple[tuple[str, ...], ...] = ()
     rolls: tuple[Roll, ...] = ()
-    after: tuple[tuple[str, ...], ...] = ()
     joined: Callable[[DataFrame], DataFrame] | None = field(default=None, compare=False)
 
 
@@ -49,20 +50,24 @@ def of_securities(prices: DataFrame, events: DataFrame) -> DataFrame:
     return prices.join(ids, "security_id", "left_semi")
 
 
-def panel_pass(prices: DataFrame, families: Sequence[Family]) -> DataFrame:
-    """security_id, date and the columns of all families for every row of ``prices``."""
+def panel_pass(prices: DataFrame, families: Sequence[Family], at: DataFrame | None = None) -> DataFrame:
+    """security_id, date and the columns of all families for every row of ``prices``, or only for the days of events."""
     reads = dict.fromkeys(c for f in families for c in f.reads)
     # placed by security before any join, which all later windows keep, whichever columns are asked for
     panel = prices.select("security_id", "date", *reads).repartition("security_id")
     for f in families:
         if f.joined is not None:
             panel = f.joined(panel)
-    for level in range(max((len(f.before) for f in families), default=0)):
-        panel = panel.selectExpr("*", *[e for f in families if len(f.before) > level for e in f.before[level]])
-    rolls = {r.name: r for f in families for r in f.rolls}
-    panel = rolling(panel, list(rolls.values())) if rolls else panel
-    for level in range(max((len(f.after) for f in families), default=0)):
-        panel = panel.selectExpr("*", *[e for f in families if len(f.after) > level for e in f.after[level]])
+    for level in range(max((len(f.levels) for f in families), default=0)):
+        panel = panel.selectExpr("*", *[e for f in families if len(f.levels) > level for e in f.levels[level]])
+    rolls = list({r.name: r for f in families for r in f.rolls}.values())
+    if at is not None:
+        days = at.selectExpr("security_id AS __sid", "crash_date AS __date", "true AS __wanted").repartition("__sid")
+        days = days.dropDuplicates(["__sid", "__date"]).hint("merge")
+        panel = panel.join(days, F.expr("security_id = __sid AND date = __date"), "left").drop("__sid", "__date")
+        panel = frames_at(panel, rolls, "__wanted") if rolls else panel.filter("__wanted")
+    elif rolls:
+        panel = rolling(panel, rolls)
     return panel.selectExpr("security_id", "date", *[e for f in families for e in named(f.out)])
 
 
@@ -84,4 +89,4 @@ def pass_at_events(events: DataFrame, prices: DataFrame, families: Sequence[Fami
     """
     columns = [c for f in families for c in f.out]
     events = events.drop(*columns)
-    return at_events(events, panel_pass(of_securities(prices, events), families), columns)
+    return at_events(events, panel_pass(of_securities(prices, events), families, events), columns)
