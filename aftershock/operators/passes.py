@@ -7,6 +7,7 @@ events, moved once, sorted once, and every window of every family runs over that
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -60,11 +61,15 @@ def panel_pass(prices: DataFrame, families: Sequence[Family], at: DataFrame | No
             panel = f.joined(panel)
     for level in range(max((len(f.levels) for f in families), default=0)):
         panel = panel.selectExpr("*", *[e for f in families if len(f.levels) > level for e in f.levels[level]])
-    rolls = list({r.name: r for f in families for r in f.rolls}.values())
+    # only what the results name is held for the wanted rows, so that the rest is never made
+    words = set(re.findall(r"\w+", " ".join(e for f in families for e in f.out.values())))
+    rolls = [r for r in {r.name: r for f in families for r in f.rolls}.values() if r.name in words]
     if at is not None:
         days = at.selectExpr("security_id AS __sid", "crash_date AS __date", "true AS __wanted").repartition("__sid")
         days = days.dropDuplicates(["__sid", "__date"]).hint("merge")
         panel = panel.join(days, F.expr("security_id = __sid AND date = __date"), "left").drop("__sid", "__date")
+        used = [c for c in panel.columns if c in words or any(c in (r.column, r.on) for r in rolls)]
+        panel = panel.select(*dict.fromkeys(["security_id", "date", "__wanted", *used]))
         panel = frames_at(panel, rolls, "__wanted") if rolls else panel.filter("__wanted")
     elif rolls:
         panel = rolling(panel, rolls)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,8 +92,8 @@ class Study:
     def fundamental(self) -> DataFrame:
         return fundamentals.build_fundamental_features(self.events, self.fundamentals, self.link)
 
-    def rows(self, *families: str, pool: DataFrame | None = None) -> DataFrame:
-        """Events, or those of a pool, with the columns of some families, from one pass over the panel."""
+    def rows(self, *families: str, pool: DataFrame | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+        """Events, or those of a pool, with the columns of some families, all or some, from one pass over the panel."""
         made = {
             "price": features.price_family,
             "recent": lambda: features.recent_family(self.events),
@@ -100,7 +102,10 @@ class Study:
             "outcomes": lambda: outcomes.outcome_family(HORIZONS),
         }
         events_ = self.events if pool is None else pool
-        return passes.pass_at_events(events_, self.prices, [made[f]() for f in families])
+        found = [made[f]() for f in families]
+        if columns is not None:
+            found = [replace(f, out={c: e for c, e in f.out.items() if c in columns}) for f in found]
+        return passes.pass_at_events(events_, self.prices, found)
 
     @cached_property
     def dataset(self) -> DataFrame:
@@ -126,7 +131,9 @@ class Study:
         """
         pool = events.clean_pool(self.events)
         kept = ["event_id", "crash_date", "crash_return", "prior_crash_count_20d", "return_252d_pre", "beta"]
-        out = outcomes.outcomes_of(self.rows("price", "recent", "beta", "outcomes", pool=pool), self.prices, horizons, kept)
+        columns = [*kept[3:], "__log", "__log_end", "__last_date", *[f"__log_{h}" for h in horizons]]
+        rows = self.rows("price", "recent", "beta", "outcomes", pool=pool, columns=columns)
+        out = outcomes.outcomes_of(rows, self.prices, horizons, kept)
         if since is not None:
             out = out.filter(f"crash_date >= DATE '{since}'")
         for family in (
