@@ -68,8 +68,17 @@ def enrich_fundamentals(fundamentals: DataFrame) -> DataFrame:
     return fundamentals.selectExpr("*", *named(columns))
 
 
-def build_fundamental_features(events: DataFrame, fundamentals: DataFrame, link: DataFrame) -> DataFrame:
-    """Growth, profitability, balance-sheet and valuation ratios per event, with their provenance."""
+#: A further ratio for ``build_fundamental_features``, which is not among the features of the dataset.
+EBITDA_MARGIN = {"ebitda_margin": ratio("ebitda_ttm", "revenue_ttm")}
+
+
+def build_fundamental_features(
+    events: DataFrame, fundamentals: DataFrame, link: DataFrame, more: dict[str, str] | None = None
+) -> DataFrame:
+    """Growth, profitability, balance-sheet and valuation ratios per event, with their provenance.
+
+    ``more`` names further ratios over the columns of the statement, so that they need no search of their own.
+    """
     known = asof_join(
         link_companies(events, link),
         enrich_fundamentals(fundamentals),
@@ -129,7 +138,7 @@ def build_fundamental_features(events: DataFrame, fundamentals: DataFrame, link:
         "revenue_growth_yoy",
         "revenue_growth_qoq",
         "eps_growth_yoy",
-        *named({name: finite(r) for name, r in ratios.items()}),
+        *named({name: finite(r) for name, r in (ratios | (more or {})).items()}),
         *named(provenance),
     )
 
@@ -145,7 +154,7 @@ def event_ebitda_margin(events: DataFrame, fundamentals: DataFrame, link: DataFr
         newest="period_end",
         take=("ebitda_ttm", "revenue_ttm"),
     )
-    return known.selectExpr("event_id", f"{finite(ratio('ebitda_ttm', 'revenue_ttm'))} AS ebitda_margin")
+    return known.selectExpr("event_id", *named({name: finite(r) for name, r in EBITDA_MARGIN.items()}))
 
 
 def _present(column: str) -> str:

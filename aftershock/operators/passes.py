@@ -8,8 +8,8 @@ events, moved once, sorted once, and every window of every family runs over that
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +40,19 @@ class Family:
     rolls: tuple[Roll, ...] = ()
     joined: Callable[[DataFrame], DataFrame] | None = field(default=None, compare=False)
 
+    def only(self, columns: Sequence[str]) -> Family:
+        """The family with some of its results, which reads nothing that only the others need."""
+        out = {c: e for c, e in self.out.items() if c in columns}
+        named_ = _words([*out.values(), *[e for level in self.levels for e in level]])
+        rolls = tuple(r for r in self.rolls if r.name in named_)
+        used = named_ | {c for r in rolls for c in (r.column, r.on)}
+        return replace(self, out=out, rolls=rolls, reads=tuple(c for c in self.reads if c in used or self.joined is not None))
+
+
+def _words(texts: Iterable[str]) -> set[str]:
+    """Every name in expression texts."""
+    return set(re.findall(r"\w+", " ".join(texts)))
+
 
 def of_securities(prices: DataFrame, events: DataFrame) -> DataFrame:
     """The panel of those securities that have events, cut before it is moved.
@@ -62,7 +75,7 @@ def panel_pass(prices: DataFrame, families: Sequence[Family], at: DataFrame | No
     for level in range(max((len(f.levels) for f in families), default=0)):
         panel = panel.selectExpr("*", *[e for f in families if len(f.levels) > level for e in f.levels[level]])
     # only what the results name is held for the wanted rows, so that the rest is never made
-    words = set(re.findall(r"\w+", " ".join(e for f in families for e in f.out.values())))
+    words = _words(e for f in families for e in f.out.values())
     rolls = [r for r in {r.name: r for f in families for r in f.rolls}.values() if r.name in words]
     if at is not None:
         days = at.selectExpr("security_id AS __sid", "crash_date AS __date", "true AS __wanted").repartition("__sid")
@@ -70,7 +83,8 @@ def panel_pass(prices: DataFrame, families: Sequence[Family], at: DataFrame | No
         panel = panel.join(days, F.expr("security_id = __sid AND date = __date"), "left").drop("__sid", "__date")
         used = [c for c in panel.columns if c in words or any(c in (r.column, r.on) for r in rolls)]
         panel = panel.select(*dict.fromkeys(["security_id", "date", "__wanted", *used]))
-        panel = frames_at(panel, rolls, "__wanted") if rolls else panel.filter("__wanted")
+        named_ = [c for c in panel.columns if c in words]
+        panel = frames_at(panel, rolls, "__wanted", named_) if rolls else panel.filter("__wanted")
     elif rolls:
         panel = rolling(panel, rolls)
     return panel.selectExpr("security_id", "date", *[e for f in families for e in named(f.out)])

@@ -109,7 +109,7 @@ def _statement_sums(spark: SparkSession, folder: str, unit: str) -> DataFrame:
     """Whole-cent sums per supplier and period."""
     items = table(spark, folder, "lineitem").selectExpr(
         "cast(l_suppkey AS bigint) AS sid",
-        f"to_date(date_trunc('{unit}', l_shipdate)) AS period",
+        f"trunc(to_date(l_shipdate), '{unit}') AS period",
         f"{_whole('l_extendedprice')} AS cents",
         f"{_whole('l_discount')} AS d",
         f"{_whole('l_tax')} AS t",

@@ -36,12 +36,14 @@ def shown(df: DataFrame) -> DataFrame:
 
 
 BOTH = ("daily_prices", "crash_events")
+#: All that the bucket reports and the events they start from read of the panel.
+BUCKET_PANEL = ("date", "security_id", "close", "volume", "daily_return")
 
 
-def _query(stage: tuple[str, ...] = (), name: str | None = None):
+def _query(stage: tuple[str, ...] = (), name: str | None = None, panel: tuple[str, ...] | None = None):
     def register(build: Callable[[Study], DataFrame]):
         key = name or build.__name__
-        _QUERIES[key] = lambda spark, folder: shown(build(Study(spark, folder, stage)))
+        _QUERIES[key] = lambda spark, folder: shown(build(Study(spark, folder, stage, panel)))
         return build
 
     return register
@@ -465,27 +467,27 @@ def _report(s: Study, named: dict[str, str], since: str | None) -> DataFrame:
     )
 
 
-@_query(BOTH)
+@_query(BOTH, panel=BUCKET_PANEL)
 def bucket_outcomes_full(s: Study) -> DataFrame:
     return _report(s, buckets.full_buckets(), None)
 
 
-@_query(BOTH)
+@_query(BOTH, panel=BUCKET_PANEL)
 def bucket_outcomes_recent(s: Study) -> DataFrame:
     return _report(s, buckets.recent_buckets(), RECENT_START)
 
 
-@_query(BOTH)
+@_query(BOTH, panel=BUCKET_PANEL)
 def bucket_outcomes_5d(s: Study) -> DataFrame:
     return buckets.bucket_outcomes(s.bucket_table(None, 5), {"ret_5": buckets.recent_buckets()})
 
 
-@_query(BOTH)
+@_query(BOTH, panel=BUCKET_PANEL)
 def bucket_histograms_full(s: Study) -> DataFrame:
     return buckets.bucket_histograms(s.bucket_table(None, 252), buckets.full_buckets(), "ret_252", stats.ONE_YEAR)
 
 
-@_query(BOTH)
+@_query(BOTH, panel=BUCKET_PANEL)
 def bucket_histograms_recent(s: Study) -> DataFrame:
     table, named = s.bucket_table(RECENT_START, 60, 252), buckets.recent_buckets()
     sizes = buckets.severity_buckets(named, "_60d")
@@ -494,6 +496,6 @@ def bucket_histograms_recent(s: Study) -> DataFrame:
     )
 
 
-@_query(BOTH)
+@_query(BOTH, panel=BUCKET_PANEL)
 def bucket_histograms_5d(s: Study) -> DataFrame:
     return buckets.bucket_histograms(s.bucket_table(None, 5), buckets.recent_buckets(), "ret_5", stats.ONE_WEEK)

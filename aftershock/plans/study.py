@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +20,12 @@ class Study:
 
     Tables named in ``stage`` are written once to the shared folder and read back, as in a stored
     study. That pays when a query reads a table more than once: the panel for events and features,
-    the events for several feature families.
+    the events for several feature families. ``panel`` names the columns of the panel that a query reads,
+    if not all of them, so that the others are neither made nor written.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, stage: tuple[str, ...] = ()):
-        self.spark, self.folder, self.stage = configure(spark), folder, stage
+    def __init__(self, spark: SparkSession, folder: str, stage: tuple[str, ...] = (), panel: tuple[str, ...] | None = None):
+        self.spark, self.folder, self.stage, self.panel = configure(spark), folder, stage, panel
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         return staged(df, name) if name in self.stage else df
@@ -56,7 +56,8 @@ class Study:
 
     @cached_property
     def prices(self) -> DataFrame:
-        return self._kept(normalize_prices(self.bars), "daily_prices")
+        prices = normalize_prices(self.bars)
+        return self._kept(prices if self.panel is None else prices.select(*self.panel), "daily_prices")
 
     @cached_property
     def master(self) -> DataFrame:
@@ -104,7 +105,7 @@ class Study:
         events_ = self.events if pool is None else pool
         found = [made[f]() for f in families]
         if columns is not None:
-            found = [replace(f, out={c: e for c, e in f.out.items() if c in columns}) for f in found]
+            found = [f.only(columns) for f in found]
         return passes.pass_at_events(events_, self.prices, found)
 
     @cached_property
@@ -137,13 +138,12 @@ class Study:
         if since is not None:
             out = out.filter(f"crash_date >= DATE '{since}'")
         for family in (
-            fundamentals.build_fundamental_features(pool, self.fundamentals, self.link).select(
-                "event_id", "market_cap", "pe", "revenue_growth_yoy"
+            fundamentals.build_fundamental_features(pool, self.fundamentals, self.link, fundamentals.EBITDA_MARGIN).select(
+                "event_id", "market_cap", "pe", "revenue_growth_yoy", "ebitda_margin"
             ),
             features.build_market_sector_features(pool, self.prices, self.master).select(
                 "event_id", "market_return_20d", "sector_return_1d"
             ),
-            fundamentals.event_ebitda_margin(pool, self.fundamentals, self.link),
         ):
             out = out.join(family, "event_id", "left")
         return staged(out.selectExpr("*", "crash_return - sector_return_1d AS rel_sector"), "buckets")

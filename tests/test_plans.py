@@ -171,6 +171,26 @@ def test_a_wrong_edge_shows(study, duck, monkeypatch):
         assert (got["sev_10_15"] == want["sev_10_15"]) is same
 
 
+def test_bucket_table_makes_only_what_it_needs(spark, monkeypatch):
+    """One search of the statements, frames without functions of each value, and a stored panel of the columns in use."""
+    from aftershock.plans import study as module
+
+    stored = {}
+    monkeypatch.setattr(module, "staged", lambda df, name: stored.setdefault(name, df))
+    Study(spark, SMALL, queries.BOTH, queries.BUCKET_PANEL).bucket_table(None, 60, 252)
+    plan = _plan(stored["buckets"])
+    assert len(re.findall(r"FileScan parquet \[l_suppkey[^\]]*l_extendedprice", plan)) == 1
+    assert "lambda" not in plan
+    assert set(stored["daily_prices"].columns) == set(queries.BUCKET_PANEL)
+    for unused in ("max(l_tax", "max(l_discount"):
+        assert unused not in _plan(stored["daily_prices"])
+
+
+def test_a_family_reads_what_its_results_need():
+    part = features.price_family().only(["return_252d_pre"])
+    assert part.reads == ("close",) and {r.name for r in part.rolls} == {"__close_1", "__close_253"}
+
+
 def test_labels_keep_every_event(study):
     assert labels.build_labels(study.events, study.prices, study.master).count() == study.events.count()
     assert study.dataset.count() == study.events.count() == study.events.select("event_id").distinct().count()
